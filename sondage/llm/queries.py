@@ -19,6 +19,28 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), _tokenizer("word_bpe_49k.json")).drop("ids")
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_benchmark
+
+    return find_benchmark(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("item_ids")
+
+
+#: Fixed values of the contract.
+URL_RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import Rule, judge_urls
+
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), [Rule(*r) for r in URL_RULES])
+
+
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_output import round_trip
 
@@ -26,8 +48,23 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_best_fit_packing": op2_best_fit_packing, "op10_token_ids": op10_token_ids}
+    """By name, in the order of their numbers."""
+    found = [v for k, v in globals().items() if k.startswith("op")]
+    return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLES
+
+
+ORACLES: dict[str, str] = {}
+
+ORACLES["op8_warc_revisits"] = """
+WITH p AS (SELECT page_id, COALESCE(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+m AS (SELECT *, MAX(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
+FROM m
+"""
