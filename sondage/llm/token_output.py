@@ -126,13 +126,21 @@ _BLOCK = pa.schema([("start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa
 _READ = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
 
-def tokenized(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int, small: bool) -> DataFrame:
-    """Table of ids per document, range-partitioned and sorted by id: part ascends with the ids, local counts the ids before it in its part."""
+def _kind(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def tokenized(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int, vocabulary: int) -> DataFrame:
+    """Table of ids per document, range-partitioned and sorted by id: part ascends with the ids, local counts the ids before it in its part.
+
+    The last row of each part, with local -1, holds the part's ids and their counts.
+    """
     spark = docs.sparkSession
-    kind = "<u2" if small else "<u4"
+    kind = _kind(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, local, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        total = np.zeros(vocabulary, np.int64)
         for batch in slices(batches, "text"):
             out: dict[str, list] = {f.name: [] for f in _IDS}
             for key, raw in zip(batch.column("id").to_pylist(), encoder(tokenizer, "bytes").encode(batch.column("text").to_pylist()), strict=True):
@@ -140,7 +148,11 @@ def tokenized(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_i
                 for name, value in (("id", key), ("part", part), ("local", local), ("n", len(ids)), ("ids", ids.tobytes())):
                     out[name].append(value)
                 local += len(ids)
+            total += np.bincount(np.frombuffer(b"".join(out["ids"]), kind), minlength=vocabulary)
             yield pack(out, _IDS)
+        if local:
+            used = np.flatnonzero(total)
+            yield pack({"id": [None], "part": [part], "local": [-1], "n": [local], "ids": [np.stack([used, total[used]]).astype("<i8").tobytes()]}, _IDS)
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -154,24 +166,22 @@ def write_token_ids(docs: DataFrame, tokenizer: str, path: str, *, id_col: str =
     A null or empty text has the end id alone. Null ids come first; rows that repeat an id follow one another, ordered by text. An empty table gives an empty file.
     """
     spark = docs.sparkSession
-    small = vocabulary <= 1 << 16
-    kind = "<u2" if small else "<u4"
-    ids = tokenized(docs, tokenizer, id_col, text_col, end_id, small)
+    kind = _kind(vocabulary)
+    table = tokenized(docs, tokenizer, id_col, text_col, end_id, vocabulary)
+    ids, ends_of_parts = table.filter("local >= 0"), table.filter("local < 0")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(vocabulary, np.int64)
         for batch in batches:
             for raw in batch.column("ids"):
-                total += np.bincount(np.frombuffer(raw.as_buffer(), kind), minlength=vocabulary)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"token": used.astype(np.int64), "count": total[used]})
+                used, n = np.frombuffer(raw.as_buffer(), "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_pydict({"token": used, "count": n})
 
-    sums = ids.select("ids").mapInArrow(count, "token long, count long").groupBy("token").agg(F.sum("count").alias("count")).collect()  # at most `vocabulary` rows
+    sums = ends_of_parts.select("ids").mapInArrow(count, "token long, count long").groupBy("token").agg(F.sum("count").alias("count")).collect()  # at most `vocabulary` rows
     counts = np.zeros(vocabulary, np.int64)
     for r in sums:
         counts[r["token"]] = r["count"]
     lengths = code_lengths(counts, limit)
-    parts = {r["part"]: r["n"] for r in ids.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # one row per partition
+    parts = {r["part"]: r["n"] for r in ends_of_parts.select("part", "n").collect()}  # one row per partition
     ends = dict(zip(sorted(parts), np.cumsum([0, *(parts[p] for p in sorted(parts))]).tolist(), strict=False))
     shared = spark.sparkContext.broadcast((lengths, ends))
 

@@ -6,7 +6,7 @@ A text is split only where the tokenizer always splits too, so the ids of its pi
 from __future__ import annotations
 
 import os
-import re
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -14,58 +14,82 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
-#: A blank that a byte-level tokenizer always joins to the piece after it.
-_JOINT = re.compile(r"(?<=\S) (?=\S)")
 
+def _byte_letters() -> dict[int, int]:
+    """The letters that byte-level tokenizers write for bytes: printable ones stand for themselves, the others are numbered from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + k for k, b in enumerate(rest)}
 
-class PieceEncoder:
+
+class _Whole(Exception):
+    """The text has blanks in a row, at an end, or a mark of ours: it is encoded as a whole."""
+
+
+class PieceEncoder(dict):
     """``encode(texts)`` gives per text its ids as little-endian unsigned 32-bit bytes.
 
-    style "words": white space separates and is dropped (``word_bpe``). style "bytes": a single blank goes with the piece that follows (``byte_bpe``). ``most`` bounds the cache's entries; pieces beyond it are encoded each time.
+    The dictionary holds the ids of pieces; one that is missing is encoded, and kept while there are fewer than ``most``. style "words": white space separates and is dropped (``word_bpe``). style "bytes": a single blank goes with the piece that follows, a single line end stands alone (``byte_bpe``).
     """
 
-    def __init__(self, path: str, style: str, most: int = 800_000) -> None:
+    #: Marks a piece before which there is no blank.
+    BARE = "\x01"
+    #: Marks that the tokenizers keep apart from letters before them, and together.
+    MARKS = ".,;:!?#*$%&"
+
+    def __init__(self, path: str, style: str, most: int = 1_200_000) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.style, self.most = style, most
-        self.known: dict[str, bytes] = {}
-
-    def _raw(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _learn(self, missing: Iterable[str], lead: str) -> dict[str, bytes]:
-        """Ids of pieces that are not known, encoded with ``lead`` before each; the cache takes what it has room for."""
-        missing, extra = list(missing), {}
-        for at in range(0, len(missing), 20_000):
-            some = missing[at : at + 20_000]
-            extra.update(zip(some, self._raw([lead + p for p in some] if lead else some), strict=True))
-        if (room := self.most - len(self.known)) > 0:
-            self.known.update(extra if len(extra) <= room else list(extra.items())[:room])
-        return extra
+        self.tokenize, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+        self.words, self.most = style == "words", most
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self._encode(piece)
+        if len(self) < self.most:
+            self[piece] = ids
+        return ids
+
+    def _encode(self, piece: str) -> bytes:
+        first = piece[:1]
+        bare = not self.words and first in ("\n", self.BARE)
+        body = piece[1:] if bare else piece
+        if not self.words and (not body or body[0].isspace() or body[-1].isspace() or body[0] == self.BARE):
+            raise _Whole
+        stem = body.rstrip(self.MARKS)
+        # letters only; for "words" those that normalisation leaves as they are but for their case
+        if not stem.isalpha() or self.words and max(stem) > "\xff":
+            return self._whole(piece if self.words or first == "\n" else body if bare else " " + body)
+        if first == "\n" and not self.words:
+            return self._marks("\n") + self[self.BARE + body]
+        if stem != body:
+            return self[(self.BARE if bare else "") + stem] + self._marks(body[len(stem) :])
+        text = stem.lower() if self.words else stem if bare else " " + stem
+        return array("I", [t.id for t in self.tokenize(text.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def _marks(self, marks: str) -> bytes:
+        key = self.BARE * 2 + marks  # never a piece
+        if not dict.__contains__(self, key):
+            self[key] = self._whole(marks)
+        return self[key]
+
+    def _text(self, text: str) -> bytes:
+        if self.BARE in text:
+            return self._whole(text)
+        try:
+            if self.words:
+                return b"".join(map(self.__getitem__, filter(None, text.replace("\n", " ").split(" "))))
+            return b"".join(map(self.__getitem__, (self.BARE + text.replace("\n", " \n")).split(" ")))
+        except _Whole:
+            return self._whole(text)
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        known = self.known
-        if self.style == "words":
-            split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-            heads, tails, lead = [b""] * len(split), split, ""
-        else:
-            split = [self._cut(t) if t else [""] for t in texts]
-            heads, tails, lead = self._raw([parts[0] for parts in split]), [parts[1:] for parts in split], " "
-        extra = self._learn(dict.fromkeys(p for parts in tails for p in parts if p not in known), lead)
-        full = len(known) >= self.most
-        look = (lambda p: known[p] if p in known else extra[p]) if full else known.__getitem__
-        return [head + b"".join(map(look, parts)) for head, parts in zip(heads, tails, strict=True)]
-
-    def _cut(self, text: str) -> list[str]:
-        """Pieces at the blanks between two other characters; a known piece has passed the test before."""
-        parts = text.split(" ")
-        for i, p in enumerate(parts):
-            if (not i or p not in self.known) and (not p or p[0].isspace() or p[-1].isspace()):
-                return _JOINT.split(text)
-        return parts
+        return [self._text(t) if t else b"" for t in texts]
 
 
 _ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
