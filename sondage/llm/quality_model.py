@@ -118,7 +118,7 @@ def _descend(rows: list[np.ndarray], grades: np.ndarray, used: np.ndarray, thres
     return w[:-1], cut
 
 
-def fit_and_calibrate(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, *, good_counts: float = 2.0) -> OrdinalModel:
+def fit_and_calibrate(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, *, good_counts: float = 5.0) -> OrdinalModel:
     """Fit on four fifths of the rows; ``least``, 0.5 at most, is the limit that on the last fifth does best: the part of the top grade that reaches it, times ``good_counts``, less the part of the lowest grade that does."""
     held = np.arange(len(rows)) % 5 == 4
     model = fit([r for r, h in zip(rows, held, strict=True) if not h], grades[~held], n_grades)
