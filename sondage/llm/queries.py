@@ -54,6 +54,12 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), [Rule(*r) for r in URL_RULES])
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+
+
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
