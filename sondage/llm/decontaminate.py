@@ -10,6 +10,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -114,23 +115,38 @@ def item_windows(text: str | None, size: int) -> list[bytes]:
     return [b" " + b" ".join(words[k : k + size]) + b" " for k in range(max(1, len(words) - size + 1))] if words else []
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 13, share: int = 20, block_bytes: int = 8 << 20) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words), item_ids.
-
-    Benchmark items are taken in blocks of at most about ``block_bytes`` of text, each broadcast in turn; with one block there is no shuffle, with more the words hit are joined per document. A null or empty text has no words and is never contaminated. Null item ids are the text "null"; null items have no windows. Repeated rows are judged each. With an empty benchmark nothing is hit.
-    """
-    spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+def _broadcast_windows(benchmark: DataFrame, item_col: str, window: int, most: int):
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text")).filter("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-total // block_bytes))
-    if n_blocks > 1:
-        raise ValueError(f"the benchmark has {total} bytes; call find_benchmark with parts of at most {block_bytes} and add up, or raise block_bytes")
+    if total > most:
+        raise ValueError(f"the benchmark has {total} bytes, more than the {most} that are broadcast: scan for parts of it in turn")
     owners: dict[bytes, list[str]] = defaultdict(list)
-    for row in items.toLocalIterator():
+    for row in items.collect():
         for w in set(item_windows(row["text"], window)):
             owners[w].append(row["item"])
-    shared = spark.sparkContext.broadcast(dict(owners))
+    return benchmark.sparkSession.sparkContext.broadcast(dict(owners))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", window: int = 13, share: int = 20, block_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated by the rule of ``find_benchmark``, with all their columns. No shuffle."""
+    shared = _broadcast_windows(benchmark, item_col, window, block_bytes)
+
+    @F.pandas_udf("boolean")
+    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        search = WuManber(shared.value)
+        for texts in parts:
+            yield pd.Series([not (h > 0 and share * h >= n) for k in range(0, len(texts), 1000) for n, h, _ in search.scan(texts.iloc[k : k + 1000].tolist())], dtype=bool)
+
+    return docs.filter(clean(F.col(text_col).cast("string")))
+
+
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 13, share: int = 20, block_bytes: int = 8 << 20) -> DataFrame:
+    """Per document: n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words), item_ids.
+
+    The benchmark's windows are broadcast: its texts may have ``block_bytes`` bytes at most. A null or empty text has no words and is never contaminated. Null item ids are the text "null"; null items have no windows. Repeated rows are judged each. With an empty benchmark nothing is hit.
+    """
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    shared = _broadcast_windows(benchmark, item_col, window, block_bytes)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = WuManber(shared.value)
