@@ -61,7 +61,7 @@ def answer_language(text: Column) -> Column:
 
 def clauses(text: Column) -> Column:
     """Parts between sentence marks, trimmed, each once."""
-    return F.array_distinct(F.filter(F.transform(F.split(text, r"[.!?;\n。！？；]+"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(text, r"[.!?;\n。！？；]+"), lambda c: F.trim(c)), lambda x: x != ""))
 
 
 def deltas(text: Column, size: int = 48) -> Column:
