@@ -20,8 +20,8 @@ def parse_tables(chunks: DataFrame, *, id_col: str = "chunk_id", text_col: str =
     """Cells of texts whose lines hold cells between bars: table_id, row_ix, row_label, col_ix, header, raw, value. Rows are cut or filled to the header's width; tables need two rows and two columns."""
     rows = F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda line: F.transform(F.split(line, r"\|"), lambda c: F.trim(c))), lambda r: F.size(r) > 1)
     tables = chunks.select(F.col(id_col).alias("table_id"), rows.alias("grid")).filter(F.size("grid") >= 2)
-    lines = tables.select("table_id", F.element_at("grid", 1).alias("head"), F.posexplode("grid").alias("row_ix", "cells")).filter("row_ix > 0")
-    cells = lines.select("table_id", "row_ix", F.element_at("cells", 1).alias("row_label"), "cells", F.posexplode("head").alias("col_ix", "header")).filter("col_ix > 0")
+    lines = tables.select("table_id", F.get("grid", 0).alias("head"), F.posexplode("grid").alias("row_ix", "cells")).filter("row_ix > 0")
+    cells = lines.select("table_id", "row_ix", F.get("cells", 0).alias("row_label"), "cells", F.posexplode("head").alias("col_ix", "header")).filter("col_ix > 0")
     raw = F.coalesce(F.get("cells", F.col("col_ix")), F.lit(""))
     return cells.select("table_id", "row_ix", "row_label", "col_ix", "header", raw.alias("raw"), parse_number(raw).alias("value"))
 
