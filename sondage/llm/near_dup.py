@@ -2,7 +2,7 @@
 
 A text is the multiset of its shingles of five words. A shingle's weight axis is cut at 1, 2, 4, 8, ...; each piece has its own Poisson process, whose points carry a register and a place in the piece, so that a shingle with count c takes the points below c. The least point of each register is the signature: two texts agree in a register with the probability of their weighted Jaccard similarity. Points of a text are drawn in rising order and only until they exceed its largest register.
 
-Equal texts are one node. Bands of the signature give buckets; the first node of each bucket is compared with the others (first by signature, then by exact multiset overlap), links give components, and only in buckets that still hold several components are further nodes compared, twice as many in each round, until all pairs of a bucket are settled. So the work on a bucket of near copies is linear in its size.
+Equal texts are one node. Bands of the signature give buckets. The node of each bucket that has most company over all its buckets is compared with the others (first by signature, then by exact multiset overlap): links that give components. Buckets that then still hold several components are settled exactly, in blocks of ``BLOCK`` nodes and pairs of blocks: a first pass over signatures keeps the nodes that may have a partner in another component, a second one compares their multisets and gives at most one link for each component that it joins. No pair of a bucket becomes a row unless it is compared with the bucket's centre or joins two components.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
 
 BANDS, ROWS = 40, 5
+BLOCK = 512
 REGISTERS = BANDS * ROWS
 #: A pair of similarity 0.8 agrees in fewer registers with a probability below 1e-9.
 _SLACK = 0.17
@@ -175,6 +176,93 @@ def _verify(least: float):
     return verify
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows with equal keys, of batches that are sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        if held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in keys):
+            yield pa.Table.from_batches(held)
+            held = []
+        cuts = [0, *change.tolist(), batch.num_rows]
+        for x, y in zip(cuts[:-2], cuts[1:-1], strict=True):
+            yield pa.Table.from_batches([*held, batch.slice(x, y - x)])
+            held = []
+        held.append(batch.slice(cuts[-2]))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _likely(table: pa.Table, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, rows after it with another label that may be similar, their agreement)."""
+    label, block = table.column("label").to_numpy(), table.column("block").to_numpy()
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+    within = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+    for x in range(len(label) - 1):
+        other = np.flatnonzero((label[x + 1 :] != label[x]) & (within | (block[x + 1 :] != block[x]))) + x + 1
+        if len(other):
+            agree = (sketch[other] == sketch[x]).mean(1)
+            near = agree >= least - _SLACK
+            if near.any():
+                yield x, other[near], agree[near]
+
+
+def _suspects(least: float):
+    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, ["key", "i", "j"]):
+            hit = np.zeros(table.num_rows, bool)
+            for x, near, _ in _likely(table, least):
+                hit[x], hit[near] = True, True
+            if hit.any():
+                yield from table.select(["key", "node"]).filter(pa.array(hit)).combine_chunks().to_batches()
+
+    return suspects
+
+
+def _joining(least: float):
+    """Links between components of a bucket, likeliest first, none between nodes that are joined already."""
+
+    def joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, ["key", "i", "j"]):
+            found = list(_likely(table, least))
+            if not found:
+                continue
+            a = np.concatenate([np.full(len(near), x) for x, near, _ in found])
+            b = np.concatenate([near for _, near, _ in found])
+            order = np.argsort(-np.concatenate([agree for *_, agree in found]), kind="stable")
+            units = [np.frombuffer(u.as_buffer(), np.uint64) for u in table.column("units")]
+            node, names = table.column("node").to_pylist(), table.column("label").to_pylist()
+            root = {n: n for n in names}
+
+            def find(n: int, root: dict = root) -> int:
+                while root[n] != n:
+                    root[n] = n = root[root[n]]
+                return n
+
+            links = []
+            for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
+                p, q = find(names[x]), find(names[y])
+                if p != q and similarity(units[x], units[y]) >= least:
+                    root[max(p, q)] = min(p, q)
+                    links.append((node[x], node[y]))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+    return joining
+
+
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """Rows of each bucket in blocks of ``BLOCK``, once for every pair of blocks (i, j) of the bucket that theirs is part of, sorted by bucket and pair."""
+    w = Window.partitionBy("key")
+    rows = members.withColumn("block", F.floor((F.row_number().over(w.orderBy("node")) - 1) / BLOCK).cast("int"))
+    rows = rows.withColumn("last", F.max("block").over(w)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
+    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label for the nodes of ``links`` (a, b): label is the least node of the connected component. Labels spread to neighbours and then jump to their label's label; each round is written to the shared folder."""
     both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
@@ -199,44 +287,41 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     nodes = signed.groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.min("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id())
     nodes = materialize(nodes, "nodes")
     bands = nodes.filter("length(sketch) > 0").select("node", "sketch").mapInArrow(_band, "key long, node long")
-    buckets = materialize(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1"), "buckets")
-    members = materialize(bands.join(buckets, "key").select("key", "node", "hub"), "members")
-
-    def links_of(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that are similar: by signature first, then by exact overlap."""
-        sketch = nodes.select("node", "sketch")
-        pairs = pairs.join(sketch.toDF("a", "sketch_a"), "a").join(sketch.toDF("b", "sketch_b"), "b")
-        pairs = materialize(pairs.mapInArrow(_near(least), "a long, b long"), "pairs")
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    buckets = materialize(bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    members = materialize(bands.join(buckets, "key").select("key", "node", "n"), "members")
+    company = members.groupBy("node").agg(F.sum("n").alias("company"))
+    centres = members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node"))["node"].alias("hub"))
+    pairs = members.select("key", "node").join(materialize(centres, "centres"), "key").filter("node <> hub")
+    pairs = pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+
+    def units_of(wanted: DataFrame) -> DataFrame:
+        """node, units of the nodes wanted: their texts are those of their first ids."""
         wanted = materialize(nodes.join(wanted, "node").select("node", "digest", "first_id"), "wanted")
         texts = source.join(wanted, F.col("id").eqNullSafe(F.col("first_id"))).select("node", "digest", "text")
-        units = materialize(texts.mapInArrow(_units, "node long, units binary").dropDuplicates(["node"]), "units")
-        pairs = pairs.join(units.toDF("a", "units_a"), "a").join(units.toDF("b", "units_b"), "b")
-        return materialize(pairs.mapInArrow(_verify(least), "a long, b long"), "near-links")
-
-    links = links_of(members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    labels, hubs = components(links), 1
-    while True:
-        # buckets with several components: nodes up to the hubs-th have been compared with all others
-        labelled = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter((F.col("lo") != F.col("hi")) & (F.col("n") > hubs + 1)).select("key")
-        left = materialize(labelled.join(open_keys, "key"), "open-buckets")
-        if left.isEmpty():
-            break
-        nth = left.withColumn("nth", F.rank().over(_by_key()))
-        upper = 2 * hubs + 1
-        hub = materialize(nth.filter((F.col("nth") > hubs) & (F.col("nth") <= upper)).select("key", F.col("node").alias("a"), F.col("label").alias("label_a")), "open-hubs")
-        pairs = left.join(hub, "key").filter("node > a and label <> label_a").select("a", F.col("node").alias("b")).distinct()
-        links = materialize(links.unionByName(links_of(pairs)), "near-links")
-        labels, hubs = components(links), upper
+        return materialize(texts.mapInArrow(_units, "node long, units binary").dropDuplicates(["node"]), "units")
+
+    sketch = nodes.select("node", "sketch")
+    pairs = pairs.join(sketch.toDF("a", "sketch_a"), "a").join(sketch.toDF("b", "sketch_b"), "b")
+    pairs = materialize(pairs.mapInArrow(_near(least), "a long, b long"), "pairs")
+    units = units_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    checked = pairs.join(units.toDF("a", "units_a"), "a").join(units.toDF("b", "units_b"), "b")
+    links = materialize(checked.mapInArrow(_verify(least), "a long, b long"), "near-links")
+    labels = components(links)
+
+    labelled = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    # a bucket of two is settled: its centre was one of them
+    several = labelled.filter("n > 2").groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    still = labelled.join(materialize(several, "open-buckets"), "key").drop("n").join(sketch, "node")
+    suspects = _in_blocks(still).mapInArrow(_suspects(least), "key long, node long")
+    suspects = materialize(suspects.distinct().join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "suspects")
+    if not suspects.isEmpty():
+        more = suspects.select("node").distinct().join(units.select("node"), "node", "left_anti")
+        units = units.unionByName(units_of(more))
+        joined = _in_blocks(suspects.join(sketch, "node").join(units, "node")).mapInArrow(_joining(least), "a long, b long")
+        labels = components(links.unionByName(materialize(joined, "joining-links")))
 
     named = nodes.join(labels, "node", "left").select("digest", "first_id", "n", F.coalesce("label", "node").alias("label"))
     classes = named.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_rows"))
     found = materialize(named.join(classes, "label").select("digest", "class_id", "class_rows"), "classes")
     return signed.select("id", "digest").join(found, "digest").select(F.col("id").alias(id_col), "class_id", "class_rows")
 
-
-def _by_key():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("key").orderBy("node")
