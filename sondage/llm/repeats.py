@@ -1,6 +1,6 @@
 """Removal of passages that an earlier document has, by merged Burrows-Wheeler transforms.
 
-Documents are packed into shards of a few megabytes. Each window of ``length`` bytes belongs to the least hash of its ``GRAM``-byte grams (its minimizer), so that equal windows meet under one value, and neighbouring windows with one value form a string of at most 2 * length - GRAM bytes. Values that occur once in the corpus are dropped. The other strings go to buckets by value, each distinct string of a shard once. In a bucket, every shard's strings have a Burrows-Wheeler transform; the transforms are merged by refining the interleave of their rows symbol by symbol (Holt and McMillan), without sorting all suffixes anew. Each step also refines the common prefixes, and after ``length`` steps equal windows are intervals of rows, for each of which the least document is known. Shards then cover the windows whose least document is smaller than their own.
+Documents are packed into shards of a few megabytes. Each window of ``length`` bytes belongs to the least hash of its ``GRAM``-byte grams (its minimizer), so that equal windows meet under one value, and neighbouring windows with one value form a string of at most 2 * length - GRAM bytes. Values that occur once in the corpus are dropped. The other strings go to buckets by value, each distinct string of a shard once. In a bucket, the parts of the strings whose windows may be equal to others (by a hash of all their bytes) are kept, each distinct part once; every shard's parts have a Burrows-Wheeler transform; the transforms are merged by refining the interleave of their rows symbol by symbol (Holt and McMillan), without sorting all suffixes anew. Each step also refines the common prefixes, and after ``length`` steps equal windows are intervals of rows, for each of which the least document is known. Shards then cover the windows whose least document is smaller than their own.
 
 No task holds more than a shard, or a bucket whose size follows from the number of buckets.
 """
@@ -35,25 +35,30 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
 
 
+def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hash of the ``size`` bytes from each place on, by doubling."""
+    factor = 0x100000001B3
+    h, have = data.astype(np.uint64) + np.uint64(1), 1
+    parts = {1: h}
+    while 2 * have <= size:
+        h, have, factor = h[:-have] * np.uint64(factor) + h[have:], 2 * have, factor * factor % (1 << 64)
+        parts[have] = h
+    n = len(data) - size + 1
+    found, at, rest = h[:n], have, size - have
+    while rest:
+        step = 1 << (rest.bit_length() - 1)
+        found = _mix(found) + parts[step][at : at + n]
+        at, rest = at + step, rest - step
+    return _mix(found)
+
+
 def window_strings(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first window, number of windows, minimizer) of the strings of texts that end at ``ends``: runs of windows with one minimizer, at most ``length - GRAM + 1`` windows each."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none, none, none.astype(np.uint64)
-    p = np.uint64(0x100000001B3)
-    h = data.astype(np.uint64) + np.uint64(1)
-    parts, have, power = {1: h}, 1, p
-    while 2 * have <= GRAM:
-        h = h[:-have] * power + h[have:]
-        have, power = 2 * have, power * power
-        parts[have] = h
-    rest, at, gram = GRAM - have, have, h
-    while rest:
-        step = 1 << (rest.bit_length() - 1)
-        n = len(data) - GRAM + 1
-        gram = _mix(gram[:n]) + parts[step][at : at + n]
-        at, rest = at + step, rest - step
-    least = _sliding_min(_mix(gram), length - GRAM + 1)
+    gram = gram_hashes(data, GRAM)
+    least = _sliding_min(gram, length - GRAM + 1)
     valid = np.ones(len(least), bool)
     # a window that crosses an end is none
     for k in ends[:-1].tolist():
@@ -121,14 +126,22 @@ def merge_bwts(symbols: list[np.ndarray], n_strings: list[int], depth: int) -> t
     return row, common
 
 
-def _alone(strings: list[bytes], length: int) -> np.ndarray:
-    if length <= GRAM:
-        return np.zeros(len(strings), bool)
-    ends = np.cumsum([len(s) for s in strings])
-    first, _, value = window_strings(np.frombuffer(b"".join(strings), np.uint8), ends, length)
-    value = value[np.searchsorted(first, np.concatenate([[0], ends[:-1]]))]
-    _, which, counts = np.unique(value, return_inverse=True, return_counts=True)
-    return counts[which] == 1
+def _merged_least(shards: list[list[bytes]], firsts: np.ndarray, length: int) -> np.ndarray:
+    """Least document of every window of the strings, which are all different and numbered through: the transforms of the shards are merged, and equal windows are intervals of the merged rows."""
+    bwts = [shard_bwt(x) for x in shards]
+    row, common = merge_bwts([b[0] for b in bwts], [len(x) for x in shards], length)
+    base = np.cumsum([0] + [len(x) for x in shards])
+    string = np.concatenate([b[1] + at for b, at in zip(bwts, base, strict=False)])[row]
+    offset = np.concatenate([b[2] for b in bwts])[row]
+    lens = np.array([len(s) for x in shards for s in x], np.int64)
+    n_windows = lens - length + 1
+    found = np.empty(int(n_windows.sum()), np.int64)
+    # an interval's rows are neighbours, and full: a row that ends earlier has a shorter common prefix
+    full = np.flatnonzero(lens[string] - offset >= length)
+    starts = np.flatnonzero(common[full] < length)
+    groups = np.minimum.reduceat(firsts[string[full]], starts)
+    found[(np.cumsum(n_windows) - n_windows)[string[full]] + offset[full]] = np.repeat(groups, np.diff(np.append(starts, len(full))))
+    return found
 
 
 def least_documents(shards: list[tuple[list[bytes], np.ndarray]], length: int) -> list[np.ndarray]:
@@ -153,22 +166,36 @@ def least_documents(shards: list[tuple[list[bytes], np.ndarray]], length: int) -
     n_windows = lens - length + 1
     begin = np.cumsum(n_windows) - n_windows
     found = np.repeat(firsts, n_windows)
-    # a string alone under its minimizer shares no window with another
-    alone = _alone(list(known), length)
-    merged = np.flatnonzero(~alone)
-    picked = set(merged.tolist())
-    fresh = [y for x in fresh if (y := [s for s in x if known[s] in picked])]
-    if fresh:
-        bwts = [shard_bwt(x) for x in fresh]
-        row, common = merge_bwts([b[0] for b in bwts], [len(x) for x in fresh], length)
-        base = np.cumsum([0] + [len(x) for x in fresh])
-        string = merged[np.concatenate([b[1] + at for b, at in zip(bwts, base, strict=False)])[row]]
-        offset = np.concatenate([b[2] for b in bwts])[row]
-        full = np.flatnonzero(lens[string] - offset >= length)
-        # an interval's rows are neighbours, and full: a row that ends earlier has a shorter common prefix
-        starts = np.flatnonzero(common[full] < length)
-        groups = np.minimum.reduceat(firsts[string[full]], starts)
-        found[begin[string[full]] + offset[full]] = np.repeat(groups, np.diff(np.append(starts, len(full))))
+    # windows whose hash no other window has are equal to none: what is left of the strings are runs of the others
+    joined = b"".join(known)
+    owner = np.repeat(np.arange(len(known)), n_windows)
+    at = np.repeat(np.cumsum(lens) - lens - begin, n_windows) + np.arange(len(owner))
+    _, which, counts = np.unique(gram_hashes(np.frombuffer(joined, np.uint8), length)[at], return_inverse=True, return_counts=True)
+    shared = counts[which] > 1
+    ahead = np.concatenate([[False], shared[:-1] & (owner[1:] == owner[:-1])])
+    run = np.flatnonzero(shared & ~ahead)
+    if len(run):
+        number = np.cumsum(shared & ~ahead)[shared] - 1
+        sizes = np.bincount(number, minlength=len(run))
+        trimmed: dict[bytes, int] = {}
+        shard_of = np.repeat(np.arange(len(fresh)), [len(x) for x in fresh])
+        kept: list[list[bytes]] = [[] for _ in fresh]
+        use = []
+        for a, n, shard in zip(at[run].tolist(), sizes.tolist(), shard_of[owner[run]].tolist(), strict=True):
+            s = joined[a : a + n + length - 1]
+            k = trimmed.get(s)
+            if k is None:
+                k = trimmed[s] = len(trimmed)
+                kept[shard].append(s)
+            use.append(k)
+        use = np.array(use, np.int64)
+        own = np.full(len(trimmed), _LAST, np.int64)
+        np.minimum.at(own, use, firsts[owner[run]])
+        merged = _merged_least([x for x in kept if x], own, length)
+        size_of = np.array([len(s) - length + 1 for s in trimmed], np.int64)
+        start_of = np.cumsum(size_of) - size_of
+        within = np.arange(len(number)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        found[shared] = merged[start_of[use][number] + within]
     return [np.concatenate([found[begin[k] : begin[k] + n_windows[k]] for k in own]) for own in places]
 
 
