@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondage.operators import cubes
+from sondage.operators import cubes, layout
 from sondage.sources.bindings import MONTHLY_SQL, QUARTERLY_SQL, YEARLY_SQL, monthly_points, quarterly_points, yearly_points
 
 from .registry import query
@@ -140,3 +140,16 @@ def c6_structure_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {QUARTERLY_SQL} SELECT scope_id, string_agg(DISTINCT series_name, '|' ORDER BY series_name) AS series, string_agg(DISTINCT category, '|' ORDER BY category) AS categories, count(*) AS n_points FROM points GROUP BY scope_id""")
 def c9_calculation_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cubes.calculation_scope(quarterly_points(spark, sf_dir))
+
+
+@query(f"""WITH {YEARLY_SQL}, l AS (SELECT scope_id, series_name, series_name || ': ' || string_agg(category || '=' || CAST(CAST(floor(y_value) AS BIGINT) AS VARCHAR), '; ' ORDER BY point_order) AS line FROM points GROUP BY scope_id, series_name)
+SELECT scope_id, scope_id || chr(10) || string_agg(line, chr(10) ORDER BY series_name) AS content FROM l GROUP BY scope_id""")
+def a23_chart_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.chart_text(yearly_points(spark, sf_dir))
+
+
+@query(f"WITH {YEARLY_SQL} SELECT scope_id, count(DISTINCT series_name) AS n_series, count(*) AS n_points FROM points GROUP BY 1")
+def a22_nest_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nested = layout.nest_charts(yearly_points(spark, sf_dir))
+    points = F.aggregate("series", F.lit(0).cast("long"), lambda n, s: n + F.size(s["points"]))
+    return nested.select("scope_id", F.size("series").cast("long").alias("n_series"), points.alias("n_points"))

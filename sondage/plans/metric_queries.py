@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sondage.operators import metrics
 from sondage.sources.bindings import table
+from sondage.streaming import streams
 
 from .registry import query
 
@@ -83,3 +84,32 @@ def a18_p95_lower(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'quality in range' AS rule, CAST(count(*) FILTER (NOT quality BETWEEN 0 AND 1) AS BIGINT) AS n FROM labels UNION ALL SELECT 'toxic in range', count(*) FILTER (NOT toxic BETWEEN 0 AND 1) FROM labels UNION ALL SELECT 'doc_id unique', (SELECT count(*) FROM (SELECT doc_id FROM labels GROUP BY 1 HAVING count(*) > 1))")
 def f11_constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.constraint_violations(table(spark, sf_dir, "labels"), "doc_id", {"quality": (0, 1), "toxic": (0, 1)})
+
+
+def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "error", "failure").when(F.col("event_type") == "signup", "reset")
+    return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("key"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), kind.alias("kind")).filter("kind is not null")
+
+
+@query("""WITH e AS (SELECT event_id, user_id AS key, CAST(floor(epoch(ts)) AS BIGINT) AS sec, event_type FROM events WHERE event_type IN ('error', 'signup')),
+s AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY sec, event_id) AS spell FROM e),
+r AS (SELECT event_id, key, count(*) OVER (PARTITION BY key, spell ORDER BY sec RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS recent FROM s WHERE event_type = 'error') SELECT *, recent >= 5 AS blocked FROM r""")
+def z4_failed_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors are failures, signups resets, within a day."""
+    return streams.failed_attempts(_attempts(spark, sf_dir), 86_400, 5)
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_id > (SELECT max(event_id) // 2 FROM events)")
+def z2_tail_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return streams.tail(events, events.agg(F.max("event_id")).first()[0] // 2).select("event_id", "event_type")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def z3_first_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.first_submissions(table(spark, sf_dir, "events"), ["user_id", "event_type"]).select("user_id", "event_type")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def z7_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.status_counts(table(spark, sf_dir, "events"))

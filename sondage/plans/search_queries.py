@@ -110,3 +110,26 @@ SELECT x.a_id, y.a_id AS b_id, count(*) AS shared FROM a x JOIN a y ON x.term =
 def j10_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
     return search.token_overlap(items, items)
+
+
+@query(f"""WITH {_BM25}, h AS (SELECT b.query_id, b.chunk_id, score, (SELECT count(*) FROM asked a WHERE a.query_id = b.query_id AND contains(lower(d.text), a.term)) AS c, (SELECT count(*) FROM asked a WHERE a.query_id = b.query_id AND contains(lower(left(d.text, 40)), a.term)) AS t FROM bm b JOIN documents d ON d.doc_id = b.chunk_id),
+s AS (SELECT query_id, chunk_id, round(score + 2 * c + t, 6) AS score FROM h) SELECT query_id, chunk_id, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s""")
+def r5_lexical_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's first forty characters stand for its title."""
+    chunks, queries = _chunks(spark, sf_dir).withColumn("title", F.substring("content", 1, 40)), _queries(spark, sf_dir)
+    return search.lexical_score(search.bm25(chunks, queries, 24), chunks, queries).withColumn("score", F.round("score", 4))
+
+
+@query(f"""WITH {_BM25.replace("<= 24", "<= 200")}, r AS (SELECT b.*, source AS document_id FROM bm b JOIN documents d ON d.doc_id = b.chunk_id), n AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY score DESC, chunk_id) AS rd FROM r)
+SELECT query_id, document_id, chunk_id, CASE WHEN rank <= 12 THEN 'global' ELSE 'document' END AS lane FROM n WHERE rank <= 12 OR rd <= 2""")
+def r14_document_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _chunks(spark, sf_dir)
+    scored = search.bm25(chunks, _queries(spark, sf_dir), 200).join(chunks.select("chunk_id", "document_id"), "chunk_id")
+    return search.document_lanes(scored, 12, 2)
+
+
+@query("""WITH w AS (SELECT item_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS word FROM benchmark), f AS (SELECT id, word AS feature FROM w UNION ALL SELECT id, '#' || substr(word, CAST(k AS BIGINT), 3) FROM w, unnest(range(1, greatest(length(word) - 1, 1))) AS u(k) WHERE length(word) > 3),
+n AS (SELECT id, feature, count(*) AS n, ('0x' || substr(md5(feature), 1, 15))::BIGINT AS h FROM f GROUP BY ALL)
+SELECT id, h % 384 AS bucket, CAST(sum(CASE WHEN (h // 384) % 2 = 0 THEN n ELSE -n END) AS BIGINT) AS weight FROM n GROUP BY 1, 2 HAVING weight <> 0""")
+def x17_hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.hash_embedding(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"))

@@ -109,3 +109,28 @@ def test_as_of_is_strict(spark):
     left = spark.createDataFrame([("k", 5, 1), ("k", 1, 2)], "key string, at long, left_id long")
     right = spark.createDataFrame([("k", 1, "a"), ("k", 5, "b")], "key string, at long, v string")
     assert {r.left_id: r.v for r in metrics.as_of(left, right, "key", "at", "v").collect()} == {1: "a", 2: None}
+
+
+def test_answers(spark):
+    from sondage.operators import evidence
+
+    answers = spark.createDataFrame([(1, "up [1], [2]", 2), (2, "up [3]", 2), (3, "up", 1), (4, "up", 0)], "answer_id int, answer string, n_evidence int")
+    assert {r.answer_id: (r.unknown, r.ok) for r in evidence.verify_citations(answers).collect()} == {1: ([], True), 2: ([3], False), 3: ([], False), 4: ([], True)}
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(evidence.markdown_balanced(F.lit("**a** `x`"))) and not one(evidence.markdown_balanced(F.lit("**a")))
+    groups = F.array(F.array(F.lit("5,516"), F.lit("5516")), F.array(F.lit("9%")))
+    assert one(evidence.group_coverage(F.lit("US$5,516M"), groups)) == 0.5
+    assert one(evidence.abstains(F.lit("There is not enough evidence."))) and not one(evidence.abstains(F.lit("It rose.")))
+    texts = lambda t: spark.createDataFrame([(1, t)], "id int, text string")
+    assert evidence.token_multiset_changes(texts("5% and 5% [1]"), texts("[1] 5% 5%")).count() == 0
+    assert [(r.token, r.in_before, r.in_after) for r in evidence.token_multiset_changes(texts("5% and 5%"), texts("5%")).collect()] == [("5%", 2, 1)]
+    wanted = spark.createDataFrame([(1, "a"), (1, "b")], "query_id int, document_id string")
+    assert tuple(evidence.document_coverage(wanted, wanted.filter("document_id = 'a'")).first()) == (1, 1, ["b"])
+
+
+def test_chart_scopes(spark, tmp_path):
+    from sondage.operators import layout
+
+    spark.sparkContext.setCheckpointDir(f"file://{tmp_path}")
+    boxes = spark.createDataFrame([("s", "A", 0.0, 0.0, 1.0, 1.0), ("s", "B", 0.0, 0.1, 1.0, 1.0), ("s", "C", 2.0, 2.0, 3.0, 3.0), ("t", "A", 0.0, 0.0, 1.0, 1.0)], "slide_id string, element_id string, x0 double, y0 double, x1 double, y1 double")
+    assert sorted(tuple(r) for r in layout.chart_scopes(boxes).collect()) == [("s", "A", "A"), ("s", "B", "A"), ("s", "C", "C"), ("t", "A", "A")]
