@@ -79,7 +79,7 @@ def select_cutoffs(holdouts: DataFrame, *, risk: float = 0.02, alpha: float = 0.
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", least_words: int = 50, most_repeated: int = 50, risk: float = 0.02, alpha: float = 0.05) -> DataFrame:
-    """Per row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rejected_by.
+    """Per row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rejected_by (names of features, joined by commas).
 
     base_failed: fewer than ``least_words`` words, or more than ``most_repeated`` percent of them in repeated windows. kept: neither base_failed nor above a cutoff of the row's stratum. Good holdouts are labelled documents with quality 1 that pass the base rules, low ones those with quality 0 that do; null labels are left out, and of several labels the lowest counts. Null and empty texts have no words and fail. Rows that repeat an id are judged each. An empty table gives no rows; without labels only the base rules hold.
     """
@@ -91,5 +91,5 @@ def apply_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     cutoffs = select_cutoffs(holdouts, risk=risk, alpha=alpha).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("feature", "cutoff"))).alias("cutoffs"))
     judged = counts.join(materialize(cutoffs, "cutoffs"), "stratum", "left")
     by = F.filter(F.array(*(F.when(F.col(f) > F.col("cutoffs")[f], F.lit(f)) for f in FEATURES)), lambda x: x.isNotNull())
-    judged = judged.withColumn("rejected_by", by)
-    return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"), "rejected_by")
+    judged = judged.withColumn("rejected_by", F.array_join(by, ","))
+    return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("rejected_by") == "")).alias("kept"), "rejected_by")

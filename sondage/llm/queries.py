@@ -99,3 +99,28 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
 FROM m
 """
+
+#: Base counts, then cutoffs as in quality_rules: strata are languages, 0.02 / 5 the risk of a feature, 0.05 / (5 * strata) its level.
+ORACLES["op1_quality_rules"] = r"""
+WITH d AS (SELECT doc_id, COALESCE(lang, '') AS stratum, COALESCE(text, '') AS text, list_filter(regexp_split_to_array(COALESCE(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+  list_filter(string_split(COALESCE(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+t AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g FROM d, unnest(range(1, len(words) - 1)) AS u(i)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM t) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, unnest([0, 1, 2]) AS v(k) GROUP BY doc_id),
+b AS (SELECT d.doc_id, stratum, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, COALESCE(c.n, 0) AS n_repeat_words, len(list_distinct(words)) AS n_distinct, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper, len(lines) AS n_lines FROM d LEFT JOIN c ON d.doc_id = c.doc_id),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, COALESCE(1000 * n_symbols // NULLIF(word_chars, 0), 0) AS symbol_rate, COALESCE(1000 * n_dup_lines // NULLIF(n_lines, 0), 0) AS dup_line_rate,
+  COALESCE(1000 * n_repeat_words // NULLIF(n_words, 0), 0) AS repeat_rate, COALESCE(1000 * (n_words - n_distinct) // NULLIF(n_words, 0), 0) AS same_word_rate, COALESCE(1000 * n_upper // NULLIF(word_chars, 0), 0) AS upper_rate FROM b),
+l AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+h AS (SELECT f.*, good FROM f JOIN l ON f.doc_id = l.doc_id WHERE NOT base_failed),
+u AS (UNPIVOT (SELECT stratum, good, symbol_rate, dup_line_rate, repeat_rate, same_word_rate, upper_rate FROM h) ON symbol_rate, dup_line_rate, repeat_rate, same_word_rate, upper_rate INTO NAME feature VALUE v),
+n AS (SELECT stratum, feature, CAST(ceil(least(v, 1000) / 10.0) * 10 - 10 AS BIGINT) AS cutoff, count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad FROM u GROUP BY ALL),
+s AS (SELECT stratum, feature, cutoff, CAST(sum(good) OVER a AS BIGINT) AS k, CAST(sum(bad) OVER a AS BIGINT) AS caught, CAST(sum(good) OVER (PARTITION BY stratum, feature) AS BIGINT) AS n FROM n WINDOW a AS (PARTITION BY stratum, feature ORDER BY cutoff DESC)),
+q AS (SELECT * FROM s WHERE cutoff >= 0 AND caught > 0 AND n > 0 AND k <= floor(n * 0.004)
+  AND list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.004) + (n - j) * ln(0.996)))) <= 0.05 / (5 * (SELECT count(DISTINCT stratum) FROM h))),
+p AS (SELECT stratum, feature, cutoff FROM q QUALIFY row_number() OVER (PARTITION BY stratum, feature ORDER BY caught DESC, cutoff DESC) = 1),
+x AS (SELECT f.*, concat_ws(',', CASE WHEN symbol_rate > (SELECT cutoff FROM p WHERE p.stratum = f.stratum AND feature = 'symbol_rate') THEN 'symbol_rate' END, CASE WHEN dup_line_rate > (SELECT cutoff FROM p WHERE p.stratum = f.stratum AND feature = 'dup_line_rate') THEN 'dup_line_rate' END,
+  CASE WHEN repeat_rate > (SELECT cutoff FROM p WHERE p.stratum = f.stratum AND feature = 'repeat_rate') THEN 'repeat_rate' END, CASE WHEN same_word_rate > (SELECT cutoff FROM p WHERE p.stratum = f.stratum AND feature = 'same_word_rate') THEN 'same_word_rate' END,
+  CASE WHEN upper_rate > (SELECT cutoff FROM p WHERE p.stratum = f.stratum AND feature = 'upper_rate') THEN 'upper_rate' END) AS rejected_by FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by = '' AS kept, rejected_by FROM x
+"""
