@@ -19,6 +19,8 @@ from .common import materialize, slices
 
 BANDS, ROWS = 40, 5
 BLOCK = 512
+#: A table of at most so many ids (about 60 bytes each) is broadcast to the texts; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1 << 18
 REGISTERS = BANDS * ROWS
 #: A pair of similarity 0.8 agrees in fewer registers with a probability below 1e-9.
 _SLACK = 0.17
@@ -297,7 +299,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def units_of(wanted: DataFrame) -> DataFrame:
         """node, units of the nodes wanted: their texts are those of their first ids."""
         wanted = materialize(nodes.join(wanted, "node").select("node", "digest", "first_id"), "wanted")
-        texts = source.join(wanted, F.col("id").eqNullSafe(F.col("first_id"))).select("node", "digest", "text")
+        few = wanted.count() <= BROADCAST_ROWS
+        texts = source.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("first_id"))).select("node", "digest", "text")
         return materialize(texts.mapInArrow(_units, "node long, units binary").dropDuplicates(["node"]), "units")
 
     sketch = nodes.select("node", "sketch")
