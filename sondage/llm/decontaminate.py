@@ -6,6 +6,7 @@ Texts are reduced to " word word ... " in UTF-8, so that a window of words is a
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import materialize, slices
 
 #: A-Z to lower case; other ASCII characters than letters and digits to a blank.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -84,8 +85,8 @@ class WuManber:
             classes[len(window).bit_length()].append(window)
         self.groups = [WindowGroup(w) for w in classes.values()]
 
-    def scan(self, texts: list[str | None]) -> list[tuple[int, int, set[str]]]:
-        """(words, hit words, item ids) of each text."""
+    def find(self, texts: list[str | None]) -> list[tuple[int, np.ndarray, set[str]]]:
+        """(words, hit intervals of words as rows (begin, end), item ids) of each text; the intervals are ascending and apart."""
         split = [words_of(t) for t in texts]
         rows = [b" " + b" ".join(w) + b" " for w in split]
         ends = np.cumsum([len(r) for r in rows], dtype=np.int64)
@@ -96,7 +97,7 @@ class WuManber:
                 found[int(np.searchsorted(ends, p, "right"))].append((p, window))
         out = []
         for i, words in enumerate(split):
-            hit, ids = 0, set()
+            spans, ids = np.zeros((0, 2), np.int64), set()
             if i in found:
                 blanks = np.flatnonzero(np.frombuffer(rows[i], np.uint8) == 32)
                 covered = np.zeros(len(words) + 1, np.int64)
@@ -105,31 +106,86 @@ class WuManber:
                     covered[first] += 1
                     covered[first + window.count(b" ") - 1] -= 1
                     ids.update(self.items[window])
-                hit = int((np.cumsum(covered) > 0).sum())
-            out.append((len(words), hit, ids))
+                spans = np.flatnonzero(np.diff(np.cumsum(covered) > 0, prepend=False)).reshape(-1, 2)
+            out.append((len(words), spans, ids))
         return out
 
+    def scan(self, texts: list[str | None]) -> list[tuple[int, int, set[str]]]:
+        """(words, hit words, item ids) of each text."""
+        return [(n, int((spans[:, 1] - spans[:, 0]).sum()), ids) for n, spans, ids in self.find(texts)]
+
 
 def item_windows(text: str | None, size: int) -> list[bytes]:
     words = words_of(text)
     return [b" " + b" ".join(words[k : k + size]) + b" " for k in range(max(1, len(words) - size + 1))] if words else []
 
 
-def _broadcast_windows(benchmark: DataFrame, item_col: str, window: int, most: int):
+def _window_blocks(benchmark: DataFrame, item_col: str, window: int, most: int) -> Iterator[dict[bytes, list[str]]]:
+    """The benchmark's windows with the items that have them, in blocks from at most ``most`` bytes of text (more only where one window has more). The driver holds one part of the texts at a time; a window may be in several blocks."""
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total > most:
-        raise ValueError(f"the benchmark has {total} bytes, more than the {most} that are broadcast: scan for parts of it in turn")
+    parts = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // most + 1
+    if parts > 1:
+        items = materialize(items.repartition(parts).withColumn("part", F.spark_partition_id()), "benchmark")
     owners: dict[bytes, list[str]] = defaultdict(list)
-    for row in items.collect():
-        for w in set(item_windows(row["text"], window)):
-            owners[w].append(row["item"])
-    return benchmark.sparkSession.sparkContext.broadcast(dict(owners))
+    room = most
+    for part in range(parts):
+        for row in (items.filter(F.col("part") == part) if parts > 1 else items).collect():
+            words, seen = words_of(row["text"]), set()
+            for k in range(max(1, len(words) - window + 1) if words else 0):
+                w = b" " + b" ".join(words[k : k + window]) + b" "
+                cost = len(words[k]) + 1 if k else len(w)
+                if cost > room and owners:
+                    yield dict(owners)
+                    owners, room, seen = defaultdict(list), most, set()
+                    cost = len(w)
+                room -= cost
+                if w not in seen:
+                    seen.add(w)
+                    owners[w].append(row["item"])
+    if owners:
+        yield dict(owners)
+
+
+def _first_two(blocks: Iterator[dict[bytes, list[str]]]) -> tuple[dict[bytes, list[str]], dict[bytes, list[str]] | None]:
+    return next(blocks, {}), next(blocks, None)
+
+
+def _in_turn(rows: DataFrame, blocks: Iterator[dict[bytes, list[str]]]) -> DataFrame:
+    """row, n_words, n_hit, ids of all ``rows`` (row, text), which are scanned once for each block; a text's intervals are joined over the blocks."""
+    context, found = rows.sparkSession.sparkContext, None
+    for nth, block in enumerate(blocks):
+        shared = context.broadcast(block)
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared, every: bool = nth == 0) -> Iterator[pa.RecordBatch]:
+            search = WuManber(shared.value)
+            for batch in slices(batches, "text"):
+                out = search.find(batch.column("text").to_pylist())
+                columns = [batch.column("row"), pa.array([n for n, _, _ in out], pa.int64()), pa.array([[{"a": a, "b": b} for a, b in spans.tolist()] for _, spans, _ in out], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array([sorted(ids) for _, _, ids in out], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "n_words", "spans", "ids"]).filter(pa.array([every or len(spans) > 0 for _, spans, _ in out], pa.bool_()))
+
+        own = materialize(rows.mapInArrow(scan, "row long, n_words long, spans array<struct<a:bigint,b:bigint>>, ids array<string>"), "benchmark-hits")
+        shared.unpersist()
+        found = own if found is None else found.unionByName(own)
+    joined = found.groupBy("row").agg(F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("n"))
+    hit = F.aggregate("spans", zero, lambda acc, s: F.struct(F.greatest(acc["at"], s["b"]).alias("at"), (acc["n"] + F.greatest(s["b"] - F.greatest(s["a"], acc["at"]), F.lit(0).cast("long"))).alias("n")), lambda acc: acc["n"])
+    return joined.select("row", "n_words", hit.alias("n_hit"), "ids")
+
+
+def _contaminated(share: int):
+    return (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", window: int = 13, share: int = 20, block_bytes: int = 8 << 20) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated by the rule of ``find_benchmark``, with all their columns. No shuffle."""
-    shared = _broadcast_windows(benchmark, item_col, window, block_bytes)
+    """The rows of ``docs`` that are not contaminated by the rule of ``find_benchmark``, with all their columns. No shuffle where the benchmark is one block; else the rows are written once with a number, and those of contaminated rows are joined to them."""
+    blocks = _window_blocks(benchmark, item_col, window, block_bytes)
+    first, second = _first_two(blocks)
+    if second is not None:
+        rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")), "numbered")
+        found = _in_turn(rows.select("row", F.col("whole")[text_col].cast("string").alias("text")), itertools.chain([first, second], blocks))
+        bad = materialize(found.filter(_contaminated(share)).select("row"), "contaminated")
+        return rows.join(bad, "row", "left_anti").select(*(F.col("whole")[c].alias(c) for c in docs.columns))
+    shared = docs.sparkSession.sparkContext.broadcast(first)
 
     @F.pandas_udf("boolean")
     def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -143,10 +199,17 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 13, share: int = 20, block_bytes: int = 8 << 20) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words), item_ids.
 
-    The benchmark's windows are broadcast: its texts may have ``block_bytes`` bytes at most. A null or empty text has no words and is never contaminated. Null item ids are the text "null"; null items have no windows. Repeated rows are judged each. With an empty benchmark nothing is hit.
+    The benchmark's windows are broadcast in blocks from at most ``block_bytes`` bytes of text. Where there are several, the texts are written once with a number, scanned for each block in turn, and their hits joined by number. A null or empty text has no words and is never contaminated. Null item ids are the text "null"; null items have no windows. Repeated rows are judged each. With an empty benchmark nothing is hit.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    shared = _broadcast_windows(benchmark, item_col, window, block_bytes)
+    blocks = _window_blocks(benchmark, item_col, window, block_bytes)
+    first, second = _first_two(blocks)
+    if second is not None:
+        rows = materialize(source.select(F.monotonically_increasing_id().alias("row"), "id", "text"), "numbered")
+        found = rows.select("row", "id").join(_in_turn(rows.select("row", "text"), itertools.chain([first, second], blocks)), "row")
+        digest = F.sha2(F.array_join("ids", ",").cast("binary"), 256)
+        return found.select(F.col("id").alias(id_col), "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), digest.alias("items_sha256"), _contaminated(share).alias("contaminated"), F.col("ids").alias("item_ids"))
+    shared = docs.sparkSession.sparkContext.broadcast(first)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = WuManber(shared.value)

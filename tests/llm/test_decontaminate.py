@@ -4,7 +4,7 @@ import re
 import numpy as np
 
 from sondage.llm import queries
-from sondage.llm.decontaminate import WuManber, find_benchmark, item_windows, words_of
+from sondage.llm.decontaminate import WuManber, drop_contaminated, find_benchmark, item_windows, words_of
 
 from .conftest import PASSAGE, TEXTS
 
@@ -66,3 +66,15 @@ def test_query_on_the_given_tables(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
     assert rows_of(queries.op4_benchmark_decontamination(spark, d)) == sorted((i, *brute(t, items)) for i, t in docs)
+
+
+def test_benchmark_of_many_blocks(spark, docs, no_docs):
+    items = [(1, PASSAGE), (2, "fox jumps"), (3, "b"), (4, None), (5, ""), (12, "The QUICK, brown fox jumps over the lazy dog near the river bank today and"), (6, "Über ñandú"), (7, PASSAGE + " " + PASSAGE), (8, "fox jumps")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted((i, *brute(t, items)) for i, t in TEXTS)
+    for most in (100, 400):
+        assert rows_of(find_benchmark(docs, bench, block_bytes=most)) == want
+        kept = drop_contaminated(docs, bench, block_bytes=most)
+        assert kept.columns == docs.columns
+        assert sorted(r.doc_id for r in kept.collect()) == [w[0] for w in want if not w[-1]]
+    assert find_benchmark(no_docs, bench, block_bytes=100).count() == 0
