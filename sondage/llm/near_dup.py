@@ -11,6 +11,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -279,12 +280,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
-    """Per row: id, class_id (least id of its class), class_rows (rows in the class).
-
-    Classes are the components of the links between texts with a weighted Jaccard similarity of at least ``least``; equal texts are always linked, texts without words (null, empty, blank) with each other only. Rows that repeat an id are documents alike; a null id counts as the largest. An empty table gives no rows. Other columns are not read.
-    """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+def _classified(source: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """id, digest, sketch of the rows of ``source`` (id, text); digest, label, class_id, class_rows of the distinct texts: label tells classes apart, also where ids are null or repeat."""
     signed = materialize(source.mapInArrow(_sign, "id long, digest binary, sketch binary"), "signatures")
     nodes = signed.groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.min("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id())
     nodes = materialize(nodes, "nodes")
@@ -325,6 +322,30 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     named = nodes.join(labels, "node", "left").select("digest", "first_id", "n", F.coalesce("label", "node").alias("label"))
     classes = named.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_rows"))
-    found = materialize(named.join(classes, "label").select("digest", "class_id", "class_rows"), "classes")
+    return signed, materialize(named.join(classes, "label").select("digest", "label", "class_id", "class_rows"), "classes")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
+    """Per row: id, class_id (least id of its class), class_rows (rows in the class).
+
+    Classes are the components of the links between texts with a weighted Jaccard similarity of at least ``least``; equal texts are always linked, texts without words (null, empty, blank) with each other only. Rows that repeat an id are documents alike; a null id counts as the largest. An empty table gives no rows. Other columns are not read.
+    """
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    signed, found = _classified(source, least)
     return signed.select("id", "digest").join(found, "digest").select(F.col("id").alias(id_col), "class_id", "class_rows")
 
+
+def first_of_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
+    """One row of ``docs`` for each class of ``near_duplicates``, with all its columns: that with the least id, and among equal ids one text's. Rows are told apart by id and digest of the words, so that rows with null or equal ids and different texts stay."""
+    signed, found = _classified(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), least)
+    rows = signed.select("id", "digest").join(found.select("digest", "label"), "digest")
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest")).alias("x"))
+    first = materialize(first.select(F.col("x.id").alias("_first_id"), F.col("x.digest").alias("_first_digest")), "first-rows")
+
+    @F.pandas_udf("binary")
+    def digest(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _digest(_words(t)))
+
+    own = docs.withColumn("_digest", digest(F.col(text_col).cast("string")))
+    own = own.join(first, F.col(id_col).cast("long").eqNullSafe(F.col("_first_id")) & (F.col("_digest") == F.col("_first_digest")), "left_semi")
+    return own.dropDuplicates([id_col, "_digest"]).drop("_digest")
