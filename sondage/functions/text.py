@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +13,16 @@ STOPWORDS = ("a", "an", "and", "are", "as", "at", "by", "for", "from", "how", "i
 _CJK = r"[\x{4e00}-\x{9fff}]"
 
 
+def nfkc(text: Column) -> Column:
+    """Unicode's compatibility composition: full-width forms, ligatures and the like become plain characters."""
+
+    @F.pandas_udf("string")
+    def composed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    return composed(text)
+
+
 def normal_key(text: Column) -> Column:
     """Lower case, without anything but letters, digits and '_'. Full-width forms are not folded: use ``nfkc`` before where they occur."""
     return F.lower(F.regexp_replace(text, r"(?U)[^\w]+", ""))

@@ -13,10 +13,16 @@ from .registry import query
 
 @query(r"SELECT doc_id, lower(regexp_replace(left(text, 400), '[^\p{L}\p{N}_]+', '', 'g')) AS key FROM documents")
 def x1_normal_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the first 400 characters: a label's length at most."""
+    """Of the first 400 characters only, as its SQL twin has it; ``x1_whole_key`` is of the whole text."""
     return table(spark, sf_dir, "documents").select("doc_id", X.normal_key(F.substring("text", 1, 400)).alias("key"))
 
 
+@query(r"SELECT doc_id, md5(lower(regexp_replace(text, '[^\p{L}\p{N}_]+', '', 'g'))) AS key_md5 FROM documents")
+def x1_whole_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the whole text."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.normal_key(F.col("text"))).alias("key_md5"))
+
+
 @query("SELECT doc_id, md5(regexp_replace(lower(text), '[^a-z0-9%一-鿿]', '', 'g')) AS cell_md5 FROM documents")
 def x2_normal_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.normal_cell(F.col("text"))).alias("cell_md5"))

@@ -134,3 +134,15 @@ def test_chart_scopes(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(f"file://{tmp_path}")
     boxes = spark.createDataFrame([("s", "A", 0.0, 0.0, 1.0, 1.0), ("s", "B", 0.0, 0.1, 1.0, 1.0), ("s", "C", 2.0, 2.0, 3.0, 3.0), ("t", "A", 0.0, 0.0, 1.0, 1.0)], "slide_id string, element_id string, x0 double, y0 double, x1 double, y1 double")
     assert sorted(tuple(r) for r in layout.chart_scopes(boxes).collect()) == [("s", "A", "A"), ("s", "B", "A"), ("s", "C", "C"), ("t", "A", "A")]
+
+
+def test_keys_of_whole_texts_and_full_width_forms(spark):
+    df = spark.createDataFrame([("Ｒｅｖｅｎｕｅ （２０２４）",), ("ﬁrst Half",), (None,)], "t string")
+    assert [r[0] for r in df.select(X.normal_key(X.nfkc(F.col("t")))).collect()] == ["revenue2024", "firsthalf", None]
+
+
+def test_x1_whole_key_tells_texts_with_one_head_apart(spark, tmp_path):
+    from sondage.plans.text_queries import x1_whole_key
+
+    spark.createDataFrame([(1, "a " * 300 + "one"), (2, "a " * 300 + "two")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert len({r.key_md5 for r in x1_whole_key(spark, str(tmp_path)).collect()}) == 2
