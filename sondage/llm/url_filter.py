@@ -5,6 +5,7 @@ Trust is personalised PageRank from trusted hosts along links; distrust is the s
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -54,8 +55,8 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return linked.filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def personalised_pagerank(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 10, cut_every: int = 5) -> DataFrame:
-    """host, score after ``rounds`` steps of score = (1 - damping) * seed + damping * sum over in-links of the source's score by link share.
+def personalised_pagerank(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-9, cut_every: int = 5) -> DataFrame:
+    """host, score after ``rounds`` steps, or where they are not given, as many as it takes until all scores together change by less than ``tolerance``, of score = (1 - damping) * seed + damping * sum over in-links of the source's score by link share.
 
     seeds: host, weight (any positive scale; normalised to sum 1). Mass at hosts without links is not passed on.
     """
@@ -66,15 +67,24 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, *, damping: float
     base = materialize(base, "seeds")
     start = base.select("host", ((1 - damping) * F.col("seed")).alias("score"))
     scores = start
-    for k in range(1, rounds + 1):
+    for k in itertools.count(1) if rounds is None else range(1, rounds + 1):
+        before = scores
         moved = scores.join(shares, scores["host"] == shares["src"]).select(F.col("dst").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"))
         scores = start.unionByName(moved).groupBy("host").agg(F.sum("score").alias("score"))
-        if k % cut_every == 0:
+        if rounds is None or k % cut_every == 0:
             scores = materialize(scores, "scores")
+        if rounds is None and _change(before, scores) < tolerance:
+            break
     return scores
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", trusted: DataFrame | None = None, blocked: DataFrame | None = None, threshold: float = 0.5, damping: float = 0.85, rounds: int = 10) -> DataFrame:
+def _change(before: DataFrame, after: DataFrame) -> float:
+    """Sum of the absolute differences of all scores."""
+    both = before.select("host", (-F.col("score")).alias("score")).unionByName(after).groupBy("host").agg(F.sum("score").alias("score"))
+    return both.agg(F.sum(F.abs("score"))).first()[0] or 0.0
+
+
+def judge_urls(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", trusted: DataFrame | None = None, blocked: DataFrame | None = None, threshold: float = 0.5, damping: float = 0.85, rounds: int | None = None) -> DataFrame:
     """Per page: host, path, rule, verdict, trust, distrust.
 
     trusted and blocked: tables of hosts (column host). Where they are not given, hosts with pages that rules allow and none that rules block are trusted by the number of these pages, and hosts all of whose pages rules block are blocked likewise. Hosts that neither reaches are allowed. Null urls and urls without "://" have an empty host and path. Repeated rows are judged each; an empty table gives no rows. Other columns are not read.

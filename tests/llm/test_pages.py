@@ -104,3 +104,11 @@ def test_query_on_the_given_pages(spark):
     for r in rows:
         assert r.verdict == (plain_rule(r.host, r.path)[1] or ("block" if all(blocked[r.host]) else "allow"))
     assert F is not None and len(rows) == len(urls)
+
+
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    pages = [(i, f"http://h{i}.org/", f'<a href="http://h{i + 1}.org/">x</a>') for i in range(15)] + [(15, "http://h15.org/", None)]
+    hosts = lambda *h: spark.createDataFrame([(x,) for x in h], "host string")
+    rows = judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), [], trusted=hosts("other.org"), blocked=hosts("h15.org")).collect()
+    assert {r.verdict for r in rows} == {"block"}
+    assert all(abs(r.distrust - 0.15 * 0.85 ** (15 - r.page_id)) < 1e-9 for r in rows)
