@@ -1,15 +1,18 @@
-"""Shared helpers: scratch tables in the cluster's shared folder, Arrow iteration, word splitting."""
+"""Shared helpers: scratch tables in the cluster's shared folder, Arrow iteration, bounded caches and key filters."""
 
 from __future__ import annotations
 
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+import weakref
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space between words: space and the control characters 9 to 13.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -18,9 +21,12 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; only where that is unset, under a local temporary folder."""
+    """A new path under ``spark.checkpoint.dir``. Where that is unset a session on one machine takes a temporary folder; on a cluster, whose executors could not read it, this raises."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -37,6 +43,9 @@ def shuffle_cleanup(spark: SparkSession):
         spark.conf.set(_CLEANUP, before)
 
 
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def materialize(df: DataFrame, name: str, *partition_by: str, block_mb: int = 16) -> DataFrame:
     """Write ``df`` as a zstd Parquet table in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
@@ -46,7 +55,57 @@ def materialize(df: DataFrame, name: str, *partition_by: str, block_mb: int = 16
         writer = writer.partitionBy(*partition_by)
     with shuffle_cleanup(spark):
         writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _PATHS[found] = path
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete scratch tables of ``materialize`` that nothing reads any more: what was derived from them is written."""
+    for table in tables:
+        if path := _PATHS.pop(table, None):
+            jvm = table.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+_HELD: list[tuple[Hashable, Any]] = []
+
+
+def worker_cache(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` gave for ``key`` in this Python worker. A worker holds one such thing at a time: Spark reuses workers for later stages, whose caches would add up."""
+    if not _HELD or _HELD[0][0] != key:
+        _HELD.clear()
+        _HELD.append((key, make()))
+    return _HELD[0][1]
+
+
+#: A key filter has at most so many 64-bit words: 2 million rows are broadcast, whatever the number of keys.
+_MOST_WORDS = 1 << 21
+
+
+def key_filter(rows: DataFrame, key: Column) -> Callable[[DataFrame, Column], DataFrame]:
+    """A blocked Bloom filter of the values ``key`` of ``rows``, as a function (table, its key) that keeps the table's rows whose key it may hold.
+
+    Each key sets four bits of one 64-bit word; there are four keys to a word, up to ``_MOST_WORDS`` words, which are broadcast as a table. With more keys than that, more rows pass that have no such key; none that has one is ever lost.
+    """
+    words = min(_MOST_WORDS, 1 << max(6, (rows.count() // 4).bit_length()))
+
+    def split(key: Column) -> dict[str, Column]:
+        places = F.xxhash64(key, F.lit("bits"))
+        mask = F.lit(0).cast("long")
+        for at in (0, 16, 32, 48):
+            place = F.shiftrightunsigned(places, at).bitwiseAND(F.lit(63)).cast("int")
+            mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
+        return {"_word": F.xxhash64(key).bitwiseAND(F.lit(words - 1)), "_mask": mask}
+
+    table = materialize(rows.select(*(c.alias(n) for n, c in split(key).items())).groupBy("_word").agg(F.bit_or("_mask").alias("_bits")), "key-filter")
+
+    def passing(df: DataFrame, key: Column) -> DataFrame:
+        marked = df.withColumns(split(key)).join(F.broadcast(table), "_word")  # at most _MOST_WORDS rows
+        return marked.filter(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask")).drop("_word", "_mask", "_bits")
+
+    return passing
 
 
 def pack(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:

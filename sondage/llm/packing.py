@@ -126,7 +126,7 @@ def _placer(runs):
 def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", width: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, ids (null unless ``keep_ids``), sequence_id, offset.
 
-    Each document is its ids and ``end_id``; only longer ones than ``width`` are cut. A null or empty text is the end id alone. Rows that repeat an id, or have a null id, are documents of their own. An empty table gives no rows. Other columns are not read. Which of equally long pieces lies where depends on the order of the rows in their files; the number of sequences doesn't.
+    Each document is its ids and ``end_id``; only longer ones than ``width`` are cut. A null or empty text is the end id alone. Rows that repeat an id, or have a null id, are documents of their own; ids are whole numbers, others become null. An empty table gives no rows. Other columns are not read. Which of equally long pieces lies where depends on the order of the rows in their files; the number of sequences doesn't.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -136,6 +136,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
     runs = spark.sparkContext.broadcast(plan_best_fit(counts, width))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = parts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    ranked = pieces.join(shifts, ["part", "length"]).select(*(F.col(f.name) if f.name != "rank" else (F.col("rank") + F.col("shift")).alias("rank") for f in _PIECE if f.name != "part"))
+    # as many shifts as partitions times lengths: never broadcast
+    ranked = pieces.join(shifts.hint("shuffle_merge"), ["part", "length"]).select(*(F.col(f.name) if f.name != "rank" else (F.col("rank") + F.col("shift")).alias("rank") for f in _PIECE if f.name != "part"))
     placed = ranked.mapInArrow(_placer(runs), "id long, piece int, start long, length long, ids_crc32 long, ids binary, sequence_id long, offset long")
     return placed.withColumnRenamed("id", id_col)

@@ -1,6 +1,6 @@
 """Token ids in a compact file format: canonical length-limited Huffman codes in independent blocks.
 
-A first table holds the ids of each document in ascending id order. Their counts over all documents give code lengths (package-merge, at most ``limit`` bits). A block holds whole documents of about ``block_ids`` ids as one bit string, with the bit offset of every ``stride``-th id, so that a reader starts anywhere and decodes all strides of many blocks at once by table.
+A first table holds the ids of each document in ascending id order. Their counts over all documents give code lengths (package-merge, at most ``limit`` bits). A block holds whole documents of about ``block_ids`` ids as one bit string, with the bit offset of every ``stride``-th id, so that a reader starts anywhere and decodes all strides of many blocks at once by table. The codebook of the file names vocabulary and stride: readers need nothing else.
 """
 
 from __future__ import annotations
@@ -133,7 +133,7 @@ def _kind(vocabulary: int) -> str:
 def tokenized(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int, vocabulary: int) -> DataFrame:
     """Table of ids per document, range-partitioned and sorted by id: part ascends with the ids, local counts the ids before it in its part.
 
-    The last row of each part, with local -1, holds the part's ids and their counts.
+    The last row of each part, with local -1, holds the part's ids and their counts. Rows with equal or null ids are in the order of a hash of their texts, by which the partitions may split them too.
     """
     spark = docs.sparkSession
     kind = _kind(vocabulary)
@@ -156,14 +156,15 @@ def tokenized(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_i
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = source.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    order = [F.col("id").asc_nulls_first(), "tie"]
+    ordered = source.withColumn("tie", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order, "text").select("id", "text")
     return materialize(ordered.mapInArrow(run, "id long, part int, local long, n long, ids binary"), "token-ids")
 
 
 def write_token_ids(docs: DataFrame, tokenizer: str, path: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 50_257, end_id: int = 0, limit: int = 20, block_ids: int = 65_536, stride: int = 256) -> None:
-    """Write ``path``/blocks (Parquet rows: one block each, in directories part=0, 1, ... that ascend with the ids) and ``path``/codebook (id, length).
+    """Write ``path``/blocks (Parquet rows: one block each, in directories part=0, 1, ... that ascend with the ids) and ``path``/codebook (one row: vocabulary, stride, code length of each id).
 
-    A null or empty text has the end id alone. Null ids come first; rows that repeat an id follow one another, ordered by text. An empty table gives an empty file.
+    A null or empty text has the end id alone. Null ids come first; rows that repeat an id follow one another, ordered by a hash of their texts and then by text. Ids are whole numbers; others become null. An empty table gives an empty file. Other columns are not read.
     """
     spark = docs.sparkSession
     kind = _kind(vocabulary)
@@ -208,20 +209,19 @@ def write_token_ids(docs: DataFrame, tokenizer: str, path: str, *, id_col: str =
     blocks = ids.mapInArrow(encode, "start long, n_ids long, doc_ids array<long>, doc_ns array<long>, bits binary, checkpoints binary, part int")
     with shuffle_cleanup(spark):
         blocks.write.partitionBy("part").option("compression", "none").option("parquet.block.size", 16 << 20).parquet(f"{path}/blocks")
-        spark.createDataFrame([(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)], "token long, length int").coalesce(1).write.parquet(f"{path}/codebook")
+        spark.createDataFrame([(vocabulary, stride, bytearray(lengths.tobytes()))], "vocabulary int, stride int, lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
 
 
-def read_token_ids(spark: SparkSession, path: str, *, id_col: str = "doc_id", vocabulary: int = 50_257, stride: int = 256, keep_ids: bool = False) -> DataFrame:
+def read_token_ids(spark: SparkSession, path: str, *, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
     """Decode the files: id, start, n_tokens, ids_crc32 and, where asked for, ids (little-endian unsigned 32-bit)."""
-    lengths = np.zeros(vocabulary, np.uint8)
-    for r in spark.read.parquet(f"{path}/codebook").collect():  # at most `vocabulary` rows
-        lengths[r["token"]] = r["length"]
-    shared = spark.sparkContext.broadcast(lengths)
+    book = spark.read.schema("vocabulary int, stride int, lengths binary").parquet(f"{path}/codebook").first()
+    stride = book["stride"]
+    shared = spark.sparkContext.broadcast(np.frombuffer(bytes(book["lengths"]), np.uint8))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = Codebook(shared.value)
         tables = book.table()
-        for batch in slices(batches, "bits", 1 << 20):
+        for batch in slices(batches, "bits", 2 << 20):
             rows = batch.to_pylist()
             found = decode_bits([(r["bits"], np.frombuffer(r["checkpoints"], "<i8"), r["n_ids"]) for r in rows], tables, book.width, stride)
             out: dict[str, list] = {f.name: [] for f in _READ}

@@ -11,6 +11,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from .common import worker_cache
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
@@ -27,9 +29,9 @@ class _Whole(Exception):
 
 
 class PieceEncoder(dict):
-    """``encode(texts)`` gives per text its ids as little-endian unsigned 32-bit bytes.
+    """``encode(texts)`` gives per text its ids as little-endian unsigned 32-bit bytes: those of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``.
 
-    The dictionary holds the ids of pieces; one that is missing is encoded, and kept while there are fewer than ``most``. style "words": white space separates and is dropped (``word_bpe``). style "bytes": a single blank goes with the piece that follows, a single line end stands alone (``byte_bpe``).
+    The dictionary holds the ids of pieces; one that is missing is encoded, and kept while there are fewer than ``most`` (about 200 bytes each). style "words": white space separates and is dropped (``word_bpe``). style "bytes": a single blank goes with the piece that follows, a single line end stands alone (``byte_bpe``). A text that may hold an added token of the file, such as its end mark, is encoded as a whole.
     """
 
     #: Marks a piece before which there is no blank.
@@ -37,20 +39,26 @@ class PieceEncoder(dict):
     #: Marks that the tokenizers keep apart from letters before them, and together.
     MARKS = ".,;:!?#*$%&"
 
-    def __init__(self, path: str, style: str, most: int = 1_200_000) -> None:
+    def __init__(self, path: str, style: str, most: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenize, self.letters = self.tokenizer.model.tokenize, _byte_letters()
         self.words, self.most = style == "words", most
+        #: How a letter after a blank begins.
+        self.blank = "" if self.words else chr(self.letters[32])
+        #: The first letters of added tokens.
+        self.heads = sorted({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self._encode(piece)
+        if piece.isascii() and piece.isalpha():  # most pieces: their bytes are their letters
+            ids = array("I", [t.id for t in self.tokenize(piece.lower() if self.words else self.blank + piece)]).tobytes()
+        else:
+            ids = self._encode(piece)
         if len(self) < self.most:
             self[piece] = ids
         return ids
@@ -79,7 +87,7 @@ class PieceEncoder(dict):
         return self[key]
 
     def _text(self, text: str) -> bytes:
-        if self.BARE in text:
+        if self.BARE in text or any(head in text for head in self.heads):
             return self._whole(text)
         try:
             if self.words:
@@ -92,11 +100,6 @@ class PieceEncoder(dict):
         return [self._text(t) if t else b"" for t in texts]
 
 
-_ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
-
-
 def encoder(path: str, style: str) -> PieceEncoder:
-    """One encoder for each file in a worker."""
-    if (path, style) not in _ENCODERS:
-        _ENCODERS[path, style] = PieceEncoder(path, style)
-    return _ENCODERS[path, style]
+    """The worker's encoder for this file."""
+    return worker_cache(("pieces", path, style), lambda: PieceEncoder(path, style))

@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from sondage.llm import queries
 from sondage.llm.packing import RoomTree, pack_documents, plan_best_fit
 from sondage.llm.queries import _tokenizer
 from sondage.llm.token_output import Codebook, code_lengths, decode_bits, encode_bits, round_trip
@@ -16,14 +17,13 @@ def plain(name, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(_tokenizer(name))
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
 @pytest.mark.parametrize(("name", "style"), [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "bytes")])
 @pytest.mark.parametrize("most", [0, 7, 100_000])
 def test_cached_pieces_give_the_ids_of_whole_texts(name, style, most):
-    texts = [t for _, t in TEXTS] + ["it's  we'll\x1c x \x85 y", " lead", "trail ", "\u2028 a", "ΑΣ ΑΣ. s\u0327 \u0327x", "<|endoftext|> a<|endoftext|>"]
+    texts = [t for _, t in TEXTS] + ["it's  we'll\x1c x \x85 y", " lead", "trail ", "\u2028 a", "ΑΣ ΑΣ. s\u0327 \u0327x", "<|endoftext|> a<|endoftext|>", "<|ENDOFTEXT|> a <|startoftext|>x"]
     e = PieceEncoder(_tokenizer(name), style, most)
     for _ in range(2):
         got = [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)]
@@ -88,6 +88,41 @@ def test_packing_of_documents(docs, no_docs):
     assert pack_documents(no_docs, _tokenizer("word_bpe_49k.json")).count() == 0
 
 
+def test_sequences_of_the_given_documents(spark):
+    """The query's rows as a whole: every document's ids, cut into pieces, lie without gaps in as few sequences as best-fit decreasing needs."""
+    d = "/root/testdata/sf0.001"
+    rows = queries.op2_best_fit_packing(spark, d).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}
+    want = {}
+    for i, ids in zip(texts, plain("word_bpe_49k.json", texts.values()), strict=True):
+        raw = np.array([*ids, 0], "<u4")
+        for k, at in enumerate(range(0, len(raw), 2048)):
+            want[i, k] = (at, len(raw[at : at + 2048]), zlib.crc32(raw[at : at + 2048].tobytes()))
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == want and len(rows) == len(want)
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    rooms = []
+    for spans in bins.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 2048
+        rooms.append(2048 - at)
+    assert sorted(rooms) == best_fit([r.length for r in rows], 2048)
+
+
+def test_packing_of_null_and_repeated_ids(spark):
+    rows = [(None, "a b c"), (None, "a b c"), (None, None), (3, "x " * 5000), (3, "x " * 5000), (4, "")]
+    got = pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), _tokenizer("word_bpe_49k.json")).collect()
+    assert sorted((str(r.doc_id), r.length) for r in got) == sorted([("None", 4), ("None", 4), ("None", 1), ("3", 2048), ("3", 2048), ("3", 905), ("3", 2048), ("3", 2048), ("3", 905), ("4", 1)])
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for _, n in x) == max(a + n for a, n in x) <= 2048 and len({a for a, _ in x}) == len(x) for x in bins.values())
+
+
 def test_code_lengths_are_limited_and_prefix_free():
     counts = np.array([0, 1, 1, 2, 4, 8, 16, 32, 64, 128, 0, 256])
     free, short = code_lengths(counts, 20), code_lengths(counts, 5)
@@ -116,3 +151,27 @@ def test_token_files_round_trip(docs, no_docs):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids) + 1, zlib.crc32(raw))
         start += len(ids) + 1
     assert round_trip(no_docs, _tokenizer("byte_bpe_50k.json")).count() == 0
+
+
+@pytest.mark.parametrize("options", [{"stride": 64}, {"stride": 1000, "vocabulary": 70_000, "block_ids": 3000}])
+def test_files_name_their_stride_and_vocabulary(docs, options):
+    want = sorted(tuple(r) for r in round_trip(docs, _tokenizer("byte_bpe_50k.json")).collect())
+    assert sorted(tuple(r) for r in round_trip(docs, _tokenizer("byte_bpe_50k.json"), **options).collect()) == want
+
+
+def test_query_on_the_given_documents(spark):
+    d = "/root/testdata/sf0.001"
+    texts = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect())
+    start, want = 0, []
+    for (i, _), ids in zip(texts, plain("byte_bpe_50k.json", [t for _, t in texts]), strict=True):
+        want.append((i, start, len(ids) + 1, zlib.crc32(np.array([*ids, 0], "<u4").tobytes())))
+        start += len(ids) + 1
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in queries.op10_token_ids(spark, d).collect()) == want
+
+
+def test_token_files_of_null_and_repeated_ids(spark):
+    rows = [(None, f"t{k % 3}") for k in range(9)] + [(1, "a"), (1, "b"), (1, "a"), (2, None)]
+    got = sorted(round_trip(spark.createDataFrame(rows, "doc_id long, text string"), _tokenizer("byte_bpe_50k.json")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 9 + [1, 1, 1, 2]
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got[:-1])]).tolist()
+    assert len({r.ids_crc32 for r in got[:9]}) == 3 and len({r.ids_crc32 for r in got[9:12]}) == 2
