@@ -84,28 +84,29 @@ def worker_cache(key: Hashable, make: Callable[[], Any]) -> Any:
 _MOST_WORDS = 1 << 21
 
 
-def key_filter(rows: DataFrame, key: Column) -> Callable[[DataFrame, Column], DataFrame]:
-    """A blocked Bloom filter of the values ``key`` of ``rows``, as a function (table, its key) that keeps the table's rows whose key it may hold.
+def key_filter(rows: DataFrame, *key: Column) -> Callable[..., DataFrame]:
+    """A blocked Bloom filter of the values ``key`` of ``rows``, as a function (table, *its key) that adds a boolean column ``_may_hold`` to the table.
 
-    Each key sets four bits of one 64-bit word; there are four keys to a word, up to ``_MOST_WORDS`` words, which are broadcast as a table. With more keys than that, more rows pass that have no such key; none that has one is ever lost.
+    Each key sets four bits of one 64-bit word; there are four keys to a word, up to ``_MOST_WORDS`` words, which are broadcast as a table. With more keys than that, more rows are marked that have no such key; one that has it always is.
     """
     words = min(_MOST_WORDS, 1 << max(6, (rows.count() // 4).bit_length()))
 
-    def split(key: Column) -> dict[str, Column]:
-        places = F.xxhash64(key, F.lit("bits"))
+    def split(*key: Column) -> dict[str, Column]:
+        places = F.xxhash64(*key, F.lit("bits"))
         mask = F.lit(0).cast("long")
         for at in (0, 16, 32, 48):
             place = F.shiftrightunsigned(places, at).bitwiseAND(F.lit(63)).cast("int")
             mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
-        return {"_word": F.xxhash64(key).bitwiseAND(F.lit(words - 1)), "_mask": mask}
+        return {"_word": F.xxhash64(*key).bitwiseAND(F.lit(words - 1)), "_mask": mask}
 
-    table = materialize(rows.select(*(c.alias(n) for n, c in split(key).items())).groupBy("_word").agg(F.bit_or("_mask").alias("_bits")), "key-filter")
+    table = materialize(rows.select(*(c.alias(n) for n, c in split(*key).items())).groupBy("_word").agg(F.bit_or("_mask").alias("_bits")), "key-filter")
 
-    def passing(df: DataFrame, key: Column) -> DataFrame:
-        marked = df.withColumns(split(key)).join(F.broadcast(table), "_word")  # at most _MOST_WORDS rows
-        return marked.filter(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask")).drop("_word", "_mask", "_bits")
+    def mark(df: DataFrame, *key: Column) -> DataFrame:
+        found = df.withColumns(split(*key)).join(F.broadcast(table), "_word", "left")  # at most _MOST_WORDS rows
+        may = F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))
+        return found.withColumn("_may_hold", may).drop("_word", "_mask", "_bits")
 
-    return passing
+    return mark
 
 
 def pack(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:

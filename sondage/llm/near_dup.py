@@ -2,7 +2,9 @@
 
 A text is the multiset of its shingles of five words. A shingle's weight axis is cut at 1, 2, 4, 8, ...; each piece has its own Poisson process, whose points carry a register and a place in the piece, so that a shingle with count c takes the points below c. The least point of each register is the signature: two texts agree in a register with the probability of their weighted Jaccard similarity. Points of a text are drawn in rising order and only until they exceed its largest register.
 
-Equal texts are one node. Bands of the signature give buckets. The node of each bucket that has most company over all its buckets is compared with the others (first by signature, then by exact multiset overlap): links that give components. Buckets that then still hold several components are settled exactly, in blocks of ``BLOCK`` nodes and pairs of blocks: a first pass over signatures keeps the nodes that may have a partner in another component, a second one compares their multisets and gives at most one link for each component that it joins. No pair of a bucket becomes a row unless it is compared with the bucket's centre or joins two components.
+Equal texts are one node. Bands of the signature give buckets. The node of each bucket that has most company over all its buckets is compared with the others (first by signature, then by exact multiset overlap): links that give components. Buckets that then still hold several components are open. An open bucket whose lesser components together exceed ``BLOCK`` nodes is split by longer bands of the same signatures (``FINE_BANDS`` of ``FINE_ROWS`` registers; a pair of similarity 0.8 that meets in no band at all has a probability of about 1e-5, and meets in a dozen other buckets). Open buckets are settled exactly, in blocks of about ``BLOCK`` nodes and pairs of blocks, where the blocks of the largest component are paired with the others only: a first pass over signatures keeps the nodes that may have a partner in another component, a second one compares their multisets and gives at most one link for each component that it joins. No pair of a bucket becomes a row unless it is compared with the bucket's centre or joins two components.
+
+Texts are read twice: for the signatures, and, where a key filter says that they may be wanted, for the multisets. Whole texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -13,15 +15,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import key_filter, materialize, release, slices, worker_cache
 
 BANDS, ROWS = 40, 5
+FINE_BANDS, FINE_ROWS = 80, 8
 BLOCK = 512
-#: A table of at most so many ids (about 60 bytes each) is broadcast to the texts; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 1 << 18
 REGISTERS = BANDS * ROWS
 #: A pair of similarity 0.8 agrees in fewer registers with a probability below 1e-9.
 _SLACK = 0.17
@@ -38,18 +39,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(self) < 1_000_000:
+        if len(self) < 400_000:  # about 170 bytes each
             self[word] = value
         return value
 
 
-_WORDS = _WordHashes()
-
-
 def shingle_hashes(texts: list[list[bytes]], size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all shingles of all texts, and the text of each; a text of fewer words, but not none, is one shingle."""
     counts = np.array([len(w) for w in texts], np.int64)
-    words = np.fromiter((_WORDS[w] for ws in texts for w in ws), np.uint64, int(counts.sum()))
+    known = worker_cache("word-hashes", _WordHashes)
+    words = np.fromiter((known[w] for ws in texts for w in ws), np.uint64, int(counts.sum()))
     padded = np.concatenate([words, np.zeros(size, np.uint64)])
     n = np.where(counts > 0, np.maximum(counts - size + 1, 1), 0)
     owner = np.repeat(np.arange(len(texts)), n)
@@ -73,7 +72,7 @@ def bag_min_hash(shingles: np.ndarray, owner: np.ndarray, n_texts: int, register
     low = 1
     while (more := weight > low).any():
         t, e, w = text[more], element[more], weight[more]
-        units.append((t, _mix(e + _GOLD * np.uint64(low)), np.full(len(t), float(low)), np.full(len(t), low), w))
+        units.append((t, _mix(e + np.full(1, low, np.uint64) * _GOLD), np.full(len(t), float(low)), np.full(len(t), low), w))
         low *= 2
     text, seed, rate, low_end, weight = (np.concatenate(x) for x in zip(*units, strict=True))
     seed = _mix(seed)
@@ -163,11 +162,14 @@ def _near(least: float):
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """digest, units of the texts; of equal texts in a task mostly one, so that no text is repeated a million times."""
+    seen: set[bytes] = set()
     for batch in slices(batches, "text", 1 << 20):
-        words = [_words(t) for t in batch.column("text").to_pylist()]
-        own = [_digest(w) == d for w, d in zip(words, batch.column("digest").to_pylist(), strict=True)]
-        units = [unit_hashes(w).tobytes() if o else None for w, o in zip(words, own, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(units, pa.binary())], ["node", "units"]).filter(pa.array(own))
+        found = {_digest(w): w for w in map(_words, batch.column("text").to_pylist())}
+        fresh = [d for d in found if d not in seen]
+        if len(seen) < 200_000:
+            seen.update(fresh)
+        yield pa.RecordBatch.from_arrays([pa.array(fresh, pa.binary()), pa.array([unit_hashes(found[d]).tobytes() for d in fresh], pa.binary())], ["digest", "units"])
 
 
 def _verify(least: float):
@@ -257,26 +259,51 @@ def _joining(least: float):
     return joining
 
 
-def _in_blocks(members: DataFrame) -> DataFrame:
-    """Rows of each bucket in blocks of ``BLOCK``, once for every pair of blocks (i, j) of the bucket that theirs is part of, sorted by bucket and pair."""
-    w = Window.partitionBy("key")
-    rows = members.withColumn("block", F.floor((F.row_number().over(w.orderBy("node")) - 1) / BLOCK).cast("int"))
-    rows = rows.withColumn("last", F.max("block").over(w)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
-    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Longer bands of the signatures, within their buckets: random choices of registers, the same for all."""
+    picks = np.random.default_rng(8).permuted(np.tile(np.arange(REGISTERS), (FINE_BANDS, 1)), axis=1)[:, :FINE_ROWS]
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+            bands = np.ascontiguousarray(sketch[:, picks]).view("<u8").reshape(-1, FINE_BANDS)
+            own = _mix(part.column("key").to_numpy().astype(np.int64).view(np.uint64)[:, None] + _GOLD * np.arange(1, FINE_BANDS + 1, dtype=np.uint64))
+            repeated = [pa.array(np.repeat(part.column(c).to_numpy(), FINE_BANDS)) for c in ("node", "label")]
+            yield pa.RecordBatch.from_arrays([pa.array(_mix(bands ^ own).ravel().view(np.int64)), *repeated], ["key", "node", "label"])
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """The rows (key, node, label) of buckets with several labels, with the most frequent label (main), its rows and those of all."""
+    sizes = members.groupBy("key", "label").agg(F.count("*").alias("n"))
+    shape = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n_all")).filter("top.n < n_all")
+    return members.join(shape.select("key", F.col("top.label").alias("main"), F.col("top.n").alias("n_main"), "n_all"), "key")
+
+
+def _in_blocks(opened: DataFrame) -> DataFrame:
+    """Rows of open buckets dealt to blocks of about ``BLOCK``, once for every pair of blocks (i, j) of the bucket that theirs is part of, sorted by bucket and pair. Blocks of the main label come last, and form no pairs among themselves."""
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    rows = opened.withColumns({"is_main": F.col("label") == F.col("main"), "rest_blocks": blocks(F.col("n_all") - F.col("n_main")), "main_blocks": blocks(F.col("n_main"))})
+    hashed = F.xxhash64("node", F.lit("block"))
+    own = F.when(F.col("is_main"), F.col("rest_blocks") + F.pmod(hashed, "main_blocks")).otherwise(F.pmod(hashed, "rest_blocks")).cast("int")
+    last = F.col("rest_blocks") - 1 + F.when(F.col("is_main"), 0).otherwise(F.col("main_blocks"))
+    rows = rows.withColumns({"block": own, "other": F.explode(F.sequence(F.lit(0), last))})
+    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "is_main", "rest_blocks", "main_blocks", "main", "n_main", "n_all")
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, label for the nodes of ``links`` (a, b): label is the least node of the connected component. Labels spread to neighbours and then jump to their label's label; each round is written to the shared folder."""
     both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
+    labels = last = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
         moved = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("at"), F.col("label").alias("next"))
         moved = materialize(moved.join(jump, moved["label"] == jump["at"]).select("node", "old", F.least("label", "next").alias("label")), "labels")
-        labels = moved.select("node", "label")
+        release(last)
+        labels, last = moved.select("node", "label"), moved
         if moved.filter("old <> label").isEmpty():
+            release(both)
             return labels
 
 
@@ -288,37 +315,44 @@ def _classified(source: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     bands = nodes.filter("length(sketch) > 0").select("node", "sketch").mapInArrow(_band, "key long, node long")
     buckets = materialize(bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     members = materialize(bands.join(buckets, "key").select("key", "node", "n"), "members")
+    release(buckets)
     company = members.groupBy("node").agg(F.sum("n").alias("company"))
-    centres = members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node"))["node"].alias("hub"))
-    pairs = members.select("key", "node").join(materialize(centres, "centres"), "key").filter("node <> hub")
+    centres = materialize(members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node"))["node"].alias("hub")), "centres")
+    pairs = members.select("key", "node").join(centres, "key").filter("node <> hub")
     pairs = pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
 
     def units_of(wanted: DataFrame) -> DataFrame:
-        """node, units of the nodes wanted: their texts are those of their first ids."""
+        """node, units of the nodes wanted: their texts are among those with their first ids."""
         wanted = materialize(nodes.join(wanted, "node").select("node", "digest", "first_id"), "wanted")
-        few = wanted.count() <= BROADCAST_ROWS
-        texts = source.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("first_id"))).select("node", "digest", "text")
-        return materialize(texts.mapInArrow(_units, "node long, units binary").dropDuplicates(["node"]), "units")
+        texts = key_filter(wanted, F.col("first_id"))(source, F.col("id")).filter("_may_hold").select("text")
+        found = texts.mapInArrow(_units, "digest binary, units binary").dropDuplicates(["digest"])
+        return materialize(found.join(wanted.select("digest", "node"), "digest").select("node", "units"), "units")
 
     sketch = nodes.select("node", "sketch")
     pairs = pairs.join(sketch.toDF("a", "sketch_a"), "a").join(sketch.toDF("b", "sketch_b"), "b")
     pairs = materialize(pairs.mapInArrow(_near(least), "a long, b long"), "pairs")
+    release(centres)
     units = units_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     checked = pairs.join(units.toDF("a", "units_a"), "a").join(units.toDF("b", "units_b"), "b")
     links = materialize(checked.mapInArrow(_verify(least), "a long, b long"), "near-links")
+    release(pairs)
     labels = components(links)
 
-    labelled = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
     # a bucket of two is settled: its centre was one of them
-    several = labelled.filter("n > 2").groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    still = labelled.join(materialize(several, "open-buckets"), "key").drop("n").join(sketch, "node")
-    suspects = _in_blocks(still).mapInArrow(_suspects(least), "key long, node long")
+    labelled = members.filter("n > 2").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    opened = materialize(_open(labelled), "open-buckets")
+    release(members)
+    large = F.col("n_all") - F.col("n_main") > BLOCK
+    finer = opened.filter(large).join(sketch, "node").mapInArrow(_refine, "key long, node long, label long")
+    todo = opened.filter(~large).unionByName(_open(finer)).join(sketch, "node")
+    suspects = _in_blocks(todo).mapInArrow(_suspects(least), "key long, node long")
     suspects = materialize(suspects.distinct().join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "suspects")
     if not suspects.isEmpty():
         more = suspects.select("node").distinct().join(units.select("node"), "node", "left_anti")
         units = units.unionByName(units_of(more))
-        joined = _in_blocks(suspects.join(sketch, "node").join(units, "node")).mapInArrow(_joining(least), "a long, b long")
+        joined = _in_blocks(_open(suspects).join(sketch, "node").join(units, "node")).mapInArrow(_joining(least), "a long, b long")
         labels = components(links.unionByName(materialize(joined, "joining-links")))
+    release(opened)
 
     named = nodes.join(labels, "node", "left").select("digest", "first_id", "n", F.coalesce("label", "node").alias("label"))
     classes = named.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_rows"))
@@ -328,7 +362,7 @@ def _classified(source: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """Per row: id, class_id (least id of its class), class_rows (rows in the class).
 
-    Classes are the components of the links between texts with a weighted Jaccard similarity of at least ``least``; equal texts are always linked, texts without words (null, empty, blank) with each other only. Rows that repeat an id are documents alike; a null id counts as the largest. An empty table gives no rows. Other columns are not read.
+    Classes are the components of the links between texts with a weighted Jaccard similarity of at least ``least``; equal texts are always linked, texts without words (null, empty, blank) with each other only. Ids are whole numbers, others become null. Rows that repeat an id are documents alike; a null id counts as the largest. An empty table gives no rows. Other columns are not read.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed, found = _classified(source, least)
@@ -336,16 +370,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def first_of_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
-    """One row of ``docs`` for each class of ``near_duplicates``, with all its columns: that with the least id, and among equal ids one text's. Rows are told apart by id and digest of the words, so that rows with null or equal ids and different texts stay."""
+    """One row of ``docs`` for each class of ``near_duplicates``, with all its columns: that with the least id, and among equal ids one text's. Rows are told apart by id and digest of the words, so that rows with null or equal ids and different texts stay.
+
+    Rows whose ids no class of several rows has are kept where they lie; only the others are shuffled.
+    """
     signed, found = _classified(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), least)
-    rows = signed.select("id", "digest").join(found.select("digest", "label"), "digest")
-    first = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest")).alias("x"))
-    first = materialize(first.select(F.col("x.id").alias("_first_id"), F.col("x.digest").alias("_first_digest")), "first-rows")
+    rows = materialize(signed.select("id", "digest").join(found.filter("class_rows > 1").select("digest", "label"), "digest").groupBy("label", "id", "digest").agg(F.count("*").alias("n")), "class-rows")
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest", "n")).alias("x"))
+    single = signed.select("id", "digest").join(found.filter("class_rows = 1").select("digest"), "digest").select("id", "digest", F.lit(1).cast("long").alias("n"))
+    of_several = key_filter(rows, F.col("id"))
+    # single rows are looked up only where they have an id, or a false alarm, in common with a class
+    first = of_several(first.select("x.id", "x.digest", "x.n").unionByName(single), F.col("id")).filter("_may_hold")
+    first = materialize(first.select(F.col("id").alias("_first_id"), F.col("digest").alias("_first_digest"), F.col("n").alias("_first_n")), "first-rows")
 
     @F.pandas_udf("binary")
     def digest(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: _digest(_words(t)))
 
-    own = docs.withColumn("_digest", digest(F.col(text_col).cast("string")))
-    own = own.join(first, F.col(id_col).cast("long").eqNullSafe(F.col("_first_id")) & (F.col("_digest") == F.col("_first_digest")), "left_semi")
-    return own.dropDuplicates([id_col, "_digest"]).drop("_digest")
+    marked = of_several(docs, F.col(id_col).cast("long"))
+    apart = marked.filter(~F.col("_may_hold")).select(*docs.columns)
+    own = marked.filter("_may_hold").withColumn("_digest", digest(F.col(text_col).cast("string")))
+    own = own.join(first, F.col(id_col).cast("long").eqNullSafe(F.col("_first_id")) & (F.col("_digest") == F.col("_first_digest")))
+    repeated = own.filter("_first_n > 1").dropDuplicates([id_col, "_digest"])
+    return apart.unionByName(own.filter("_first_n = 1").select(*docs.columns)).unionByName(repeated.select(*docs.columns))

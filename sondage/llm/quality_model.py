@@ -1,6 +1,6 @@
 """Ordinal quality model: cumulative-link regression on hashed text features.
 
-One weight vector is shared by all grades; ordered thresholds cut its score into grades: P(grade <= k) = logistic(threshold_k - score). The expected grade and the probability of the top grade select documents. The model is fitted on a bounded sample of labelled rows (``per_grade`` rows of each grade, by a hash of the id); every document is scored.
+One weight vector is shared by all grades; ordered thresholds cut its score into grades: P(grade <= k) = logistic(threshold_k - score). The expected grade and the probability of the top grade select documents. The model is fitted on a bounded sample of labelled rows (``per_grade`` rows of each grade, by a hash of the id), and the limit for selection set on the same rows, each scored by a model that has not seen it; every document is scored.
 """
 
 from __future__ import annotations
@@ -15,14 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, slices, worker_cache
 
 #: Hash buckets of the weights: 2**20 floats, whatever the corpus.
 BITS = 20
 _EDGE = ".,;:!?\"'()[]{}#*$%&|<>-_"
 _SYMBOLS = "#*$%&|<>"
-_SEEN: dict[str, bytes] = {}
-_MOST_SEEN = 400_000
+#: Words whose features a worker keeps, about 200 bytes each.
+_MOST_SEEN = 250_000
 
 
 def _bucket(kind: str, value: str) -> int:
@@ -40,13 +40,13 @@ def features(text: str | None) -> np.ndarray:
     """Sorted distinct buckets of a text; its length and share of distinct words count as buckets too."""
     words = text.split() if text else []
     distinct = set(words)
-    parts = []
+    parts, seen = [], worker_cache("word-features", dict)
     for w in distinct:
-        found = _SEEN.get(w)
+        found = seen.get(w)
         if found is None:
             found = word_features(w)
-            if len(_SEEN) < _MOST_SEEN:
-                _SEEN[w] = found
+            if len(seen) < _MOST_SEEN:
+                seen[w] = found
         parts.append(found)
     own = np.array([_bucket("length", str(len(words).bit_length())), _bucket("variety", str(10 * len(distinct) // max(1, len(words))))], "<u4")
     return np.unique(np.concatenate([np.frombuffer(b"".join(parts), "<u4"), own]))
@@ -86,6 +86,20 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, *, steps: int
     return OrdinalModel(weights, cut)
 
 
+def loss_and_gradient(w: np.ndarray, cut: np.ndarray, flat: np.ndarray, starts: np.ndarray, grades: np.ndarray, share: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Negative log likelihood of the rows' grades, each row weighed by ``share``, and its derivatives by weights and thresholds. Row i has the buckets flat[starts[i]] up to flat[starts[i + 1]]."""
+    index, lens = np.arange(len(starts)), np.diff(np.append(starts, len(flat)))
+    s = np.add.reduceat(w[flat], starts)
+    below = 1 / (1 + np.exp(np.clip(s[:, None] - cut[None, :], -500, 500)))  # P(grade <= k)
+    full = np.concatenate([np.zeros((len(starts), 1)), below, np.ones((len(starts), 1))], 1)
+    slope = full * (1 - full)
+    p = (full[index, grades + 1] - full[index, grades]).clip(1e-12)
+    up, down = slope[index, grades + 1] / p * share, slope[index, grades] / p * share
+    by_weight = np.bincount(flat, np.repeat(up - down, lens), minlength=len(w))
+    by_cut = np.array([down[grades == k + 1].sum() - up[grades == k].sum() for k in range(len(cut))])
+    return float(-(share * np.log(p)).sum()), by_weight, by_cut
+
+
 def _descend(rows: list[np.ndarray], grades: np.ndarray, used: np.ndarray, thresholds: np.ndarray, steps: int, rate: float, penalty: float) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the buckets ``used``, and thresholds, after ``steps`` of proximal AdaGrad over all rows."""
     n_grades, size = len(thresholds) + 1, 1 << BITS
@@ -93,21 +107,13 @@ def _descend(rows: list[np.ndarray], grades: np.ndarray, used: np.ndarray, thres
     place[used] = np.arange(len(used))
     kept = [place[r] for r in rows]
     kept = [np.append(r[r >= 0], len(used)) for r in kept]  # one dummy, so that no row is empty
-    lens = np.array([len(r) for r in kept])
-    flat, starts = np.concatenate(kept), np.cumsum(lens) - lens
-    owner, index = np.repeat(np.arange(len(rows)), lens), np.arange(len(rows))
+    flat = np.concatenate(kept)
+    starts = np.cumsum([0, *(len(r) for r in kept[:-1])])
     w, seen = np.zeros(len(used) + 1), np.full(len(used) + 1, 1e-8)
     cut, cut_seen = thresholds.copy(), np.full(n_grades - 1, 1e-8)
     share = (1 / (np.bincount(grades, minlength=n_grades) * len(set(grades.tolist()))).clip(1e-9))[grades]
     for _ in range(steps):
-        s = np.add.reduceat(w[flat], starts)
-        below = 1 / (1 + np.exp(np.clip(s[:, None] - cut[None, :], -500, 500)))  # P(grade <= k)
-        full = np.concatenate([np.zeros((len(rows), 1)), below, np.ones((len(rows), 1))], 1)
-        slope = full * (1 - full)
-        p = (full[index, grades + 1] - full[index, grades]).clip(1e-12)
-        up, down = slope[index, grades + 1] / p * share, slope[index, grades] / p * share
-        g = np.bincount(flat, (up - down)[owner], minlength=len(used) + 1)
-        g_cut = np.array([down[grades == k + 1].sum() - up[grades == k].sum() for k in range(n_grades - 1)])
+        _, g, g_cut = loss_and_gradient(w, cut, flat, starts, grades, share)
         g[-1] = 0
         seen += g * g
         step = rate / np.sqrt(seen)
@@ -118,23 +124,32 @@ def _descend(rows: list[np.ndarray], grades: np.ndarray, used: np.ndarray, thres
     return w[:-1], cut
 
 
-def fit_and_calibrate(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, *, good_counts: float = 5.0) -> OrdinalModel:
-    """Fit on four fifths of the rows; ``least``, 0.5 at most, is the limit that on the last fifth does best: the part of the top grade that reaches it, times ``good_counts``, less the part of the lowest grade that does."""
-    held = np.arange(len(rows)) % 5 == 4
+#: Parts of the sample that are held out in turn to set the limit.
+FOLDS = 3
+
+
+def fit_fold(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, fold: int) -> tuple[OrdinalModel, np.ndarray, np.ndarray]:
+    """The model of the rows outside of ``fold`` (of all, for fold ``FOLDS``), and probabilities of the top grade of the rows within, with their grades."""
+    held = np.arange(len(rows)) % FOLDS == fold
     model = fit([r for r, h in zip(rows, held, strict=True) if not h], grades[~held], n_grades)
-    scored = model.grades(np.array([model.score(r) for r, h in zip(rows, held, strict=True) if h]))[1] if held.any() else np.zeros(0)
-    top, low = (np.sort(scored[grades[held] == g]) for g in (n_grades - 1, 0))
+    top = model.grades(np.array([model.score(r) for r, h in zip(rows, held, strict=True) if h]))[1] if held.any() else np.zeros(0)
+    return model, top, grades[held]
+
+
+def best_limit(scored: np.ndarray, grades: np.ndarray, n_grades: int, *, good_counts: float = 5.0) -> float:
+    """Of the probabilities up to 0.5, the one that as a limit does best: the part of the top grade that reaches it, times ``good_counts``, less the part of the lowest grade that does."""
+    top, low = (np.sort(scored[grades == g]) for g in (n_grades - 1, 0))
     if not len(top) or not len(low):
-        return model
+        return 0.5
     limits = np.unique(np.append(top[top < 0.5], 0.5))
     gain = good_counts * (1 - np.searchsorted(top, limits) / len(top)) - (1 - np.searchsorted(low, limits) / len(low))
-    return OrdinalModel(model.weights, model.thresholds, float(limits[np.argmax(gain)]))
+    return float(limits[np.argmax(gain)])
 
 
 def train(docs: DataFrame, labels: DataFrame, *, per_grade: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """Fit on at most ``per_grade`` labelled documents of each grade: 0 toxic, 1 low quality, 2 good.
 
-    Labels with a null are left out; of several labels of a document the lowest counts. Without two grades the model keeps everything.
+    Labels with a null are left out, as are ids that are no whole numbers; of several labels of a document the lowest counts. Without two grades the model keeps everything.
     """
     grade = F.when(F.col("toxic") != 0, 0).when(F.col("quality") == 0, 1).otherwise(2)
     graded = labels.filter("quality is not null and toxic is not null").filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(grade).alias("grade"))
@@ -152,16 +167,21 @@ def train(docs: DataFrame, labels: DataFrame, *, per_grade: int = 3000, id_col:
 
     rows = materialize(sample.mapInArrow(extract, "id long, grade int, buckets binary"), "label-features")
 
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: (r["id"], r["buckets"]))
-        model = fit_and_calibrate([np.frombuffer(r["buckets"], "<u4") for r in table], np.array([r["grade"] for r in table], np.int64), 3)
-        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([[*model.thresholds.tolist(), model.least]], pa.list_(pa.float64()))], ["weights", "cuts"])
+    def solve(table: pa.Table) -> pa.Table:
+        rows, fold = sorted(table.to_pylist(), key=lambda r: (r["id"], r["buckets"])), table.column("fold")[0].as_py()
+        model, top, grades = fit_fold([np.frombuffer(r["buckets"], "<u4") for r in rows], np.array([r["grade"] for r in rows], np.int64), 3, fold)
+        return pa.table({"weights": pa.array([model.weights.tobytes() if fold == FOLDS else None], pa.binary()), "thresholds": pa.array([model.thresholds.tolist()]), "top": pa.array([top.tolist()], pa.list_(pa.float64())), "grades": pa.array([grades.tolist()], pa.list_(pa.int64()))})
 
-    # the bounded sample is fitted in one task; its result is one row of fixed size
-    row = materialize(rows.coalesce(1).mapInArrow(solve, "weights binary, cuts array<double>"), "quality-model").first()
-    if row is None:
+    # the bounded sample is fitted once for each fold and once as a whole, a task each; of these come one vector of weights and the held-out probabilities
+    folds = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS)))).groupBy("fold").applyInArrow(solve, "weights binary, thresholds array<double>, top array<double>, grades array<long>")
+    found = materialize(folds, "quality-model").collect()
+    if not found:
         return fit([], np.zeros(0, np.int64), 3)
-    return OrdinalModel(np.frombuffer(row["weights"], np.float32), np.array(row["cuts"][:-1]), row["cuts"][-1])
+    whole = next(r for r in found if r["weights"] is not None)
+    if len({g for r in found for g in r["grades"]}) < 2:
+        return OrdinalModel(np.frombuffer(bytes(whole["weights"]), np.float32), np.array(whole["thresholds"]))
+    least = best_limit(np.concatenate([r["top"] for r in found]), np.concatenate([r["grades"] for r in found]), 3)
+    return OrdinalModel(np.frombuffer(bytes(whole["weights"]), np.float32), np.array(whole["thresholds"]), least)
 
 
 def score(docs: DataFrame, model: OrdinalModel, *, text_col: str = "text") -> DataFrame:

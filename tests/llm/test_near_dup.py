@@ -4,8 +4,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from sondage.llm import queries
-from sondage.llm.near_dup import bag_min_hash, components, near_duplicates, shingle_hashes, similarity, unit_hashes
+from sondage.llm import near_dup, queries
+from sondage.llm.near_dup import bag_min_hash, components, first_of_classes, near_duplicates, shingle_hashes, similarity, unit_hashes
 
 from .conftest import TEXTS
 
@@ -105,3 +105,28 @@ def test_query_on_the_given_documents(spark):
     d = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
     assert result(queries.op3_near_duplicates(spark, d)) == brute(rows)
+
+
+def test_hot_buckets_are_split(spark, monkeypatch):
+    """Texts that share a passage and little else, near copies of some of them: large open buckets, in blocks of three nodes."""
+    monkeypatch.setattr(near_dup, "BLOCK", 3)
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(60)]
+    rows = []
+    for k in range(40):
+        own = passage + [f"t{k}w{rng.randrange(999)}" for _ in range(20 + k % 5)]
+        rows.append((2 * k, " ".join(own)))
+        if k % 3 == 0:
+            own[-1] = "changed"
+            rows.append((2 * k + 1, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(near_duplicates(df)) == brute(rows)
+
+
+def test_first_of_classes_keeps_other_columns(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(1, words(1), "a", 1), (2, words(1) + " end", "b", 2), (3, words(3), None, 3), (3, words(4), "c", 4), (3, words(3), None, 3), (None, words(5), "d", 5), (None, words(4), "e", 6), (7, "", "f", 7), (8, None, "g", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest string, n int")
+    got = first_of_classes(df)
+    assert got.columns == df.columns
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([rows[0], rows[2], rows[3], rows[5], rows[7]], key=str)
