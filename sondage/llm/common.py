@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 import weakref
@@ -76,10 +77,21 @@ def worker_cache(key: Hashable, make: Callable[[], Any]) -> Any:
     """What ``make`` gave for ``key`` in this Python worker. A worker holds one such thing at a time: Spark reuses workers for later stages, whose caches would add up."""
     if not _HELD or _HELD[0][0] != key:
         _HELD.clear()
+        give_back()
         _HELD.append((key, make()))
     return _HELD[0][1]
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Return memory that this worker has freed to the system: an idle worker keeps it otherwise, beside the executor's own."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 #: A key filter has at most so many 64-bit words: 2 million rows are broadcast, whatever the number of keys.
 _MOST_WORDS = 1 << 21
 
@@ -126,3 +138,4 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) ->
             total += size
         if begin < batch.num_rows:
             yield batch.slice(begin)
+    give_back()

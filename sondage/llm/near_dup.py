@@ -39,7 +39,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(self) < 400_000:  # about 170 bytes each
+        if len(self) < 120_000:  # about 170 bytes each
             self[word] = value
         return value
 

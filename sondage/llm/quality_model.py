@@ -22,7 +22,7 @@ BITS = 20
 _EDGE = ".,;:!?\"'()[]{}#*$%&|<>-_"
 _SYMBOLS = "#*$%&|<>"
 #: Words whose features a worker keeps, about 200 bytes each.
-_MOST_SEEN = 250_000
+_MOST_SEEN = 150_000
 
 
 def _bucket(kind: str, value: str) -> int:

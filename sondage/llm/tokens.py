@@ -39,7 +39,7 @@ class PieceEncoder(dict):
     #: Marks that the tokenizers keep apart from letters before them, and together.
     MARKS = ".,;:!?#*$%&"
 
-    def __init__(self, path: str, style: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, style: str, most: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
