@@ -1,8 +1,8 @@
 """Removal of passages that an earlier document has, by merged Burrows-Wheeler transforms.
 
-Documents are packed into shards of a few megabytes. Each window of ``length`` bytes belongs to the least hash of its ``GRAM``-byte grams (its minimizer), so that equal windows meet under one value, and neighbouring windows with one value form a string of at most 2 * length - GRAM bytes. Values that occur once in the corpus are dropped. The other strings go to buckets by value, each distinct string of a shard once. In a bucket, the parts of the strings whose windows may be equal to others (by a hash of all their bytes) are kept, each distinct part once; every shard's parts have a Burrows-Wheeler transform; the transforms are merged by refining the interleave of their rows symbol by symbol (Holt and McMillan), without sorting all suffixes anew. Each step also refines the common prefixes, and after ``length`` steps equal windows are intervals of rows, for each of which the least document is known. Shards then cover the windows whose least document is smaller than their own.
+Documents are packed into shards of about a megabyte. Each window of ``length`` bytes belongs to the least hash of its ``GRAM``-byte grams (its minimizer), so that equal windows meet under one value, and neighbouring windows with one value form a string of at most 2 * length - GRAM bytes. Values that occur once in the corpus are dropped. Values of more than ``hot`` strings (a phrase that very many documents have, each with other words around it) are split: their windows belong to the hash of all their bytes instead, and again only hashes that occur twice stay. The strings go to buckets by value, each distinct string of a shard once. In a bucket, the parts of the strings whose windows may be equal to others (by a hash of all their bytes) are kept, each distinct part once; every shard's parts have a Burrows-Wheeler transform; the transforms are merged by refining the interleave of their rows symbol by symbol (Holt and McMillan), without sorting all suffixes anew. Each step also refines the common prefixes, and after ``length`` steps equal windows are intervals of rows, for each of which the least document is known. Shards then cover the windows whose least document is smaller than their own.
 
-No task holds more than a shard, or a bucket whose size follows from the number of buckets.
+A task holds a shard, or a bucket: ``values_per_bucket`` values on average, each with at most ``hot`` strings or one string a shard. Shards move compressed.
 """
 
 from __future__ import annotations
@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import give_back, key_filter, materialize, slices
 
 GRAM = 20
 _LAST = np.iinfo(np.int64).max
@@ -57,8 +58,9 @@ def window_strings(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none, none, none.astype(np.uint64)
-    gram = gram_hashes(data, GRAM)
-    least = _sliding_min(gram, length - GRAM + 1)
+    size = min(GRAM, length)
+    gram = gram_hashes(data, size)
+    least = _sliding_min(gram, length - size + 1)
     valid = np.ones(len(least), bool)
     # a window that crosses an end is none
     for k in ends[:-1].tolist():
@@ -70,7 +72,7 @@ def window_strings(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.
     n = np.diff(np.append(first, len(least)))
     on = valid[first]
     first, n = first[on], n[on]
-    most = length - GRAM + 1
+    most = length - size + 1
     if (n > most).any():
         cuts = -(-n // most)
         nth = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
@@ -204,49 +206,79 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text", 1 << 20):
         rows = sorted(zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True), key=lambda r: _LAST if r[0] is None else r[0])
         raw = [(t or "").encode("utf-8", "replace") for _, t in rows]
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([[i for i, _ in rows]], pa.list_(pa.int64())), pa.array([[len(r) for r in raw]], pa.list_(pa.int64())), pa.array([b"".join(raw)], pa.binary())], ["shard", "ids", "lens", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([[i for i, _ in rows]], pa.list_(pa.int64())), pa.array([[len(r) for r in raw]], pa.list_(pa.int64())), pa.array([zstandard.ZstdCompressor(level=1).compress(b"".join(raw))], pa.binary())], ["shard", "ids", "lens", "data"])
         n += 1
 
 
+def _by_bucket(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(bucket, places) by bucket, ascending in both."""
+    order = np.argsort(bucket, kind="stable")
+    at = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    return [(int(bucket[part[0]]), part) for part in np.split(order, at[1:])] if len(order) else []
+
+
+class _Values:
+    """Distinct values of a shard's runs of windows: which of them other runs have, here or, once the states are added, elsewhere (1), and which are hot (2)."""
+
+    def __init__(self, value: np.ndarray, buckets: int) -> None:
+        self.values, self.which, self.counts = np.unique(value, return_inverse=True, return_counts=True)
+        self.bucket = (self.values % np.uint64(buckets)).astype(np.int64)
+        self.state = (self.counts > 1).astype(np.uint8)
+
+    def add(self, states: list | None) -> None:
+        found = {x["bucket"]: x["states"] for x in states or []}
+        for bucket, part in _by_bucket(self.bucket):
+            if bucket in found:
+                self.state[part] = np.maximum(self.state[part], np.frombuffer(found[bucket], np.uint8))
+
+    def batch(self, shard: int) -> pa.RecordBatch:
+        """bucket, shard, values, counts: a row for each bucket."""
+        parts = _by_bucket(self.bucket)
+        columns = [pa.array([b for b, _ in parts], pa.int64()), pa.array([shard] * len(parts), pa.int64())]
+        columns += [pa.array([x[p].tobytes() for _, p in parts], pa.binary()) for x in (self.values, self.counts.astype(np.uint32))]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "shard", "values", "counts"])
+
+
 class _Shard:
-    """A shard's strings, and which of them may repeat."""
+    """A shard's runs of windows (first, n, bucket) and which of them may repeat."""
 
     def __init__(self, row: dict, length: int, buckets: int) -> None:
-        self.shard, self.ids, self.raw = row["shard"], row["ids"], row["data"]
+        self.shard, self.ids = row["shard"], row["ids"]
+        self.raw = zstandard.ZstdDecompressor().decompress(row["data"])
         self.lens = np.array(row["lens"], np.int64)
         self.ends = np.cumsum(self.lens)
         self.data = np.frombuffer(self.raw, np.uint8)
         self.length, self.buckets = length, buckets
-        self.first, self.n, self.value = window_strings(self.data, self.ends, length)
-        self.values, self.which, counts = np.unique(self.value, return_inverse=True, return_counts=True)
-        self.repeats = counts > 1
-        self.bucket = (self.values % np.uint64(buckets)).astype(np.int64)
-
-    def by_bucket(self) -> list[tuple[int, np.ndarray]]:
-        """Places in ``values`` by bucket, ascending in both."""
-        order = np.argsort(self.bucket, kind="stable")
-        at = np.flatnonzero(np.diff(self.bucket[order], prepend=-1))
-        return [(int(self.bucket[part[0]]), part) for part in np.split(order, at[1:])] if len(order) else []
-
-    def add_bits(self, bits: list) -> None:
-        found = {b["bucket"]: b["bits"] for b in bits or []}
-        for bucket, part in self.by_bucket():
-            if bucket in found:
-                self.repeats[part] |= np.unpackbits(np.frombuffer(found[bucket], np.uint8), count=len(part)).astype(bool)
+        self.first, self.n, value = window_strings(self.data, self.ends, length)
+        self.coarse = _Values(value, buckets)
+
+    def hot_windows(self, states: list | None) -> tuple[np.ndarray, _Values]:
+        """First bytes of the windows of hot values, and the hashes of these windows."""
+        self.coarse.add(states)
+        hot = np.flatnonzero(self.coarse.state[self.coarse.which] == 2)
+        n = self.n[hot]
+        first = np.repeat(self.first[hot], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        return first, _Values(gram_hashes(self.data, self.length)[first] if len(first) else np.zeros(0, np.uint64), self.buckets)
+
+    def settle(self, states: list | None, finer: list | None) -> None:
+        """Runs that may repeat: those of values that do, and single windows for hot values."""
+        first, fine = self.hot_windows(states)
+        fine.add(finer)
+        warm, again = self.coarse.state[self.coarse.which] == 1, fine.state[fine.which] > 0
+        self.bucket = np.concatenate([self.coarse.bucket[self.coarse.which][warm], fine.bucket[fine.which][again]])
+        self.first, self.n = np.concatenate([self.first[warm], first[again]]), np.concatenate([self.n[warm], np.ones(int(again.sum()), np.int64)])
 
     def strings(self) -> tuple[dict[int, dict[bytes, int]], list[tuple[int, int, int]]]:
-        """Distinct strings by bucket, each with the position of its first document; (string's number in its bucket, bucket, run) of every run that may repeat."""
+        """Distinct strings by bucket, each with the position of its first document; (string's number in its bucket, bucket, run) of every run."""
         found: dict[int, dict[bytes, int]] = {}
+        order: dict[int, dict[bytes, int]] = {}
         uses = []
-        runs = np.flatnonzero(self.repeats[self.which]) if len(self.which) else []
-        docs = np.searchsorted(self.ends, self.first[runs], "right") if len(runs) else []
-        cells = zip(runs.tolist(), self.first[runs].tolist(), (self.first[runs] + self.n[runs] + self.length - 1).tolist(), self.bucket[self.which[runs]].tolist(), docs.tolist(), strict=True) if len(runs) else ()
-        raw, order = self.raw, {}
-        for run, a, b, bucket, doc in cells:
+        docs = np.searchsorted(self.ends, self.first, "right")
+        for run, (a, b, bucket, doc) in enumerate(zip(self.first.tolist(), (self.first + self.n + self.length - 1).tolist(), self.bucket.tolist(), docs.tolist(), strict=True)):
             own = found.get(bucket)
             if own is None:
                 own, order[bucket] = found.setdefault(bucket, {}), {}
-            s = raw[a:b]
+            s = self.raw[a:b]
             k = order[bucket].get(s)
             if k is None:
                 k = order[bucket][s] = len(own)
@@ -255,10 +287,10 @@ class _Shard:
         return found, uses
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, values_per_bucket: int = 1 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, values_per_bucket: int = 1 << 20, hot: int = 4096) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
 
-    Removed is each byte covered by a ``length``-byte string that also starts in a document with a smaller id, judged on the input. A null or empty text has no bytes. Rows that repeat an id don't count as earlier for one another; a null id counts as the largest. An empty table gives no rows. Other columns are not read.
+    Removed is each byte covered by a ``length``-byte string (``length`` at least 1) that also starts in a document with a smaller id, judged on the input. A null or empty text has no bytes. Ids are whole numbers, others become null. Rows that repeat an id don't count as earlier for one another; a null id counts as the largest. An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -269,35 +301,54 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                s = _Shard(row, length, buckets)
-                parts = s.by_bucket()
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int64()), pa.array([s.shard] * len(parts), pa.int64()), pa.array([s.values[p].tobytes() for _, p in parts], pa.binary())], ["bucket", "shard", "values"])
+                yield _Shard(row, length, buckets).coarse.batch(row["shard"])
+
+    def hot_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield _Shard(row, length, buckets).hot_windows(row["states"])[1].batch(row["shard"])
 
     def shared(table: pa.Table) -> pa.Table:
+        """Which values of each shard another shard has, and which of these are hot."""
         lists = [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("values")]
-        both = np.sort(np.concatenate(lists))
-        twice = np.unique(both[1:][both[1:] == both[:-1]])
-        bits = [np.packbits(np.isin(v, twice, assume_unique=True)).tobytes() for v in lists]
-        return pa.table({"shard": table.column("shard"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
-
-    bits = shards.mapInArrow(values, "bucket long, shard long, values binary").groupBy("bucket").applyInArrow(shared, "shard long, bucket long, bits binary")
-    bits = materialize(bits.groupBy("shard").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits")), "repeat-bits")
-    known = shards.join(bits, "shard", "left")
+        counts = np.concatenate([np.frombuffer(c.as_buffer(), np.uint32) for c in table.column("counts")])
+        _, which, shards_of = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        sums = np.bincount(which, counts)
+        state = np.where(sums > hot, 2, shards_of > 1).astype(np.uint8)[which]
+        cuts = np.cumsum([len(v) for v in lists])[:-1]
+        return pa.table({"shard": table.column("shard"), "bucket": table.column("bucket"), "states": pa.array([x.tobytes() for x in np.split(state, cuts)], pa.binary())})
+
+    def states_of(found: DataFrame, name: str) -> DataFrame:
+        states = found.groupBy("bucket").applyInArrow(shared, "shard long, bucket long, states binary")
+        is_hot = F.locate("\u0002", F.decode("states", "ISO-8859-1")) > 0
+        return materialize(states.groupBy("shard").agg(F.collect_list(F.struct("bucket", "states")).alias(name), F.max(is_hot).alias("has_hot")), "repeat-states")
+
+    by_bucket = "bucket long, shard long, values binary, counts binary"
+    states = states_of(shards.mapInArrow(values, by_bucket), "states")
+    hot_shards = states.filter("has_hot").select("shard", "states")
+    if hot_shards.isEmpty():
+        states = states.select("shard", "states", F.lit(None).cast("array<struct<bucket:bigint,states:binary>>").alias("finer"))
+    else:
+        likely = key_filter(hot_shards, F.col("shard"))(shards, F.col("shard")).filter("_may_hold").drop("_may_hold")
+        finer = states_of(likely.join(hot_shards, "shard").mapInArrow(hot_values, by_bucket), "finer")
+        states = states.join(finer.select("shard", "finer"), "shard", "left").select("shard", "states", "finer")
+    known = shards.join(states, "shard", "left")
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 s = _Shard(row, length, buckets)
-                s.add_bits(row["bits"])
+                s.settle(row["states"], row["finer"])
                 found, _ = s.strings()
                 ids = np.array([_LAST if i is None else i for i in s.ids], np.int64)
                 keys = sorted(found)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([s.shard] * len(keys), pa.int64()), pa.array([b"".join(found[k]) for k in keys], pa.binary()), pa.array([bytes(map(len, found[k])) for k in keys], pa.binary()), pa.array([ids[list(found[k].values())].tobytes() for k in keys], pa.binary())], ["bucket", "shard", "strings", "sizes", "first_ids"])
+                sizes = [np.fromiter(map(len, found[k]), np.uint32, len(found[k])).tobytes() for k in keys]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([s.shard] * len(keys), pa.int64()), pa.array([b"".join(found[k]) for k in keys], pa.binary()), pa.array(sizes, pa.binary()), pa.array([ids[list(found[k].values())].tobytes() for k in keys], pa.binary())], ["bucket", "shard", "strings", "sizes", "first_ids"])
 
     def merged(table: pa.Table) -> pa.Table:
         own = []
         for raw, sizes, firsts in zip(table.column("strings").to_pylist(), table.column("sizes").to_pylist(), table.column("first_ids").to_pylist(), strict=True):
-            ends = np.cumsum(np.frombuffer(sizes, np.uint8), dtype=np.int64).tolist()
+            ends = np.cumsum(np.frombuffer(sizes, np.uint32), dtype=np.int64).tolist()
             own.append(([raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], np.frombuffer(firsts, np.int64)))
         out = []
         for least in least_documents(own, length):
@@ -312,10 +363,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             for row in batch.to_pylist():
                 s = _Shard(row, length, buckets)
-                s.add_bits(row["bits"])
+                s.settle(row["states"], row["finer"])
                 yield _covered(s, row["least"])
+        give_back()
 
-    covered = known.join(least, "shard", "left").mapInArrow(cover, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    covered = shards.join(states.join(least, "shard", "left"), "shard", "left").mapInArrow(cover, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return covered.withColumnRenamed("id", id_col)
 
 

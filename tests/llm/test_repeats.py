@@ -85,9 +85,29 @@ def test_against_brute_force(spark, docs, no_docs):
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, shard int").repartition(5)
     assert result(remove_repeats(df)) == brute(rows)
     assert result(remove_repeats(df, values_per_bucket=20)) == brute(rows)
+    assert result(remove_repeats(df, hot=3)) == brute(rows)
+    for length in (1, 7, 20, 300):
+        assert result(remove_repeats(df, length=length)) == brute(rows, length)
     assert remove_repeats(no_docs).count() == 0
 
 
+def test_a_phrase_that_most_documents_have(spark):
+    """One phrase amid other words in each document, some of it repeated beyond the phrase: its windows are split by their whole bytes."""
+    rng = random.Random(6)
+    phrase = "this very common phrase of some seventy bytes stands in each document"
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9)))
+    rows = []
+    for i in range(120):
+        before, after = " ".join(word() for _ in range(12)), " ".join(word() for _ in range(12))
+        rows.append((i, f"{before} {phrase} {after}"))
+        if i % 10 == 0:
+            rows.append((500 - i, f"{before[-25:]} {phrase} {after[:30]}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = brute(rows)
+    for hot in (2, 50, 4096):
+        assert result(remove_repeats(df, hot=hot)) == want
+
+
 def test_query_on_the_given_documents(spark):
     d = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
