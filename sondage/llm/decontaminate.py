@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, slices, worker_cache
 
 #: A-Z to lower case; other ASCII characters than letters and digits to a blank.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -120,44 +122,64 @@ def item_windows(text: str | None, size: int) -> list[bytes]:
     return [b" " + b" ".join(words[k : k + size]) + b" " for k in range(max(1, len(words) - size + 1))] if words else []
 
 
-def _window_blocks(benchmark: DataFrame, item_col: str, window: int, most: int) -> Iterator[dict[bytes, list[str]]]:
-    """The benchmark's windows with the items that have them, in blocks from at most ``most`` bytes of text (more only where one window has more). The driver holds one part of the texts at a time; a window may be in several blocks."""
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text")).filter("text is not null")
+@dataclass(frozen=True)
+class Block:
+    """A part of a benchmark: (item, words) of runs of its items' words, which hold all their windows. Broadcast as it is; the windows, a dozen times that, are made in the workers."""
+
+    name: str
+    runs: list[tuple[str, bytes]]
+
+    def search(self, size: int) -> WuManber:
+        """The worker's search for these windows."""
+
+        def make() -> WuManber:
+            owners: dict[bytes, set[str]] = defaultdict(set)
+            for item, run in self.runs:
+                for window in item_windows(run.decode("utf-8", "replace"), size):
+                    owners[window].add(item)
+            return WuManber({w: sorted(items) for w, items in owners.items()})
+
+        return worker_cache(("wu-manber", self.name, size), make)
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, most: int) -> Iterator[Block]:
+    """Blocks of at most about ``most`` bytes of words, or one window; a longer item is cut into runs that overlap by ``window`` - 1 words. The driver holds one part of the texts at a time."""
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     parts = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // most + 1
     if parts > 1:
         items = materialize(items.repartition(parts).withColumn("part", F.spark_partition_id()), "benchmark")
-    owners: dict[bytes, list[str]] = defaultdict(list)
-    room = most
+    runs: list[tuple[str, bytes]] = []
+    used = 0
     for part in range(parts):
-        for row in (items.filter(F.col("part") == part) if parts > 1 else items).collect():
-            words, seen = words_of(row["text"]), set()
-            for k in range(max(1, len(words) - window + 1) if words else 0):
-                w = b" " + b" ".join(words[k : k + window]) + b" "
-                cost = len(words[k]) + 1 if k else len(w)
-                if cost > room and owners:
-                    yield dict(owners)
-                    owners, room, seen = defaultdict(list), most, set()
-                    cost = len(w)
-                room -= cost
-                if w not in seen:
-                    seen.add(w)
-                    owners[w].append(row["item"])
-    if owners:
-        yield dict(owners)
-
-
-def _first_two(blocks: Iterator[dict[bytes, list[str]]]) -> tuple[dict[bytes, list[str]], dict[bytes, list[str]] | None]:
-    return next(blocks, {}), next(blocks, None)
-
-
-def _in_turn(rows: DataFrame, blocks: Iterator[dict[bytes, list[str]]]) -> DataFrame:
+        for row in (items.filter(F.col("part") == part) if parts > 1 else items).toLocalIterator():
+            words, at = words_of(row["text"]), 0
+            while at < len(words):
+                end, size = at, 0
+                while end < len(words) and (end - at < window or used + size + len(words[end]) < most):
+                    size += len(words[end]) + 1
+                    end += 1
+                runs.append((row["item"], b" ".join(words[at:end])))
+                used += size
+                at = len(words) if end == len(words) else end - window + 1
+                if used >= most or at < len(words):
+                    yield Block(uuid.uuid4().hex, runs)
+                    runs, used = [], 0
+    if runs:
+        yield Block(uuid.uuid4().hex, runs)
+
+
+def _first_two(blocks: Iterator[Block]) -> tuple[Block, Block | None]:
+    return next(blocks, Block("empty", [])), next(blocks, None)
+
+
+def _in_turn(rows: DataFrame, blocks: Iterator[Block], window: int) -> DataFrame:
     """row, n_words, n_hit, ids of all ``rows`` (row, text), which are scanned once for each block; a text's intervals are joined over the blocks."""
     context, found = rows.sparkSession.sparkContext, None
     for nth, block in enumerate(blocks):
         shared = context.broadcast(block)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared, every: bool = nth == 0) -> Iterator[pa.RecordBatch]:
-            search = WuManber(shared.value)
+            search = shared.value.search(window)
             for batch in slices(batches, "text"):
                 out = search.find(batch.column("text").to_pylist())
                 columns = [batch.column("row"), pa.array([n for n, _, _ in out], pa.int64()), pa.array([[{"a": a, "b": b} for a, b in spans.tolist()] for _, spans, _ in out], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array([sorted(ids) for _, _, ids in out], pa.list_(pa.string()))]
@@ -176,43 +198,43 @@ def _contaminated(share: int):
     return (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", window: int = 13, share: int = 20, block_bytes: int = 8 << 20) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, share: int = 20, block_bytes: int = 8 << 20) -> DataFrame:
     """The rows of ``docs`` that are not contaminated by the rule of ``find_benchmark``, with all their columns. No shuffle where the benchmark is one block; else the rows are written once with a number, and those of contaminated rows are joined to them."""
-    blocks = _window_blocks(benchmark, item_col, window, block_bytes)
+    blocks = _blocks(benchmark, item_col, item_text_col, window, block_bytes)
     first, second = _first_two(blocks)
     if second is not None:
         rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")), "numbered")
-        found = _in_turn(rows.select("row", F.col("whole")[text_col].cast("string").alias("text")), itertools.chain([first, second], blocks))
+        found = _in_turn(rows.select("row", F.col("whole")[text_col].cast("string").alias("text")), itertools.chain([first, second], blocks), window)
         bad = materialize(found.filter(_contaminated(share)).select("row"), "contaminated")
         return rows.join(bad, "row", "left_anti").select(*(F.col("whole")[c].alias(c) for c in docs.columns))
     shared = docs.sparkSession.sparkContext.broadcast(first)
 
     @F.pandas_udf("boolean")
     def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        search = WuManber(shared.value)
+        search = shared.value.search(window)
         for texts in parts:
             yield pd.Series([not (h > 0 and share * h >= n) for k in range(0, len(texts), 1000) for n, h, _ in search.scan(texts.iloc[k : k + 1000].tolist())], dtype=bool)
 
     return docs.filter(clean(F.col(text_col).cast("string")))
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 13, share: int = 20, block_bytes: int = 8 << 20) -> DataFrame:
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, share: int = 20, block_bytes: int = 8 << 20) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words), item_ids.
 
-    The benchmark's windows are broadcast in blocks from at most ``block_bytes`` bytes of text. Where there are several, the texts are written once with a number, scanned for each block in turn, and their hits joined by number. A null or empty text has no words and is never contaminated. Null item ids are the text "null"; null items have no windows. Repeated rows are judged each. With an empty benchmark nothing is hit.
+    The benchmark is broadcast in blocks of at most ``block_bytes`` bytes of words. Where there are several, the texts are written once with a number, scanned for each block in turn, and their hits joined by number. A null or empty text has no words and is never contaminated. Null item ids are the text "null"; null items have no windows. Repeated rows are judged each. With an empty benchmark nothing is hit.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks = _window_blocks(benchmark, item_col, window, block_bytes)
+    blocks = _blocks(benchmark, item_col, item_text_col, window, block_bytes)
     first, second = _first_two(blocks)
     if second is not None:
         rows = materialize(source.select(F.monotonically_increasing_id().alias("row"), "id", "text"), "numbered")
-        found = rows.select("row", "id").join(_in_turn(rows.select("row", "text"), itertools.chain([first, second], blocks)), "row")
+        found = rows.select("row", "id").join(_in_turn(rows.select("row", "text"), itertools.chain([first, second], blocks), window), "row")
         digest = F.sha2(F.array_join("ids", ",").cast("binary"), 256)
         return found.select(F.col("id").alias(id_col), "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), digest.alias("items_sha256"), _contaminated(share).alias("contaminated"), F.col("ids").alias("item_ids"))
     shared = docs.sparkSession.sparkContext.broadcast(first)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = WuManber(shared.value)
+        search = shared.value.search(window)
         for batch in slices(batches, "text"):
             found = search.scan(batch.column("text").to_pylist())
             ids = [sorted(x) for _, _, x in found]
