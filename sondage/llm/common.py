@@ -21,8 +21,20 @@ BLANKS = " \t\n\x0b\x0c\r"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Batches between the executor and its Python workers: both hold one or two of them for each task.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, "8m")}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, where it has Spark's own values: 10,000 long texts make batches of hundreds of megabytes."""
+    for key, (own, bound) in _BATCH.items():
+        if spark.conf.get(key, own) == own:
+            spark.conf.set(key, bound)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new path under ``spark.checkpoint.dir``. Where that is unset a session on one machine takes a temporary folder; on a cluster, whose executors could not read it, this raises."""
+    bound_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.conf.get("spark.master", "local")

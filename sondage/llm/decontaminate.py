@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, worker_cache
+from .common import bound_batches, materialize, slices, worker_cache
 
 #: A-Z to lower case; other ASCII characters than letters and digits to a blank.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -144,6 +144,7 @@ class Block:
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, most: int) -> Iterator[Block]:
     """Blocks of at most about ``most`` bytes of words, or one window; a longer item is cut into runs that overlap by ``window`` - 1 words. The driver holds one part of the texts at a time."""
+    bound_batches(benchmark.sparkSession)
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     parts = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // most + 1
     if parts > 1:

@@ -287,7 +287,7 @@ class _Shard:
         return found, uses
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, values_per_bucket: int = 1 << 20, hot: int = 4096) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, values_per_bucket: int = 1 << 17, hot: int = 4096) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
 
     Removed is each byte covered by a ``length``-byte string (``length`` at least 1) that also starts in a document with a smaller id, judged on the input. A null or empty text has no bytes. Ids are whole numbers, others become null. Rows that repeat an id don't count as earlier for one another; a null id counts as the largest. An empty table gives no rows. Other columns are not read.
