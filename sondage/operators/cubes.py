@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sondage.functions.text import normal_key
+from sondage.functions.text import chart_family, normal_key
 
 SERIES = ["scope_id", "series_name"]
 
@@ -30,8 +30,8 @@ def period_change(points: DataFrame) -> DataFrame:
 
 
 def is_temporal(category: Column) -> Column:
-    """FY or CY years (with A, E or F), nn/mm periods, quarters."""
-    return category.rlike(r"(?i)^(?:(?:FY|CY)?20\d{2}[AEF]?|(?:20)?\d{2}/(?:0?[1-9]|1[0-2])|(?:20)?\d{2}\s*Q[1-4]|Q[1-4](?:\s*(?:20)?\d{2})?)$")
+    """FY or CY years (with A, E or F), pairs of numbers like 2024-05 and 25/12, and quarters with a year."""
+    return F.trim(category).rlike(r"(?i)^(?:(?:FY|CY)?20\d{2}[AEF]?|\d{2,4}[/.-]\d{1,2}|Q[1-4][ -]?(?:20)?\d{2}|(?:20)?\d{2}[ -]?Q[1-4])$")
 
 
 def period_coordinate(category: Column) -> Column:
@@ -141,8 +141,9 @@ def share_complement(points: DataFrame) -> DataFrame:
 
 
 def cube_shape(points: DataFrame) -> DataFrame:
-    """Per scope: series, categories and points."""
-    return points.groupBy("scope_id").agg(F.countDistinct("series_name").alias("series_count"), F.countDistinct("category").alias("category_count"), F.count("y_value").alias("point_count"))
+    """Per scope: series, categories, points and entities."""
+    shape = points.groupBy("scope_id").agg(F.countDistinct("series_name").alias("series_count"), F.countDistinct("category").alias("category_count"), F.count("y_value").alias("point_count"))
+    return shape.join(structure_flags(points).select("scope_id", "entity_count"), "scope_id", "left")
 
 
 def compare_series(points: DataFrame, first: str, second: str) -> DataFrame:
@@ -179,8 +180,17 @@ def divergence(points: DataFrame) -> DataFrame:
 
 
 def structure_flags(points: DataFrame) -> DataFrame:
-    """Per (scope, series): share-like (all values >= 0 that add to 100 +- 2), ordered (labels temporal), enough points to analyse."""
-    return _known(points).groupBy(*SERIES).agg(((F.min("y_value") >= 0) & (F.abs(F.sum(F.col("y_value").cast("decimal(28,4)")) - 100) <= 2)).alias("share_like"), (F.count_if(is_temporal(F.col("category"))) >= 0.7 * F.count("*")).alias("ordered"), (F.count("*") >= 2).alias("analyzable"))
+    """Per scope: is_share, is_ordered_categorical, entity_count, is_analyzable.
+
+    Share: a chart of the share family (column chart_type, where there is one), or a single series of two values or more, none negative, that add to 100 +- 2. Ordered: a single series of three values or more that is no share and whose labels are not temporal. Entities: the series, or the values of a single share or ordered series, else one. A scope of two entities and points can be analysed.
+    """
+    rows = _known(points)
+    family = F.max((chart_family(F.col("chart_type")) == "share").cast("int")) == 1 if "chart_type" in points.columns else F.lit(False)
+    total = F.sum(F.col("y_value").cast("decimal(28,4)"))
+    sums = rows.groupBy("scope_id").agg(F.countDistinct("series_name").alias("groups"), F.count("*").alias("n"), (family | ((F.countDistinct("series_name") == 1) & (F.count("*") >= 2) & (F.min("y_value") >= 0) & (F.abs(total - 100) <= 2))).alias("is_share"), F.count_if(is_temporal(F.col("category"))).alias("n_temporal"))
+    ordered = (F.col("groups") == 1) & ~F.col("is_share") & (F.col("n") >= 3) & (F.col("n_temporal") < F.greatest(F.lit(2), F.ceil(0.7 * F.col("n"))))
+    entities = F.when(F.col("groups") > 1, F.col("groups")).when(F.col("is_share") | ordered, F.col("n")).otherwise(F.lit(1).cast("long"))
+    return sums.select("scope_id", "is_share", ordered.alias("is_ordered_categorical"), entities.alias("entity_count"), ((entities >= 2) & (F.col("n") >= 2)).alias("is_analyzable"))
 
 
 def calculation_scope(points: DataFrame) -> DataFrame:

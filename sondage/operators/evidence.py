@@ -19,19 +19,33 @@ def verify_citations(answers: DataFrame) -> DataFrame:
 
 
 def markdown_balanced(text: Column) -> Column:
-    """Even numbers of ``**``, ``__`` and code fences."""
-    even = lambda mark: F.regexp_count(text, F.lit(mark)) % 2 == 0
-    return even(r"\*\*") & even("__") & even("```")
+    """Even numbers of ``**``, ``__`` and code fences; lines that are thematic breaks are no emphasis."""
+    emphasis = F.regexp_replace(text, r"(?m)^[ \t]{0,3}(?:(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})$", "")
+    even = lambda where, mark: F.regexp_count(where, F.lit(mark)) % 2 == 0
+    return even(emphasis, r"\*\*") & even(emphasis, "__") & even(text, "```")
 
 
 def group_coverage(answer: Column, groups: Column) -> Column:
-    """Share of groups of aliases (array<array<string>>) of which the answer has one, without regard to case; 1 without groups."""
+    """Share of groups of aliases (array<array<string>>) of which the answer has one, without regard to case; 1 without groups. The share of forbidden groups that are absent is one less this."""
     hit = F.filter(groups, lambda g: F.exists(g, lambda a: F.contains(F.lower(answer), F.lower(a))))
     return F.when(F.size(groups) == 0, 1.0).otherwise(F.size(hit) / F.size(groups))
 
 
-def abstains(answer: Column) -> Column:
-    return F.lower(answer).rlike(r"insufficient evidence|cannot be determined|not enough (?:information|evidence)|无法|没有足够")
+#: Phrases of an answer that abstains.
+ABSTENTION_TERMS = ("没有足够证据", "证据不足", "未提供", "无法回答", "不能回答", "不可回答")
+#: Our additions for English answers.
+ABSTENTION_TERMS_EN = ("insufficient evidence", "cannot be determined", "not enough information", "not enough evidence")
+
+
+def abstains(answer: Column, warnings: Column | None = None) -> Column:
+    """Has the answer one of the phrases, or its warnings (array) the code INSUFFICIENT_EVIDENCE?"""
+    said = F.lower(answer).rlike("|".join((*ABSTENTION_TERMS, *ABSTENTION_TERMS_EN)))
+    return said if warnings is None else said | F.coalesce(F.array_contains(warnings, "INSUFFICIENT_EVIDENCE"), F.lit(False))
+
+
+def groundedness(expected: Column, abstained: Column, n_citations: Column, recall: Column, precision: Column) -> Column:
+    """Where abstention is expected: 1 for an answer that abstains without citations, else 0. Elsewhere the mean of recall (null: 0) and precision of its citations."""
+    return F.when(expected, F.when(abstained & (n_citations == 0), 1.0).otherwise(0.0)).otherwise((F.coalesce(recall, F.lit(0.0)) + precision) / 2)
 
 
 def document_coverage(wanted: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -36,9 +36,11 @@ def nest_charts(points: DataFrame) -> DataFrame:
 
 
 def chart_text(points: DataFrame) -> DataFrame:
-    """One text per scope: its name, and a line per series with its categories and values, rounded down to whole numbers."""
-    value = F.floor("y_value").cast("string")
-    lines = points.groupBy("scope_id", "series_name").agg(F.array_sort(F.collect_list(F.struct("point_order", "category", value.alias("v")))).alias("p"))
-    lines = lines.select("scope_id", "series_name", F.concat(F.col("series_name"), F.lit(": "), F.array_join(F.transform("p", lambda x: F.concat(x["category"], F.lit("="), x["v"])), "; ")).alias("line"))
+    """One text per scope: its name, and a line per series with its axis, unit and values by category: "series | axis | unit | category=value; ...". Columns axis, unit and display (shown instead of the value) are used where there are such."""
+    have = lambda c, default: F.coalesce(F.col(c), default) if c in points.columns else default
+    value = have("display", F.col("y_value").cast("decimal(28,4)").cast("string"))
+    lines = points.groupBy("scope_id", "series_name").agg(F.array_sort(F.collect_list(F.struct("point_order", "category", value.alias("v")))).alias("p"), F.max(have("axis", F.lit("axis unspecified"))).alias("axis"), F.max(have("unit", F.lit("unit unspecified"))).alias("unit"))
+    values = F.array_join(F.transform("p", lambda x: F.concat(F.coalesce(x["category"], x["point_order"].cast("string")), F.lit("="), F.coalesce(x["v"], F.lit("None")))), "; ")
+    lines = lines.select("scope_id", "series_name", F.concat_ws(" | ", "series_name", "axis", "unit", values).alias("line"))
     texts = lines.groupBy("scope_id").agg(F.array_sort(F.collect_list(F.struct("series_name", "line"))).alias("all"))
     return texts.select("scope_id", F.concat(F.col("scope_id"), F.lit("\n"), F.array_join(F.transform("all", lambda x: x["line"]), "\n")).alias("content"))

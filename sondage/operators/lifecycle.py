@@ -27,9 +27,10 @@ def dedup_by_content(new: DataFrame, existing: DataFrame, mode: str) -> DataFram
     raise ValueError(mode)
 
 
-def upsert(target: DataFrame, source: DataFrame, key: list[str]) -> DataFrame:
-    """Target rows without those whose key the source has, and the source."""
-    return target.join(source.select(*key).distinct(), key, "left_anti").unionByName(source)
+def upsert(target: DataFrame, source: DataFrame, key: list[str], newest: str | None = None) -> DataFrame:
+    """Target rows without those whose key the source has, and the source; of source rows with one key the one that is greatest by the column ``newest`` (any one, where it is not given)."""
+    fresh = source.dropDuplicates(key) if newest is None else keep_first(source, key, [F.desc(newest)])
+    return target.join(fresh.select(*key), key, "left_anti").unionByName(fresh)
 
 
 def keep_first(rows: DataFrame, key: list[str], order: list) -> DataFrame:

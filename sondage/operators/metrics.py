@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Warning codes of degraded answers.
-DEGRADED = ("PLANNER_FALLBACK", "LLM_UNAVAILABLE", "RETRIEVAL_DEGRADED")
+#: Warning codes and their severities.
+SEVERITIES = {
+    "SYNTHETIC_DATA_SIGNAL": "info",
+    "INSUFFICIENT_EVIDENCE": "warning", "PARTIAL_EVIDENCE_COVERAGE": "warning", "NO_COMPARATIVE_STRENGTH_EVIDENCE": "warning", "LOW_CHART_CONFIDENCE": "warning",
+    "QUERY_PLANNER_PROVIDER_ERROR": "degraded", "QUERY_PLANNER_OUTPUT_INVALID": "degraded", "LLM_PROVIDER_ERROR": "degraded", "ANSWER_POLISHING_PROVIDER_ERROR": "degraded",
+    "ANSWER_POLISHING_OUTPUT_INVALID": "degraded", "ANSWER_POLISHING_FACT_CONTRACT_FAILED": "degraded", "LLM_EMPTY_OR_OVERSIZED_RESPONSE": "degraded", "LLM_OUTPUT_TRUNCATED": "degraded",
+    "LLM_CITATION_VALIDATION_FAILED": "degraded", "LLM_NUMERIC_VALIDATION_FAILED": "degraded", "EVIDENCE_ROLE_VALIDATION_FAILED": "degraded", "LLM_QUERY_ADHERENCE_FAILED": "degraded",
+}
+DEGRADED = tuple(code for code, severity in SEVERITIES.items() if severity == "degraded")
 
 
 def count_by_status(runs: DataFrame) -> DataFrame:
@@ -29,8 +36,44 @@ def degraded_runs(runs: DataFrame) -> DataFrame:
     return runs.filter(F.arrays_overlap("warnings", F.array(*map(F.lit, DEGRADED))))
 
 
-def latest_per_key(rows: DataFrame, key: str, order: list) -> DataFrame:
-    return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_rank = 1").drop("_rank")
+def describe_warnings(runs: DataFrame) -> DataFrame:
+    """run_id, code, severity of each distinct warning of the runs (run_id, warnings); blank codes are UNKNOWN_WARNING, codes that are not in the catalogue of severity warning."""
+    catalogue = F.create_map(*(F.lit(x) for pair in SEVERITIES.items() for x in pair))
+    codes = F.transform("warnings", lambda c: F.when(F.trim(c) == "", "UNKNOWN_WARNING").otherwise(F.trim(c)))
+    return runs.select("run_id", F.explode(F.array_distinct(codes)).alias("code")).withColumn("severity", F.coalesce(catalogue[F.col("code")], F.lit("warning")))
+
+
+def latest_per_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The row of each key that is greatest by the columns ``order``, in one aggregate."""
+    rest = [c for c in rows.columns if c != key and c not in order]
+    found = rows.groupBy(key).agg(F.max_by(F.struct(*order, *rest), F.struct(*order)).alias("_row"))
+    return found.select(key, *(F.col(f"_row.{c}").alias(c) for c in rows.columns if c != key))
+
+
+def token_usage(calls: DataFrame) -> DataFrame:
+    """Per run (run_id, component, input_tokens, output_tokens, total_tokens): sums by component and in all; a missing or zero total is input and output together."""
+    total = F.coalesce(F.nullif(F.col("total_tokens"), F.lit(0)), F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0)))
+    sums = [F.sum(F.coalesce(c, F.lit(0))).cast("long").alias(c) for c in ("input_tokens", "output_tokens")] + [F.sum("_total").cast("long").alias("total_tokens")]
+    rows = calls.withColumn("_total", total)
+    return rows.groupBy("run_id", "component").agg(*sums).unionByName(rows.groupBy("run_id").agg(F.lit("all").alias("component"), *sums))
+
+
+def latency_ms(start: Column, end: Column) -> Column:
+    """Whole milliseconds between two timestamps, 0 at least."""
+    return F.call_function("div", F.greatest(F.lit(0).cast("long"), F.unix_micros(end) - F.unix_micros(start)), F.lit(1000).cast("long"))
+
+
+def run_quality(runs: DataFrame) -> DataFrame:
+    """Runs by source of the answer (source, n_citations, length): number, mean citations and mean length to three decimals."""
+    mean = lambda c: F.round(F.avg(F.col(c).cast("decimal(18,4)")).cast("double"), 3)
+    return runs.groupBy("source").agg(F.count("*").alias("n"), mean("n_citations").alias("mean_citations"), mean("length").alias("mean_length"))
+
+
+def basic_checks(runs: DataFrame) -> DataFrame:
+    """Per run (run_id, status, answer, citations as array, warnings as array): has it completed, an answer, citations without nulls, no degraded warning, and all of these?"""
+    flags = {"completed": F.col("status") == "completed", "answered": F.trim(F.coalesce("answer", F.lit(""))) != "", "cited": F.forall("citations", lambda c: c.isNotNull()) & (F.size("citations") > 0), "sound": ~F.arrays_overlap("warnings", F.array(*map(F.lit, DEGRADED)))}
+    rows = runs.select("run_id", *(F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()))
+    return rows.withColumn("ok", F.col("completed") & F.col("answered") & F.col("cited") & F.col("sound"))
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, on: str, value: str) -> DataFrame:

@@ -77,9 +77,9 @@ def difference(cells: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def condition_passes(current: Column, condition: Column) -> Column:
-    """Does the number in ``current`` meet a condition like '<= 45%'? Null where either lacks a number or a sign."""
+    """Does the number in ``current`` meet a condition like '<= 45%'? A condition without a sign asks for equality. Null where either lacks a number."""
     sign, limit, value = F.regexp_extract(condition, r"(>=|<=|≥|≤|>|<|=)", 1), parse_number(condition), parse_number(current)
-    return F.when(sign.isin(">=", "≥"), value >= limit).when(sign.isin("<=", "≤"), value <= limit).when(sign == ">", value > limit).when(sign == "<", value < limit).when(sign == "=", value == limit)
+    return F.when(sign.isin(">=", "≥"), value >= limit).when(sign.isin("<=", "≤"), value <= limit).when(sign == ">", value > limit).when(sign == "<", value < limit).otherwise(value == limit)
 
 
 def threshold_check(rows: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from sondage.sources.bindings import MONTHLY_SQL, QUARTERLY_SQL, YEARLY_SQL, mon
 
 from .registry import query
 
-_TEMPORAL = r"regexp_matches(category, '^(?:(?:FY|CY)?20\d{2}[AEF]?|(?:20)?\d{2}/(?:0?[1-9]|1[0-2])|(?:20)?\d{2}\s*Q[1-4]|Q[1-4](?:\s*(?:20)?\d{2})?)$', 'i')"
+_TEMPORAL = r"regexp_matches(trim(category), '^(?:(?:FY|CY)?20\d{2}[AEF]?|\d{2,4}[/.-]\d{1,2}|Q[1-4][ -]?(?:20)?\d{2}|(?:20)?\d{2}[ -]?Q[1-4])$', 'i')"
 
 
 def _rounded(df: DataFrame, digits: int = 4) -> DataFrame:
@@ -101,7 +101,7 @@ def a11_share_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(cubes.share_complement(yearly_points(spark, sf_dir)))
 
 
-@query(f"WITH {MONTHLY_SQL} SELECT scope_id, count(DISTINCT series_name) AS series_count, count(DISTINCT category) AS category_count, count(y_value) AS point_count FROM points GROUP BY scope_id")
+@query(f"WITH {MONTHLY_SQL} SELECT scope_id, count(DISTINCT series_name) AS series_count, count(DISTINCT category) AS category_count, count(y_value) AS point_count, count(DISTINCT series_name) AS entity_count FROM points GROUP BY scope_id")
 def a21_cube_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cubes.cube_shape(monthly_points(spark, sf_dir))
 
@@ -132,9 +132,18 @@ def w13_recent_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(cubes.divergence(monthly_points(spark, sf_dir)))
 
 
-@query(f"""WITH {YEARLY_SQL} SELECT scope_id, series_name, min(y_value) >= 0 AND abs(sum(CAST(y_value AS DECIMAL(28,4))) - 100) <= 2 AS share_like, count(*) FILTER ({_TEMPORAL}) >= 0.7 * count(*) AS ordered, count(*) >= 2 AS analyzable FROM points GROUP BY ALL""")
+#: Whole charts, each series as a chart of its own, and each series in percent of its total as another.
+@query(f"""WITH {YEARLY_SQL}, t AS (SELECT *, CAST(sum(CAST(y_value AS DECIMAL(28,4))) OVER (PARTITION BY scope_id, series_name) AS DOUBLE) AS total FROM points),
+p AS (SELECT scope_id, series_name, category, y_value FROM points UNION ALL SELECT scope_id || '/' || series_name, series_name, category, y_value FROM points UNION ALL SELECT scope_id || '%' || series_name, series_name, category, y_value / total * 100 FROM t),
+g AS (SELECT scope_id, count(DISTINCT series_name) AS groups, count(*) AS n, count(DISTINCT series_name) = 1 AND count(*) >= 2 AND min(y_value) >= 0 AND abs(sum(CAST(y_value AS DECIMAL(28,4))) - 100) <= 2 AS is_share, count(*) FILTER ({_TEMPORAL}) AS nt FROM p GROUP BY scope_id),
+o AS (SELECT *, groups = 1 AND NOT is_share AND n >= 3 AND nt < greatest(2, ceil(0.7 * n)) AS is_ordered_categorical FROM g), e AS (SELECT *, CASE WHEN groups > 1 THEN groups WHEN is_share OR is_ordered_categorical THEN n ELSE 1 END AS entity_count FROM o)
+SELECT scope_id, is_share, is_ordered_categorical, entity_count, entity_count >= 2 AND n >= 2 AS is_analyzable FROM e""")
 def c6_structure_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cubes.structure_flags(yearly_points(spark, sf_dir))
+    points = yearly_points(spark, sf_dir).drop("point_order")
+    alone = points.withColumn("scope_id", F.concat_ws("/", "scope_id", "series_name"))
+    total = points.groupBy("scope_id", "series_name").agg(F.sum(F.col("y_value").cast("decimal(28,4)")).cast("double").alias("total"))
+    shares = points.join(total, ["scope_id", "series_name"]).select(F.concat_ws("%", "scope_id", "series_name").alias("scope_id"), "series_name", "category", (F.col("y_value") / F.col("total") * 100).alias("y_value"))
+    return cubes.structure_flags(points.unionByName(alone).unionByName(shares))
 
 
 @query(f"""WITH {QUARTERLY_SQL} SELECT scope_id, string_agg(DISTINCT series_name, '|' ORDER BY series_name) AS series, string_agg(DISTINCT category, '|' ORDER BY category) AS categories, count(*) AS n_points FROM points GROUP BY scope_id""")
@@ -142,7 +151,7 @@ def c9_calculation_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cubes.calculation_scope(quarterly_points(spark, sf_dir))
 
 
-@query(f"""WITH {YEARLY_SQL}, l AS (SELECT scope_id, series_name, series_name || ': ' || string_agg(category || '=' || CAST(CAST(floor(y_value) AS BIGINT) AS VARCHAR), '; ' ORDER BY point_order) AS line FROM points GROUP BY scope_id, series_name)
+@query(f"""WITH {YEARLY_SQL}, l AS (SELECT scope_id, series_name, series_name || ' | axis unspecified | unit unspecified | ' || string_agg(category || '=' || CAST(CAST(y_value AS DECIMAL(28,4)) AS VARCHAR), '; ' ORDER BY point_order) AS line FROM points GROUP BY scope_id, series_name)
 SELECT scope_id, scope_id || chr(10) || string_agg(line, chr(10) ORDER BY series_name) AS content FROM l GROUP BY scope_id""")
 def a23_chart_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.chart_text(yearly_points(spark, sf_dir))

@@ -36,11 +36,12 @@ def d1_first_of_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.keep_first(_hashed(spark, sf_dir).drop("version_no"), ["workspace_id", "sha256"], ["document_id"])
 
 
-@query(f"WITH {_H} SELECT workspace_id, document_id, sha256, CASE WHEN document_id % 3 = 0 THEN version_no + 1 ELSE version_no END AS version_no FROM h")
+@query(f"WITH {_H} SELECT workspace_id, document_id, sha256, CASE WHEN document_id % 3 = 0 THEN version_no + 2 ELSE version_no END AS version_no FROM h")
 def s10_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third document comes again with a higher version."""
+    """Every third document comes again twice, with higher versions."""
     rows = _hashed(spark, sf_dir)
-    return lifecycle.upsert(rows, rows.filter("document_id % 3 = 0").withColumn("version_no", F.col("version_no") + 1), ["document_id"])
+    again = rows.filter("document_id % 3 = 0").withColumn("version_no", F.explode(F.array(F.col("version_no") + 1, F.col("version_no") + 2)))
+    return lifecycle.upsert(rows, again, ["document_id"], "version_no")
 
 
 @query("SELECT 'documents' AS table_name, count(*) AS deleted FROM documents WHERE source = 'src3' UNION ALL SELECT 'labels', count(*) FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE source = 'src3') UNION ALL SELECT 'embeddings', count(*) FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE source = 'src3')")

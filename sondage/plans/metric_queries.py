@@ -38,13 +38,59 @@ def a4_feedback_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_RUNS} SELECT run_id FROM runs WHERE kind = 'error' OR run_id % 11 = 0")
 def a3_degraded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = F.array(F.when(F.col("kind") == "error", "LLM_UNAVAILABLE").otherwise("SLOW"), F.when(F.col("run_id") % 11 == 0, "PLANNER_FALLBACK").otherwise("NOTE"))
-    return metrics.degraded_runs(_runs(spark, sf_dir).withColumn("warnings", codes)).select("run_id")
+    return metrics.degraded_runs(_warned(spark, sf_dir)).select("run_id")
+
+
+def _warned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors are provider errors, every eleventh run fell back on its planner; the others have codes that degrade nothing."""
+    codes = F.array(F.when(F.col("kind") == "error", "LLM_PROVIDER_ERROR").otherwise("SLOW"), F.when(F.col("run_id") % 11 == 0, "QUERY_PLANNER_PROVIDER_ERROR").otherwise("LOW_CHART_CONFIDENCE"), F.when(F.col("run_id") % 3 == 0, " ").otherwise("SLOW"))
+    return _runs(spark, sf_dir).withColumn("warnings", codes)
+
+
+_WARNED = f"""{_RUNS}, warned AS (SELECT DISTINCT run_id, CASE WHEN trim(c) = '' THEN 'UNKNOWN_WARNING' ELSE c END AS code FROM (SELECT run_id, unnest([CASE WHEN kind = 'error' THEN 'LLM_PROVIDER_ERROR' ELSE 'SLOW' END,
+CASE WHEN run_id % 11 = 0 THEN 'QUERY_PLANNER_PROVIDER_ERROR' ELSE 'LOW_CHART_CONFIDENCE' END, CASE WHEN run_id % 3 = 0 THEN ' ' ELSE 'SLOW' END]) AS c FROM runs))"""
+
+
+@query(f"WITH {_WARNED} SELECT run_id, code, CASE WHEN code IN ('LLM_PROVIDER_ERROR', 'QUERY_PLANNER_PROVIDER_ERROR') THEN 'degraded' ELSE 'warning' END AS severity FROM warned")
+def j14_describe_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.describe_warnings(_warned(spark, sf_dir))
+
+
+@query("""WITH c AS (SELECT user_id AS run_id, event_type AS component, event_id % 50 AS i, event_id % 9 AS o, CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 1 THEN 0 ELSE event_id % 70 END AS t FROM events),
+u AS (SELECT run_id, component, i, o, coalesce(nullif(t, 0), i + o) AS t FROM c)
+SELECT run_id, component, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, CAST(sum(t) AS BIGINT) AS total_tokens FROM u GROUP BY run_id, component UNION ALL SELECT run_id, 'all', CAST(sum(i) AS BIGINT), CAST(sum(o) AS BIGINT), CAST(sum(t) AS BIGINT) FROM u GROUP BY run_id""")
+def a9_token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users stand for runs, event types for components; tokens come from event ids."""
+    total = F.when(F.col("event_id") % 4 == 0, F.lit(None)).when(F.col("event_id") % 4 == 1, 0).otherwise(F.col("event_id") % 70)
+    calls = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("component"), (F.col("event_id") % 50).alias("input_tokens"), (F.col("event_id") % 9).alias("output_tokens"), total.alias("total_tokens"))
+    return metrics.token_usage(calls)
+
+
+@query("""WITH s AS (SELECT event_id AS run_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS nxt FROM events) SELECT run_id, greatest(0, epoch_us(nxt) - epoch_us(ts)) // 1000 AS latency FROM s WHERE nxt IS NOT NULL""")
+def x28_latency_ms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """To the user's next event by id."""
+    from pyspark.sql import Window
+
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    rows = rows.withColumn("next", F.lead("ts").over(Window.partitionBy("user_id").orderBy("run_id"))).filter("next is not null")
+    return rows.select("run_id", metrics.latency_ms(F.col("ts"), F.col("next")).alias("latency"))
+
+
+@query("SELECT source, count(*) AS n, round(avg(doc_id % 7), 3) AS mean_citations, round(avg(length(text)), 3) AS mean_length FROM documents GROUP BY source")
+def a19_run_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents stand for answers."""
+    return metrics.run_quality(table(spark, sf_dir, "documents").select("source", (F.col("doc_id") % 7).alias("n_citations"), F.length("text").alias("length")))
+
+
+@query(f"""WITH {_RUNS} SELECT run_id, status = 'completed' AS completed, run_id % 5 > 0 AS answered, run_id % 4 > 0 AS cited, kind <> 'error' AND run_id % 11 > 0 AS sound, status = 'completed' AND run_id % 5 > 0 AND run_id % 4 > 0 AND kind <> 'error' AND run_id % 11 > 0 AS ok FROM runs""")
+def e18_basic_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answer, cited = F.when(F.col("run_id") % 5 > 0, "yes").otherwise(" "), F.when(F.col("run_id") % 4 > 0, F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(None).cast("int")))
+    return metrics.basic_checks(_warned(spark, sf_dir).withColumns({"answer": answer, "citations": cited}))
 
 
 @query(f"WITH {_RUNS} SELECT conversation_id, run_id, status FROM runs QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY created_at DESC, run_id DESC) = 1")
 def w18_latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.latest_per_key(_runs(spark, sf_dir), "conversation_id", [F.desc("created_at"), F.desc("run_id")]).select("conversation_id", "run_id", "status")
+    return metrics.latest_per_key(_runs(spark, sf_dir), "conversation_id", ["created_at", "run_id"]).select("conversation_id", "run_id", "status")
 
 
 @query(f"""WITH {_RUNS} SELECT l.run_id, l.conversation_id, (SELECT max(r.run_id) FROM runs r WHERE r.conversation_id = l.conversation_id AND r.kind = 'signup' AND r.run_id < l.run_id) AS signup_run FROM runs l WHERE l.kind = 'error'""")
@@ -93,7 +139,7 @@ def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH e AS (SELECT event_id, user_id AS key, CAST(floor(epoch(ts)) AS BIGINT) AS sec, event_type FROM events WHERE event_type IN ('error', 'signup')),
 s AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY sec, event_id) AS spell FROM e),
-r AS (SELECT event_id, key, count(*) OVER (PARTITION BY key, spell ORDER BY sec RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS recent FROM s WHERE event_type = 'error') SELECT *, recent >= 5 AS blocked FROM r""")
+r AS (SELECT event_id, key, count(*) OVER (PARTITION BY key, spell ORDER BY sec RANGE BETWEEN 86399 PRECEDING AND 1 PRECEDING) + row_number() OVER (PARTITION BY key, spell, sec ORDER BY event_id) - 1 AS recent FROM s WHERE event_type = 'error') SELECT *, recent >= 5 AS blocked FROM r""")
 def z4_failed_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors are failures, signups resets, within a day."""
     return streams.failed_attempts(_attempts(spark, sf_dir), 86_400, 5)

@@ -33,10 +33,11 @@ def first_submissions(events: DataFrame, keys: list[str], time_col: str | None =
 
 
 def failed_attempts(events: DataFrame, seconds: int, limit: int) -> DataFrame:
-    """Failures (key, at in seconds, event_id, kind: 'failure' or 'reset'): how many of the key's failures since its last reset lie within ``seconds`` up to this one, and whether they reach ``limit``."""
+    """Failures (key, at in seconds, event_id, kind: 'failure' or 'reset'): how many earlier failures of the key since its last reset lie within ``seconds`` before this one, and whether they reach ``limit``: then the attempt is refused."""
     by = Window.partitionBy("key")
     rows = events.withColumn("spell", F.sum(F.when(F.col("kind") == "reset", 1).otherwise(0)).over(by.orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, 0))).filter("kind = 'failure'")
-    recent = F.count("*").over(Window.partitionBy("key", "spell").orderBy("at").rangeBetween(-(seconds - 1), 0))
+    before = F.count("*").over(Window.partitionBy("key", "spell").orderBy("at").rangeBetween(-(seconds - 1), -1))
+    recent = before + F.row_number().over(Window.partitionBy("key", "spell", "at").orderBy("event_id")) - 1
     return rows.select("event_id", "key", recent.alias("recent"), (recent >= limit).alias("blocked"))
 
 
@@ -57,8 +58,10 @@ def failed_attempts_stream(events: DataFrame, seconds: int, limit: int) -> DataF
             for k, ids in enumerate(spells):
                 if k:
                     times = []
-                times = [t for t in times if t > at - seconds] + [int(at)] * len(ids)
-                out += [(i, key[0], len(times), len(times) >= limit) for i in ids]
+                times = [t for t in times if t > at - seconds]
+                for i in ids:
+                    out.append((i, key[0], len(times), len(times) >= limit))
+                    times.append(int(at))
         state.update((times,))
         yield pd.DataFrame(out, columns=["event_id", "key", "recent", "blocked"])
 
