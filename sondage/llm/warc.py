@@ -45,7 +45,8 @@ def write_warc(pages: DataFrame, path: str, *, least: int = 1000, date: str | No
     """
     date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), "\r", "%0D"), "\n", "%0A").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    rows = rows.withColumns({"bytes": F.octet_length("html").cast("long"), "digest": F.sha1(F.col("html"))})
+    sized = lambda df: df.withColumns({"bytes": F.octet_length("html").cast("long"), "digest": F.sha1(F.col("html"))})
+    plain, rows = rows, sized(rows)
     headers = materialize(rows.filter(F.col("bytes") >= least).select("page_id", "url", "bytes", "digest"), "warc-headers")
     originals = headers.groupBy("digest", "bytes").agg(F.max_by("url", "page_id").alias("first_url"), F.max("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
     revisits = materialize(headers.join(originals, ["digest", "bytes"]).filter("page_id < first_id"), "warc-revisits")
@@ -55,10 +56,10 @@ def write_warc(pages: DataFrame, path: str, *, least: int = 1000, date: str | No
     may_revisit = key_filter(revisits, *key)
     alarms = may_revisit(headers, *key).filter("_may_hold").select("page_id", "digest").distinct()
     alarms = materialize(alarms.join(revisits.select("page_id", "digest"), ["page_id", "digest"], "left_anti"), "warc-alarms")
-    marked = key_filter(alarms, *key)(may_revisit(rows, *key).withColumnRenamed("_may_hold", "may_revisit"), *key)
-    small = F.col("bytes") < least
-    responses = marked.filter(small | ~F.col("may_revisit")).select("page_id", "url", "bytes", "digest", "html")
-    checked = marked.filter(~small & F.col("may_revisit") & F.col("_may_hold")).join(alarms, ["page_id", "digest"], "left_semi").select("page_id", "url", "bytes", "digest", "html")
+    columns = ["page_id", "url", "bytes", "digest", "html"]
+    responses = may_revisit(rows, *key).filter((F.col("bytes") < least) | ~F.col("_may_hold")).select(*columns)
+    # few pages have the id of an alarm: only theirs are digested again
+    checked = sized(key_filter(alarms, F.col("page_id"))(plain, F.col("page_id")).filter("_may_hold")).filter(F.col("bytes") >= least).join(alarms, ["page_id", "digest"], "left_semi").select(*columns)
     records = responses.unionByName(checked).select(_record("response", date, html=F.col("html")).alias("value")).unionByName(revisits.select(_record("revisit", date).alias("value")))
     with shuffle_cleanup(pages.sparkSession):
         records.write.option("compression", "gzip").option("lineSep", _END * 2).option("maxRecordsPerFile", records_per_file).text(path)
@@ -92,7 +93,7 @@ def read_warc(spark: SparkSession, path: str, *, payloads: bool = False) -> Data
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[str, list] = {f.name: [] for f in _INDEX}
         held = 0
-        pieces = (piece.as_py().encode() for batch in slices(batches, "value", 1 << 20) for piece in batch.column("value"))
+        pieces = (piece for batch in slices(batches, "value", 1 << 20) for piece in batch.column("value").cast(pa.binary()).to_pylist())
         for record in parse_records(pieces):
             for name, value in record.items():
                 out[name].append(value if payloads or name != "payload" else None)
