@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, worker_cache
+from .common import give_back, materialize, slices, worker_cache
 
 #: Hash buckets of the weights: 2**20 floats, whatever the corpus.
 BITS = 20
@@ -74,7 +74,9 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, *, steps: int
     thresholds = np.linspace(-1.0, 1.0, n_grades - 1)
     if not rows or len(set(grades.tolist())) < 2:
         return OrdinalModel(np.zeros(size, np.float32), thresholds - 1e3)  # nothing to tell apart: everything gets the top grade
-    counts = np.bincount(np.concatenate(rows), minlength=size)
+    counts = np.zeros(size, np.int64)
+    for r in rows:
+        counts[r] += 1  # a row names a bucket once
     penalty = sparse / np.sqrt(min(n for n in np.bincount(grades) if n))
     chosen, cut = np.flatnonzero(counts >= least_docs), thresholds
     for part in (1.0, relax):
@@ -103,12 +105,14 @@ def loss_and_gradient(w: np.ndarray, cut: np.ndarray, flat: np.ndarray, starts:
 def _descend(rows: list[np.ndarray], grades: np.ndarray, used: np.ndarray, thresholds: np.ndarray, steps: int, rate: float, penalty: float) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the buckets ``used``, and thresholds, after ``steps`` of proximal AdaGrad over all rows."""
     n_grades, size = len(thresholds) + 1, 1 << BITS
-    place = np.full(size, -1, np.int64)
+    place = np.full(size, -1, np.int32)
     place[used] = np.arange(len(used))
-    kept = [place[r] for r in rows]
-    kept = [np.append(r[r >= 0], len(used)) for r in kept]  # one dummy, so that no row is empty
-    flat = np.concatenate(kept)
-    starts = np.cumsum([0, *(len(r) for r in kept[:-1])])
+    lens = np.array([1 + np.count_nonzero(place[r] >= 0) for r in rows], np.int64)
+    starts = np.cumsum(lens) - lens
+    flat = np.full(int(lens.sum()), len(used), np.int64)  # each row ends with one dummy, so that none is empty
+    for at, n, r in zip(starts, lens, rows, strict=True):
+        own = place[r]
+        flat[at : at + n - 1] = own[own >= 0]
     w, seen = np.zeros(len(used) + 1), np.full(len(used) + 1, 1e-8)
     cut, cut_seen = thresholds.copy(), np.full(n_grades - 1, 1e-8)
     share = (1 / (np.bincount(grades, minlength=n_grades) * len(set(grades.tolist()))).clip(1e-9))[grades]
@@ -168,8 +172,10 @@ def train(docs: DataFrame, labels: DataFrame, *, per_grade: int = 3000, id_col:
     rows = materialize(sample.mapInArrow(extract, "id long, grade int, buckets binary"), "label-features")
 
     def solve(table: pa.Table) -> pa.Table:
-        rows, fold = sorted(table.to_pylist(), key=lambda r: (r["id"], r["buckets"])), table.column("fold")[0].as_py()
-        model, top, grades = fit_fold([np.frombuffer(r["buckets"], "<u4") for r in rows], np.array([r["grade"] for r in rows], np.int64), 3, fold)
+        fold, table = table.column("fold")[0].as_py(), table.sort_by([("id", "ascending"), ("buckets", "ascending")])
+        rows = [np.frombuffer(r.as_buffer(), "<u4") for r in table.column("buckets")]  # views of the batch
+        model, top, grades = fit_fold(rows, table.column("grade").to_numpy().astype(np.int64), 3, fold)
+        give_back()
         return pa.table({"weights": pa.array([model.weights.tobytes() if fold == FOLDS else None], pa.binary()), "thresholds": pa.array([model.thresholds.tolist()]), "top": pa.array([top.tolist()], pa.list_(pa.float64())), "grades": pa.array([grades.tolist()], pa.list_(pa.int64()))})
 
     # the bounded sample is fitted once for each fold and once as a whole, a task each; of these come one vector of weights and the held-out probabilities
