@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_filter, materialize, release, slices, worker_cache
+from .common import forget, give_back, key_filter, materialize, release, slices, worker_cache
 
 BANDS, ROWS = 40, 5
 FINE_BANDS, FINE_ROWS = 80, 8
@@ -142,6 +142,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = [_words(t) for t in batch.column("text").to_pylist()]
         found = bag_min_hash(*shingle_hashes(words), len(words))
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([_digest(w) for w in words], pa.binary()), pa.array([s.tobytes() if w else b"" for s, w in zip(found, words, strict=True)], pa.binary())], ["id", "digest", "sketch"])
+    forget()
 
 
 def _band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,6 +151,7 @@ def _band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS, ROWS)
         keys = (sketch.astype(np.uint64) * place).sum(2) + (np.arange(BANDS, dtype=np.uint64) << np.uint64(8 * ROWS))
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), pa.array(np.repeat(batch.column("node").to_numpy(), BANDS))], ["key", "node"])
+    give_back()
 
 
 def _near(least: float):
@@ -170,6 +172,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(seen) < 200_000:
             seen.update(fresh)
         yield pa.RecordBatch.from_arrays([pa.array(fresh, pa.binary()), pa.array([unit_hashes(found[d]).tobytes() for d in fresh], pa.binary())], ["digest", "units"])
+    forget()
 
 
 def _verify(least: float):
@@ -255,6 +258,7 @@ def _joining(least: float):
                     links.append((node[x], node[y]))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+        give_back()
 
     return joining
 
@@ -270,6 +274,7 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = _mix(part.column("key").to_numpy().astype(np.int64).view(np.uint64)[:, None] + _GOLD * np.arange(1, FINE_BANDS + 1, dtype=np.uint64))
             repeated = [pa.array(np.repeat(part.column(c).to_numpy(), FINE_BANDS)) for c in ("node", "label")]
             yield pa.RecordBatch.from_arrays([pa.array(_mix(bands ^ own).ravel().view(np.int64)), *repeated], ["key", "node", "label"])
+    give_back()
 
 
 def _open(members: DataFrame) -> DataFrame:
