@@ -124,3 +124,53 @@ x AS (SELECT f.*, concat_ws(',', CASE WHEN symbol_rate > (SELECT cutoff FROM p W
   CASE WHEN upper_rate > (SELECT cutoff FROM p WHERE p.stratum = f.stratum AND feature = 'upper_rate') THEN 'upper_rate' END) AS rejected_by FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by = '' AS kept, rejected_by FROM x
 """
+
+_LOWER = "translate(COALESCE({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FOLDED = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Items' windows are joined to the documents' windows of the same number of words.
+ORACLES["op4_benchmark_decontamination"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_FOLDED.format("text")} AS w FROM documents),
+b AS (SELECT COALESCE(CAST(item_id AS VARCHAR), 'null') AS item_id, {_FOLDED.format("text")} AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i:i + 12], ' ') AS passage FROM b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS u(i) WHERE len(w) > 0),
+s AS (SELECT r, w, n FROM d, (SELECT DISTINCT n FROM g)),
+v AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS passage FROM s, unnest(range(1, len(w) - n + 2)) AS u(i)),
+h AS (SELECT r, v.n, i, item_id FROM v JOIN g ON v.n = g.n AND v.passage = g.passage),
+c AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT r, n, i FROM h), unnest(range(0, n)) AS u(k) GROUP BY r),
+o AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM h GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items, sha256(COALESCE(ids, '')) AS items_sha256,
+       COALESCE(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
+FROM d LEFT JOIN c ON d.r = c.r LEFT JOIN o ON d.r = o.r
+"""
+
+#: Nodes are texts with the same words; all pairs that share a shingle are compared, and labels spread along the links.
+ORACLES["op3_near_duplicates"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+n AS (SELECT row_number() OVER () AS node, * FROM (SELECT w, min(doc_id) AS first_id, count(*) AS n FROM d GROUP BY w)),
+s AS (SELECT node, array_to_string(w[i:i + 4], ' ') AS shingle, count(*) AS c FROM n, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS u(i) WHERE len(w) > 0 GROUP BY ALL),
+z AS (SELECT node, sum(c) AS size FROM s GROUP BY node),
+p AS (SELECT x.node AS a, y.node AS b, sum(least(x.c, y.c)) AS n_both FROM s x JOIN s y ON x.shingle = y.shingle AND x.node < y.node GROUP BY ALL),
+k AS (SELECT a, b FROM p JOIN z za ON za.node = a JOIN z zb ON zb.node = b WHERE 10 * n_both >= 8 * (za.size + zb.size - n_both)),
+l AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+reach AS (SELECT node, node AS label FROM n UNION SELECT l.b, reach.label FROM reach JOIN l ON l.a = reach.node WHERE reach.label < l.b),
+m AS (SELECT node, min(label) AS label FROM reach GROUP BY node),
+c AS (SELECT label, min(first_id) AS class_id, CAST(sum(n) AS BIGINT) AS class_rows FROM n JOIN m ON n.node = m.node GROUP BY label)
+SELECT doc_id, class_id, class_rows FROM d JOIN n ON d.w = n.w JOIN m ON n.node = m.node JOIN c ON m.label = c.label
+"""
+
+#: Bytes are pairs of hex digits; texts are cut into parts of 256 starts first, since a place in a long text is slow to find.
+ORACLES["op7_repeated_passages"] = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(COALESCE(text, ''))) AS x FROM documents),
+q AS (SELECT r, doc_id, k, substr(x, k * 512 + 1, 610) AS part FROM d, unnest(range(0, length(x) // 512 + 1)) AS u(k)),
+s AS (SELECT r, doc_id, k * 256 + i AS i, substr(part, i * 2 + 1, 100) AS g FROM q, unnest(range(0, least(256, length(part) // 2 - 49))) AS u(i)),
+f AS (SELECT g, min(doc_id) AS first_id FROM s GROUP BY g HAVING min(doc_id) < max(doc_id)),
+m AS (SELECT r, i FROM s JOIN f ON s.g = f.g WHERE first_id < doc_id),
+e AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM m),
+n AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM e),
+c AS (SELECT r, run, min(i) AS a, max(i) + 50 AS b FROM n GROUP BY r, run),
+p AS (SELECT r, COALESCE(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM c UNION ALL SELECT r, max(b), NULL FROM c GROUP BY r),
+k AS (SELECT r, string_agg(substr(x, p.a * 2 + 1, COALESCE(2 * (p.b - p.a), length(x))), '' ORDER BY p.a, p.b NULLS LAST) AS kept FROM p JOIN d USING (r) GROUP BY r),
+o AS (SELECT r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM c GROUP BY r)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, COALESCE(n_removed, 0) AS n_removed, COALESCE(n_spans, 0) AS n_spans, sha256(unhex(COALESCE(kept, x))) AS kept_sha256
+FROM d LEFT JOIN k ON d.r = k.r LEFT JOIN o ON d.r = o.r
+"""
