@@ -20,7 +20,7 @@ def x4_numeric_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def e8_unsupported_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of the assistant's turns that no other turn of the conversation holds."""
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("answer_id"), "role", "text")
-    found = verification.unsupported_numbers(turns.filter("role = 'assistant'").drop("role"), turns.filter("role <> 'assistant'").drop("role"))
+    """Numbers of pages that their address does not name."""
+    pages = table(spark, sf_dir, "pages")
+    found = verification.unsupported_numbers(pages.select(F.col("page_id").alias("answer_id"), F.col("html").alias("text")), pages.select(F.col("page_id").alias("answer_id"), F.col("url").alias("text")))
     return found.withColumn("value", F.col("value").cast("string"))
