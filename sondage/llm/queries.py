@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _tokenizer(name: str) -> str:
@@ -78,6 +79,27 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), _tokenizer("byte_bpe_50k.json")).drop("ids")
 
 
+def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licences
+
+    found = scan_licences(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["begin"], s["end"])), ","))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import collapse_runs
+
+    return collapse_runs(spark.read.parquet(f"{sf_dir}/documents.parquet"), plant=True, texts=False).drop("runs", "collapsed")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import mine_hard_negatives, whole_numbers
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(vectors.select("vec_id", changed.alias("label"), whole_numbers(vectors, "embedding", 256).alias("v")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name, in the order of their numbers."""
     found = [v for k, v in globals().items() if k.startswith("op")]
@@ -174,3 +196,14 @@ o AS (SELECT r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FRO
 SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, COALESCE(n_removed, 0) AS n_removed, COALESCE(n_spans, 0) AS n_spans, sha256(unhex(COALESCE(kept, x))) AS kept_sha256
 FROM d LEFT JOIN k ON d.r = k.r LEFT JOIN o ON d.r = o.r
 """
+
+#: All anchors against all rows; a row's place among those of its anchor, label side and window.
+ORACLES["op13_hard_negatives"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) QUALIFY row_number() OVER w <= 3
+"""
