@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondage.operators import conversation
+from sondage.operators import conversation, memory
 from sondage.sources.bindings import table
 
 from .registry import query
@@ -57,3 +57,54 @@ def v4c_contiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages whose length is divisible by seven stand for unfinished ones."""
     rows = _messages(spark, sf_dir).withColumn("status", F.when(F.length("content") % 7 == 0, "running").otherwise("completed"))
     return conversation.contiguous(rows).select("conversation_id", "sequence_no")
+
+
+def _full_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with their answers. Canonical forms name a period or a topic in some; questions whose length is divisible by five are unresolved."""
+    turns = conversation.pair_turns(_messages(spark, sf_dir))
+    third = F.col("turn") % 3
+    canonical = F.when(third == 0, F.concat("question", F.lit(" in 2024 Q2 vs FY2023"))).when(third == 1, F.concat(F.lit("About KPI-7: "), "question")).otherwise(F.col("question"))
+    ident = lambda c: F.concat(F.lit("m"), "conversation_id", F.lit("-"), c)
+    return turns.select("conversation_id", (F.col("turn") + 1).cast("long").alias("sequence_no"), "question", "answer", canonical.alias("canonical"), (F.length("question") % 5 != 0).alias("resolved"), ident(F.col("turn")).alias("question_id"), ident(F.col("turn") + 1).alias("answer_id"))
+
+
+def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.compact(memory.turn_items(memory.old_turns(_full_turns(spark, sf_dir), 1)))
+
+
+_LISTS = tuple(memory.LIMITS)
+_FULL = rf"""{_T}, f AS (SELECT conversation_id, turn + 1 AS sequence_no, question, answer, CASE turn % 3 WHEN 0 THEN question || ' in 2024 Q2 vs FY2023' WHEN 1 THEN 'About KPI-7: ' || question ELSE question END AS canonical, length(question) % 5 <> 0 AS resolved,
+  'm' || conversation_id || '-' || turn AS question_id, 'm' || conversation_id || '-' || (turn + 1) AS answer_id FROM t),
+g AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY sequence_no) AS nth, row_number() OVER (PARTITION BY conversation_id ORDER BY sequence_no DESC) AS back, min(sequence_no) OVER (PARTITION BY conversation_id) AS fst FROM f),
+o AS (SELECT *, substr(trim(regexp_replace(question, '[ \t\n\x0B\f\r]+', ' ', 'g')), 1, 300) AS q, substr(trim(regexp_replace(canonical, '[ \t\n\x0B\f\r]+', ' ', 'g')), 1, 300) AS c, question || ' ' || canonical AS both_ FROM g WHERE back > 1 AND fst <= 3 AND sequence_no = fst + 2 * (nth - 1)),
+it AS (SELECT conversation_id, nth, sequence_no, [c] AS conversation_goals, list_filter(regexp_extract_all(both_, '[\p{{L}}\p{{N}}_&/-]+'), lambda w: regexp_matches(w, '^[A-Za-z][A-Za-z0-9&/_-]{{1,39}}$') AND regexp_matches(w, '[A-Z0-9]')) AS entities, regexp_extract_all(both_, '{memory.PERIOD}') AS time_ranges,
+  CASE WHEN resolved AND q <> c THEN [{{'original': q, 'resolved': c, 'source_message_id': question_id}}] ELSE [] END AS resolved_references, CASE WHEN resolved THEN [] ELSE [q] END AS pending_questions, CASE WHEN regexp_matches(question, '[\x{{4e00}}-\x{{9fff}}]') THEN ['respond_in_zh'] ELSE [] END AS user_preferences, [question_id, answer_id] AS source_message_ids FROM o),
+"""
+
+
+def _joined(name: str) -> str:
+    """Old and new items, each spelling once at its first place; references in their newest form there."""
+    both = f"list_concat(r.{name}, it.{name})"
+    if name == "resolved_references":
+        first = f"list_filter({both}, lambda x, i: list_position(list_transform({both}, lambda y: lower(y.original)), lower(x.original)) = i)"
+        return f"list_transform({first}, lambda x: list_extract(list_filter({both}, lambda z: lower(z.original) = lower(x.original)), -1))[-{memory.LIMITS[name][0]}:]"
+    return f"list_filter({both}, lambda x, i: list_position(list_transform({both}, lambda y: lower(y)), lower(x)) = i)[-{memory.LIMITS[name][0]}:]"
+
+
+_TYPES = {n: "STRUCT(original VARCHAR, resolved VARCHAR, source_message_id VARCHAR)[]" if n == "resolved_references" else "VARCHAR[]" for n in _LISTS}
+_FOLDED = f"""{_FULL} r AS (SELECT DISTINCT conversation_id, CAST(0 AS BIGINT) AS nth, CAST(0 AS BIGINT) AS sequence_no, {", ".join(f"CAST([] AS {_TYPES[n]}) AS {n}" for n in _LISTS)} FROM it
+  UNION ALL SELECT it.conversation_id, it.nth, it.sequence_no, {", ".join(_joined(n) for n in _LISTS)} FROM r JOIN it ON it.conversation_id = r.conversation_id AND it.nth = r.nth + 1),
+s AS (SELECT conversation_id, sequence_no AS through_sequence, nth AS n_folded, {", ".join(_LISTS)} FROM r WHERE nth > 0 QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY nth DESC) = 1)"""
+_SHOWN_SQL = ", ".join(f"array_to_string({'list_transform(' + n + ', lambda x: x.original || chr(61) || x.resolved || chr(61) || x.source_message_id)' if n == 'resolved_references' else n}, '|') AS {n}" for n in _LISTS)
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    """Lists as text."""
+    text = lambda n: F.transform(n, lambda x: F.concat_ws("=", x["original"], x["resolved"], x["source_message_id"])) if n == "resolved_references" else F.col(n)
+    return df.withColumns({n: F.array_join(text(n), "|") for n in _LISTS})
+
+
+@query(f"WITH RECURSIVE {_FOLDED} SELECT conversation_id, through_sequence, n_folded, {_SHOWN_SQL} FROM s")
+def v3c_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns but the newest."""
+    return _shown(_summaries(spark, sf_dir))
