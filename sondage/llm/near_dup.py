@@ -392,9 +392,12 @@ def first_of_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def digest(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: _digest(_words(t)))
 
-    marked = of_several(docs, F.col(id_col).cast("long"))
-    apart = marked.filter(~F.col("_may_hold")).select(*docs.columns)
-    own = marked.filter("_may_hold").withColumn("_digest", digest(F.col(text_col).cast("string")))
-    own = own.join(first, F.col(id_col).cast("long").eqNullSafe(F.col("_first_id")) & (F.col("_digest") == F.col("_first_digest")))
-    repeated = own.filter("_first_n > 1").dropDuplicates([id_col, "_digest"])
-    return apart.unionByName(own.filter("_first_n = 1").select(*docs.columns)).unionByName(repeated.select(*docs.columns))
+    # rows are packed, so that no name of theirs can clash
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    row_id = F.col("row")[id_col].cast("long")
+    marked = of_several(whole, row_id)
+    apart = marked.filter(~F.col("_may_hold")).select("row")
+    own = marked.filter("_may_hold").withColumn("_digest", digest(F.col("row")[text_col].cast("string")))
+    own = own.join(first, row_id.eqNullSafe(F.col("_first_id")) & (F.col("_digest") == F.col("_first_digest")))
+    repeated = own.filter("_first_n > 1").withColumn("_id", row_id).dropDuplicates(["_id", "_digest"])
+    return apart.unionByName(own.filter("_first_n = 1").select("row")).unionByName(repeated.select("row")).select(*(F.col("row")[c].alias(c) for c in docs.columns))

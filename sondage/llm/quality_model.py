@@ -200,8 +200,10 @@ def score(docs: DataFrame, model: OrdinalModel, *, text_col: str = "text") -> Da
         expected, top = shared.value.grades(scores) if len(scores) else (scores, scores)
         return pd.DataFrame({"expected_grade": expected, "top_probability": top})
 
-    found = docs.withColumn("_grade", grade(F.col(text_col).cast("string")))
-    return found.withColumns({"expected_grade": F.col("_grade.expected_grade"), "top_probability": F.col("_grade.top_probability")}).drop("_grade")
+    # the row is packed, so that no name of its own can clash
+    found = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), grade(F.col(f"`{text_col}`").cast("string")).alias("grade"))
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("expected_grade", "top_probability")]
+    return found.select(*kept, F.col("grade.expected_grade"), F.col("grade.top_probability"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, least: float | None = None, per_grade: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

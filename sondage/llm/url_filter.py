@@ -56,8 +56,18 @@ def _domains(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
 
 
+def settled(rules: list[Rule]) -> list[Rule]:
+    """Each host and path once: of rules that contradict each other, the one that blocks."""
+    found: dict[tuple[str, str], Rule] = {}
+    for r in rules:
+        if r.verdict == "block" or (r.host, r.path) not in found:
+            found[r.host, r.path] = r
+    return list(found.values())
+
+
 def with_rules(rows: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``rows`` (host, path) with ``found``, as in ``rule_column``. Many rules are collected for each host that they fit, and tested against its paths."""
+    """``rows`` (host, path) with ``found``, as in ``rule_column``. Of rules with one host and path, one that blocks stands. Many rules are collected for each host that they fit, and tested against its paths."""
+    rules = settled(rules)
     if len(rules) <= _IN_EXPRESSION:
         return rows.withColumn("found", rule_column(F.col("host"), F.col("path"), rules))
     table = rows.sparkSession.createDataFrame([(r.host, r.path, r.text, r.verdict) for r in rules], "of string, path string, rule string, verdict string")
