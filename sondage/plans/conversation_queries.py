@@ -108,3 +108,56 @@ def _shown(df: DataFrame) -> DataFrame:
 def v3c_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All turns but the newest."""
     return _shown(_summaries(spark, sf_dir))
+
+
+#: Items in the order in which they go; what stays is the longest end that fits.
+_FIT = rf"""{_FOLDED}, fi AS (SELECT conversation_id, f, i, j, CAST(len(regexp_extract_all(j, '[\x{{3400}}-\x{{4dbf}}\x{{4e00}}-\x{{9fff}}\x{{f900}}-\x{{faff}}]')) AS BIGINT) AS wide, length(j) AS n FROM (
+  {" UNION ALL ".join(f"SELECT conversation_id, {k} AS f, i, CAST(to_json({n}[i]) AS VARCHAR) AS j FROM s, unnest(range(1, len({n}) + 1)) AS u(i)" for k, n in enumerate(memory.REMOVED_FIRST) if n in memory.LIMITS)})),
+fc AS (SELECT *, sum(wide) OVER w AS w_all, sum(n - wide) OVER w + (count(*) OVER w - count(DISTINCT f) OVER w) AS o_all FROM fi WINDOW w AS (PARTITION BY conversation_id ORDER BY f DESC, i DESC ROWS UNBOUNDED PRECEDING)),
+fk AS (SELECT conversation_id, f, i FROM fc QUALIFY bool_and(w_all + ceil((o_all + @bare) / 4.0) <= @budget) OVER (PARTITION BY conversation_id ORDER BY f DESC, i DESC ROWS UNBOUNDED PRECEDING)),
+fn AS (SELECT conversation_id, {", ".join(f"count(*) FILTER (f = {k}) AS n_{n}" for k, n in enumerate(memory.REMOVED_FIRST) if n in memory.LIMITS)} FROM fk GROUP BY 1),
+fs AS (SELECT s.conversation_id, through_sequence, n_folded, {", ".join(f"CASE WHEN COALESCE(n_{n}, 0) = 0 THEN [] ELSE {n}[-n_{n}:] END AS {n}" for n in _LISTS)} FROM s LEFT JOIN fn USING (conversation_id))"""
+_BARE = len("{" + ",".join(f'"{n}":[]' for n in sorted(_LISTS)) + "}")
+
+
+def _fitted(budget: int) -> str:
+    return _FIT.replace("@bare", str(_BARE)).replace("@budget", str(budget))
+
+
+@query(f"WITH RECURSIVE {_fitted(260)} SELECT conversation_id, through_sequence, n_folded, {_SHOWN_SQL}, true AS fits FROM fs")
+def v2c_fit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries cut to 260 estimated tokens."""
+    return _shown(memory.fit_summary(_summaries(spark, sf_dir), 260))
+
+
+_WIDE_SQL = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]"
+
+
+def _tok(x: str) -> str:
+    return f"CAST(len(regexp_extract_all({x}, '{_WIDE_SQL}')) + ceil((length({x}) - len(regexp_extract_all({x}, '{_WIDE_SQL}'))) / 4.0) AS BIGINT)"
+
+
+def _cut(x: str, n: str) -> str:
+    """Texts of these tables have no wide characters: a budget is four characters a token, one of them the mark."""
+    return f"CASE WHEN {n} <= 0 THEN '' WHEN {_tok(x)} <= {n} THEN {x} ELSE regexp_replace(substr({x}, 1, CAST(4 * {n} - 1 AS BIGINT)), '\\s+$', '') || '…' END"
+
+
+_JSON = ", ".join(f"'{n}': {n}" for n in sorted(_LISTS))
+
+
+@query(f"""WITH RECURSIVE {_fitted(200)}, cu AS (SELECT conversation_id, max(sequence_no) AS cutoff FROM m WHERE role = 'user' GROUP BY 1),
+hv AS (SELECT cu.conversation_id, cutoff, COALESCE(through_sequence, 0) AS through_sequence, COALESCE(CAST(to_json({{{_JSON}}}) AS VARCHAR), '{{}}') AS summary FROM cu LEFT JOIN fs ON fs.conversation_id = cu.conversation_id AND through_sequence < cutoff),
+hb AS (SELECT conversation_id, cutoff, through_sequence, CASE WHEN has THEN summary ELSE '{{}}' END AS summary FROM (SELECT hv.*, EXISTS (SELECT 1 FROM fs WHERE fs.conversation_id = hv.conversation_id AND fs.through_sequence < cutoff) AS has FROM hv)),
+hl AS (SELECT *, greatest(400 - {_tok("summary")}, 0) AS room FROM hb),
+ot AS (SELECT hl.*, f.sequence_no, question, answer, question_id, answer_id, row_number() OVER w AS back, sum({_tok("question")} + {_tok("answer")}) OVER w AS used FROM hl JOIN f ON f.conversation_id = hl.conversation_id AND f.sequence_no - 1 > through_sequence AND f.sequence_no - 1 < cutoff WINDOW w AS (PARTITION BY hl.conversation_id ORDER BY f.sequence_no DESC)),
+oc AS (SELECT *, back = 1 AND used > room AS cut_, least(room, greatest(1, room // 3)) AS share FROM ot WHERE back <= 4 AND room > 0 AND (used <= room OR back = 1)),
+tx AS (SELECT *, CASE WHEN cut_ THEN {_cut("question", "share")} ELSE question END AS qt, CASE WHEN cut_ THEN {_cut("answer", "(room - share)")} ELSE answer END AS at_ FROM oc),
+hi AS (SELECT conversation_id, list([{{'id': question_id, 'role': 'user', 'content': qt}}, {{'id': answer_id, 'role': 'assistant', 'content': at_}}] ORDER BY sequence_no) AS h, count(*) AS n_turns, sum({_tok("qt")} + {_tok("at_")}) AS told, bool_or(cut_) AS truncated FROM tx GROUP BY 1)
+SELECT hl.conversation_id, cutoff, through_sequence, COALESCE(n_turns, 0) AS n_turns, CAST({_tok("summary")} + COALESCE(told, 0) AS BIGINT) AS tokens, COALESCE(truncated, false) AS truncated,
+  sha256('{{"conversation_id":"' || hl.conversation_id || '","cutoff":' || cutoff || ',"history":' || COALESCE(CAST(to_json(flatten(h)) AS VARCHAR), '[]') || ',"summary":' || summary || '}}') AS context_hash FROM hl LEFT JOIN hi USING (conversation_id)""")
+def v1c_context_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The context of each conversation's last question, in 400 estimated tokens, of which the summary takes 200."""
+    messages = _messages(spark, sf_dir)
+    cutoffs = messages.filter("role = 'user'").groupBy("conversation_id").agg(F.max("sequence_no").alias("cutoff"))
+    found = memory.context_at(_full_turns(spark, sf_dir), _summaries(spark, sf_dir), cutoffs, token_budget=400, summary_budget=200)
+    return found.drop("history")
