@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondage.functions.text import query_terms
-from sondage.operators import search
+from sondage.operators import ann, search
 from sondage.sources.bindings import table
 
 from .registry import query
@@ -64,6 +64,14 @@ def r6_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vector_lane(spark, sf_dir)
 
 
+@query()
+def r7_ann_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by an inverted file; approximate, so tests hold its recall against the exact search."""
+    vectors = table(spark, sf_dir, "embeddings")
+    queries = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    return ann.ann_vector_search(queries, vectors.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec")), 24, dims=64)
+
+
 @query(f"""WITH {_BM25}, {_VECTORS}, b AS (SELECT query_id, chunk_id, 'lexical' AS lane, 1.25 / (60 + rank) AS part FROM bm UNION ALL SELECT query_id, chunk_id, 'vector', CAST(1.0 AS DOUBLE) / (60 + rank) FROM vr),
 s AS (SELECT query_id, chunk_id, round(sum(CAST(part AS DOUBLE)), 8) AS score, string_agg(DISTINCT lane, ',' ORDER BY lane) AS sources FROM b GROUP BY ALL)
 SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s""")
