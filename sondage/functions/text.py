@@ -26,8 +26,9 @@ def nfkc(text: Column) -> Column:
 
 
 def normal_key(text: Column) -> Column:
-    """Lower case, without anything but letters, digits and '_'. Full-width forms are not folded: use ``nfkc`` before where they occur."""
-    return F.lower(F.regexp_replace(text, r"(?U)[^\w]+", ""))
+    """Lower case, without anything but letters, digits and '_'; full-width forms count as their plain ones. Other compatibility forms (ligatures, circled digits) take ``nfkc`` before."""
+    plain = F.translate(text, "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))))
+    return F.lower(F.regexp_replace(plain, r"(?U)[^\w]+", ""))
 
 
 def normal_cell(text: Column) -> Column:

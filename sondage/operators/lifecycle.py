@@ -13,7 +13,7 @@ def content_hash(text: Column) -> Column:
 def dedup_by_content(new: DataFrame, existing: DataFrame, mode: str) -> DataFrame:
     """New documents (workspace_id, document_id, sha256) against existing ones (also version_no) of the same workspace and content.
 
-    reuse: each new row with the document it stands for (the latest of equal ones). new_version: the version it gets. reject: rows that exist already.
+    reuse: each new row with the document it stands for (the latest of equal ones). new_version: the version it gets, rows of one content in the order of their ids. reject: rows that exist already.
     """
     key = ["workspace_id", "sha256"]
     known = existing.groupBy(*key).agg(F.max(F.struct("version_no", F.col("document_id").alias("existing_id"))).alias("latest"))
@@ -23,7 +23,9 @@ def dedup_by_content(new: DataFrame, existing: DataFrame, mode: str) -> DataFram
     if mode == "reuse":
         return rows.select(*key, "document_id", F.coalesce("latest.existing_id", "document_id").alias("used_id"))
     if mode == "new_version":
-        return rows.select(*key, "document_id", (F.coalesce("latest.version_no", F.lit(0)) + 1).alias("version_no"))
+        # equal documents that arrive together get versions of their own
+        nth = F.row_number().over(Window.partitionBy(*key).orderBy("document_id"))
+        return rows.select(*key, "document_id", (F.coalesce("latest.version_no", F.lit(0)) + nth).alias("version_no"))
     raise ValueError(mode)
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sondage.functions.text import normal_cell, parse_number
+from sondage.functions.text import normal_cell, normal_key, parse_number
 
 from .cubes import percent
 
@@ -34,17 +34,17 @@ def top_rows(cells: DataFrame, header: str, n: int, *, largest: bool = True) ->
 
 
 def group_total(cells: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
-    """Sums of named groups of rows per column, only where all rows of the group have a number."""
+    """table_id, group, header, total, n_rows: sums of named groups of rows per table and column, only where all rows of the group have a number."""
     label = reduce(lambda rest, g: F.when(F.col("row_label").isin(g[1]), g[0]).otherwise(rest), groups.items(), F.lit(None).cast("string"))
-    rows = cells.withColumn("group", label).filter("group is not null").groupBy("group", "header").agg(F.sum(F.col("value").cast("decimal(28,4)")).cast("double").alias("total"), F.count("*").alias("n_rows"), F.every(F.col("value").isNotNull()).alias("whole"))
+    rows = cells.withColumn("group", label).filter("group is not null").groupBy("table_id", "group", "header").agg(F.sum(F.col("value").cast("decimal(28,4)")).cast("double").alias("total"), F.count("*").alias("n_rows"), F.every(F.col("value").isNotNull()).alias("whole"))
     return rows.filter("whole").drop("whole")
 
 
 def compare_groups(cells: DataFrame, first: list[str], second: list[str]) -> DataFrame:
-    """Totals of two groups of rows per column, their difference and their ratio to two decimals."""
+    """Totals of two groups of rows per table and column, their difference and their ratio to two decimals."""
     sums = group_total(cells, {"a": first, "b": second})
-    pair = sums.groupBy("header").agg(F.max(F.when(F.col("group") == "a", F.col("total"))).alias("a"), F.max(F.when(F.col("group") == "b", F.col("total"))).alias("b")).filter("a is not null and b is not null")
-    return pair.select("header", "a", "b", (F.col("a") - F.col("b")).alias("difference"), F.round(F.try_divide("a", "b"), 2).alias("multiple"))
+    pair = sums.groupBy("table_id", "header").agg(F.max(F.when(F.col("group") == "a", F.col("total"))).alias("a"), F.max(F.when(F.col("group") == "b", F.col("total"))).alias("b")).filter("a is not null and b is not null")
+    return pair.select("table_id", "header", "a", "b", (F.col("a") - F.col("b")).alias("difference"), F.round(F.try_divide("a", "b"), 2).alias("multiple"))
 
 
 def with_total(cells: DataFrame) -> DataFrame:
@@ -88,6 +88,34 @@ def threshold_check(rows: DataFrame) -> DataFrame:
     return checked.withColumn("all_pass", F.every("passes").over(Window.partitionBy("table_id")))
 
 
+def _bucket(total: Column, absolute: float, relative: float) -> Column:
+    """A whole number for values about as far apart as their tolerance: linear while the absolute one holds, logarithmic beyond. Neighbours within the tolerance are in this or the next bucket."""
+    edge = absolute / relative
+    size = F.floor(F.log(F.abs(total) / edge) / (2.5 * relative)) + F.lit(int(edge / absolute) + 2)
+    return F.when(F.abs(total) < edge, F.floor(total / (2 * absolute))).otherwise(F.signum(total).cast("long") * size).cast("long")
+
+
+def table_projections(cells: DataFrame) -> DataFrame:
+    """source, metric, label, value: numeric columns of tables with at least three members, totals left out; a label's first row counts. Labels are in normal form."""
+    named = cells.filter(~is_total(F.col("row_label")) & F.col("value").isNotNull()).withColumn("label", normal_key(F.col("row_label"))).filter("label <> ''")
+    order = [c for c in ("row_ix", "row_label") if c in cells.columns]
+    own = named.withColumn("nth", F.row_number().over(Window.partitionBy("table_id", "header", "label").orderBy(*order))).filter("nth = 1")
+    sized = own.withColumn("n", F.count("*").over(Window.partitionBy("table_id", "header"))).filter("n >= 3")
+    return sized.select(F.col("table_id").alias("source"), F.col("header").alias("metric"), "label", "value")
+
+
+def chart_projections(points: DataFrame) -> DataFrame:
+    """source, metric, label, value of points (scope_id, series_name, category, y_value): each series over its categories, and each category over its series; at least two labels, all different in normal form."""
+    rows = points.filter("y_value is not null")
+    side = lambda metric, label: rows.select(F.col("scope_id").alias("source"), F.col(metric).alias("metric"), normal_key(F.col(label)).alias("label"), F.col("y_value").alias("value"), F.lit(metric == "category").alias("turned"))
+    both = side("series_name", "category").unionByName(side("category", "series_name")).filter("label <> ''")
+    whole = Window.partitionBy("source", "metric", "turned")
+    # a label that comes twice makes the number of rows larger than that of labels
+    twice = F.count("*").over(Window.partitionBy("source", "metric", "turned", "label"))
+    sized = both.withColumn("twice", twice).withColumns({"n": F.count("*").over(whole), "most": F.max("twice").over(whole)}).filter("n >= 2 and most = 1")
+    return sized.select("source", "metric", "label", "value", "turned")
+
+
 def reconcile(first: DataFrame, second: DataFrame, *, least_common: int = 2, relative: float = 0.001, absolute: float = 0.5) -> DataFrame:
     """Sources of which the second folds some labels of the first into one: source, metric, label, value on both sides.
 
@@ -100,8 +128,16 @@ def reconcile(first: DataFrame, second: DataFrame, *, least_common: int = 2, rel
     total_a = a.groupBy(*keys_a).agg(F.sum(F.col("a").cast("decimal(28,4)")).cast("double").alias("total_a"), F.count("*").alias("n_a"))
     total_b = b.groupBy(*keys_b).agg(F.sum(F.col("b").cast("decimal(28,4)")).cast("double").alias("total_b"), F.count("*").alias("n_b"))
     same = close(F.col("a"), F.col("b"))
-    shared = a.join(b, "label").groupBy(*keys_a, *keys_b).agg(F.count("*").alias("n"), F.count_if(same).alias("stable"), F.max(F.when(~same, F.struct("label", "a", "b"))).alias("target"))
-    pairs = shared.join(total_a, keys_a).join(total_b, keys_b).filter((F.col("n") >= least_common) & (F.col("n") - F.col("stable") == 1) & (F.col("stable") >= 1) & (F.col("n") == F.col("n_b")) & (F.col("n_a") > F.col("n")) & close(F.col("total_a"), F.col("total_b")))
+    # all labels of b are a's, and the totals are close: pairs meet on b's rarest label and the bucket of the total, and only these are compared
+    often = a.groupBy("label").agg(F.count("*").alias("often"))
+    rare = b.join(often, "label").groupBy(*keys_b).agg(F.count("*").alias("known"), F.min_by("label", F.struct("often", "label")).alias("rare"))
+    reach = F.greatest(F.lit(absolute), F.abs("total_b") * relative * (1 + 2 * relative))
+    ends = F.array_distinct(F.array(*(_bucket(F.col("total_b") + k * reach, absolute, relative) for k in (-1, 0, 1))))
+    wanted = total_b.join(rare, keys_b).filter("known = n_b").select(*keys_b, "n_b", "total_b", F.col("rare").alias("label"), F.explode(ends).alias("bucket"))
+    offered = a.join(total_a, keys_a).select(*keys_a, "n_a", "total_a", "label", _bucket(F.col("total_a"), absolute, relative).alias("bucket"))
+    met = offered.join(wanted, ["label", "bucket"]).filter((F.col("n_a") > F.col("n_b")) & close(F.col("total_a"), F.col("total_b"))).drop("label", "bucket").distinct()
+    shared = met.join(b, keys_b).join(a, [*keys_a, "label"]).groupBy(*keys_a, *keys_b, "n_a", "n_b").agg(F.count("*").alias("n"), F.count_if(same).alias("stable"), F.max(F.when(~same, F.struct("label", "a", "b"))).alias("target"))
+    pairs = shared.filter((F.col("n") >= least_common) & (F.col("n") - F.col("stable") == 1) & (F.col("stable") >= 1) & (F.col("n") == F.col("n_b")))
     both = [*keys_a, *keys_b]
     only = pairs.select(*both, "target").join(a, keys_a).join(b.select(*keys_b, "label", F.lit(True).alias("there")), [*keys_b, "label"], "left").filter("there is null")
     folded = only.groupBy(*both, "target").agg(F.array_join(F.array_sort(F.collect_list("label")), ",").alias("folded"), F.sum(F.col("a").cast("decimal(28,4)")).cast("double").alias("folded_value"))

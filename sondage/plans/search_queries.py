@@ -17,14 +17,14 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first eight words of each benchmark text."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), query_terms(F.array_join(F.slice(F.split("text", " "), 1, 8), " ")).alias("terms"))
+    """Whole benchmark texts."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), query_terms(F.col("text"), 1 << 20).alias("terms"))
 
 
 _STOP = "['a','an','and','are','as','at','by','for','from','how','in','is','it','of','on','or','that','the','this','to','was','were','what','which','with']"
 _POSTINGS = r"""words AS (SELECT doc_id AS chunk_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents),
 post AS (SELECT term, chunk_id, count(*) AS tf FROM words GROUP BY ALL), len AS (SELECT chunk_id, sum(tf) AS dl FROM post GROUP BY chunk_id), tot AS (SELECT count(*) AS n_all, avg(dl) AS avg_dl FROM len)"""
-_ASKED = f"""raw AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:8], ' ')), '[a-z0-9_]{{2,}}')) AS t FROM benchmark),
+_ASKED = f"""raw AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{{2,}}')) AS t FROM benchmark),
 asked AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(list_filter(t, lambda x: NOT list_contains({_STOP}, x))) AS term FROM raw))"""
 _BM25 = f"""{_POSTINGS}, {_ASKED}, df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 part AS (SELECT a.query_id, p.chunk_id, greatest(ln((n_all - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl)) AS part FROM asked a JOIN post p USING (term) JOIN df USING (term) JOIN len USING (chunk_id), tot),
@@ -119,24 +119,25 @@ def j10_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.token_overlap(items, items)
 
 
-@query(f"""WITH {_BM25}, h AS (SELECT b.query_id, b.chunk_id, score, (SELECT count(*) FROM asked a WHERE a.query_id = b.query_id AND contains(lower(d.text), a.term)) AS c, (SELECT count(*) FROM asked a WHERE a.query_id = b.query_id AND contains(lower(left(d.text, 40)), a.term)) AS t FROM bm b JOIN documents d ON d.doc_id = b.chunk_id),
+@query(f"""WITH {_BM25}, h AS (SELECT b.query_id, b.chunk_id, score, (SELECT count(*) FROM asked a WHERE a.query_id = b.query_id AND contains(lower(d.text), a.term)) AS c, (SELECT count(*) FROM asked a WHERE a.query_id = b.query_id AND contains(lower(string_split(d.text, chr(10))[1]), a.term)) AS t FROM bm b JOIN documents d ON d.doc_id = b.chunk_id),
 s AS (SELECT query_id, chunk_id, CAST(round(CAST(score AS DECIMAL(28,10)) + 2 * c + t, 6) AS DOUBLE) AS score FROM h) SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s""")
 def r5_lexical_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's first forty characters stand for its title."""
-    chunks, queries = _chunks(spark, sf_dir).withColumn("title", F.substring("content", 1, 40)), _queries(spark, sf_dir)
+    """A document's first line is its title."""
+    chunks, queries = _chunks(spark, sf_dir).withColumn("title", F.get(F.split("content", "\n"), F.lit(0))), _queries(spark, sf_dir)
     return search.lexical_score(search.bm25(chunks, queries, 24), chunks, queries)
 
 
-@query(f"""WITH {_BM25.replace("<= 24", "<= 200")}, r AS (SELECT b.*, source AS document_id FROM bm b JOIN documents d ON d.doc_id = b.chunk_id), n AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY score DESC, chunk_id) AS rd FROM r)
-SELECT query_id, document_id, chunk_id, CASE WHEN rank <= 12 THEN 'global' ELSE 'document' END AS lane FROM n WHERE rank <= 12 OR rd <= 2""")
+@query(f"""WITH {_BM25}, r AS (SELECT b.*, source AS document_id FROM scored b JOIN documents d ON d.doc_id = b.chunk_id), c AS (SELECT query_id, count(DISTINCT document_id) AS nd FROM r GROUP BY 1),
+n AS (SELECT r.*, nd, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, row_number() OVER (PARTITION BY query_id, document_id ORDER BY score DESC, chunk_id) AS rd FROM r JOIN c USING (query_id))
+SELECT query_id, document_id, chunk_id, CASE WHEN rank <= 12 THEN 'global' ELSE 'document' END AS lane FROM n WHERE rank <= 12 OR rd <= greatest(4, least(8, 16 // nd + 2))""")
 def r14_document_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _chunks(spark, sf_dir)
-    scored = search.bm25(chunks, _queries(spark, sf_dir), 200).join(chunks.select("chunk_id", "document_id"), "chunk_id")
-    return search.document_lanes(scored, 12, 2)
+    scored = search.bm25_scores(chunks, _queries(spark, sf_dir)).join(chunks.select("chunk_id", "document_id"), "chunk_id")
+    return search.document_lanes(scored, 12)
 
 
-@query("""WITH w AS (SELECT item_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS word FROM benchmark), f AS (SELECT id, word AS feature FROM w UNION ALL SELECT id, '#' || substr(word, CAST(k AS BIGINT), 3) FROM w, unnest(range(1, greatest(length(word) - 1, 1))) AS u(k) WHERE length(word) > 3),
+@query(r"""WITH w AS (SELECT doc_id AS id, unnest(list_concat(regexp_extract_all(lower(text), '[a-z0-9_]{2,}'), flatten(list_transform(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]{2,}'), lambda r: list_transform(range(1, length(r)), lambda k: substr(r, CAST(k AS BIGINT), 2)))))) AS word FROM documents), f AS (SELECT id, word AS feature FROM w UNION ALL SELECT id, '#' || substr(word, CAST(k AS BIGINT), 3) FROM w, unnest(range(1, greatest(length(word) - 1, 1))) AS u(k) WHERE length(word) > 3),
 n AS (SELECT id, feature, count(*) AS n, ('0x' || substr(md5(feature), 1, 15))::BIGINT AS h FROM f GROUP BY ALL)
 SELECT id, h % 384 AS bucket, CAST(sum(CASE WHEN (h // 384) % 2 = 0 THEN n ELSE -n END) AS BIGINT) AS weight FROM n GROUP BY 1, 2 HAVING weight <> 0""")
 def x17_hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.hash_embedding(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"))
+    return search.hash_embedding(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))

@@ -25,15 +25,16 @@ def r16_top_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EAST, _WEST = ["NATION_0", "NATION_10", "NATION_15"], ["NATION_1", "NATION_11", "NATION_16"]
 
 
-@query(f"WITH {CELLS_SQL} SELECT CASE WHEN row_label IN ('NATION_0','NATION_10','NATION_15') THEN 'east' ELSE 'west' END AS \"group\", header, round(CAST(sum(CAST(value AS DECIMAL(28,4))) AS DOUBLE), 4) AS total, count(*) AS n_rows FROM cells WHERE row_label IN ('NATION_0','NATION_10','NATION_15','NATION_1','NATION_11','NATION_16') GROUP BY ALL")
+@query(f"WITH {CELLS_SQL} SELECT CASE WHEN row_label IN ('NATION_0','NATION_10','NATION_15') THEN 'east' ELSE 'west' END AS \"group\", table_id, header, round(CAST(sum(CAST(value AS DECIMAL(28,4))) AS DOUBLE), 4) AS total, count(*) AS n_rows FROM cells WHERE row_label IN ('NATION_0','NATION_10','NATION_15','NATION_1','NATION_11','NATION_16') GROUP BY ALL")
 def a14_group_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(tables.group_total(cells(spark, sf_dir), {"east": _EAST, "west": _WEST}))
 
 
-@query(f"""WITH {CELLS_SQL}, g AS (SELECT header, CAST(sum(CASE WHEN row_label IN ('NATION_0','NATION_10','NATION_15') THEN CAST(value AS DECIMAL(28,4)) END) AS DOUBLE) AS a, CAST(sum(CASE WHEN row_label IN ('NATION_1','NATION_11','NATION_16') THEN CAST(value AS DECIMAL(28,4)) END) AS DOUBLE) AS b FROM cells GROUP BY header)
-SELECT header, round(a, 4) AS a, round(b, 4) AS b, round(a - b, 4) AS difference, round(round(a / nullif(b, 0), 2), 4) AS multiple FROM g""")
+@query(f"""WITH {CELLS_SQL}, g AS (SELECT table_id, header, CAST(sum(CASE WHEN row_label IN ('NATION_0','NATION_10','NATION_15') THEN CAST(value AS DECIMAL(28,4)) END) AS DOUBLE) AS a, CAST(sum(CASE WHEN row_label IN ('NATION_20','NATION_5') THEN CAST(value AS DECIMAL(28,4)) END) AS DOUBLE) AS b FROM cells GROUP BY table_id, header)
+SELECT table_id, header, round(a, 4) AS a, round(b, 4) AS b, round(a - b, 4) AS difference, round(round(a / nullif(b, 0), 2), 4) AS multiple FROM g WHERE a IS NOT NULL AND b IS NOT NULL""")
 def t9_compare_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(tables.compare_groups(cells(spark, sf_dir), _EAST, _WEST))
+    """Two groups of rows of one table."""
+    return _rounded(tables.compare_groups(cells(spark, sf_dir), _EAST, ["NATION_20", "NATION_5"]))
 
 
 @query(f"""WITH {CELLS_SQL}, t AS (SELECT table_id, header, max(value) AS total FROM cells WHERE row_label = 'Total' GROUP BY ALL)
@@ -83,4 +84,4 @@ def x_rec_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("source").orderBy(F.desc("label"))
     folded = rows.withColumns({"rn": F.row_number().over(w), "next": F.lag("value").over(w)}).filter("rn > 1")
     charts = folded.select(F.concat(F.lit("chart:"), "source").alias("source"), "metric", "label", F.when(F.col("rn") == 2, F.col("value") + F.col("next")).otherwise(F.col("value")).alias("value"))
-    return _rounded(tables.reconcile(rows, charts).filter(F.concat(F.lit("chart:"), "source_a") == F.col("source_b")))
+    return _rounded(tables.reconcile(rows, charts))
