@@ -207,3 +207,22 @@ SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, oth
 FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) QUALIFY row_number() OVER w <= 3
 """
+
+_CRC32 = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda acc, b: list_reduce(list_concat([xor(acc, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
+
+#: Passages of six words that are p words apart, place after place, make a run; of equal stretches the smallest period counts.
+ORACLES["op12_periodic_runs"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS o, {_CRC32} AS h FROM documents),
+a AS (SELECT *, len(o) AS n, CASE WHEN h % 10 = 0 AND len(o) > 0 THEN (h // 10) % len(o) END AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+w AS (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN o ELSE list_transform(range(0, n), lambda i: o[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM p),
+g AS (SELECT r, i, array_to_string(w[i + 1:i + 6], ' ') AS g FROM w, unnest(range(0, n - 5)) AS u(i)),
+e AS (SELECT x.r, x.i, y.i - x.i AS p FROM g x JOIN g y ON x.r = y.r AND x.g = y.g AND x.i < y.i),
+s AS (SELECT r, p, min(i) AS start, count(*) + 5 + p AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, p ORDER BY i) AS k FROM e) GROUP BY r, p, k),
+q AS (SELECT r, start, length, min(p) AS period FROM s WHERE length >= greatest(12, 2 * p) GROUP BY r, start, length),
+t AS (SELECT r, count(*) AS n_runs, arg_max({{'start': start, 'length': length, 'period': period}}, length::HUGEINT * 1000000000000 - start * 1000000 - period) AS b, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM q GROUP BY r),
+x AS (SELECT DISTINCT r, i FROM q, unnest(range(start + period, start + length)) AS u(i)),
+c AS (SELECT r, array_to_string(list_transform(list_filter(range(0, n), lambda i: NOT list_contains(gone, i)), lambda i: w[i + 1]), ' ') AS kept FROM w JOIN (SELECT r, list(i) AS gone FROM x GROUP BY r) USING (r))
+SELECT doc_id, COALESCE(n_runs, 0) AS n_runs, b.start AS start, b.length AS length, b.period AS period, 1000 * b.length // b.period AS exponent_milli, sha256(COALESCE(runs, '')) AS runs_sha256, sha256(COALESCE(kept, array_to_string(w, ' '))) AS collapsed_sha256
+FROM w LEFT JOIN t USING (r) LEFT JOIN c USING (r)
+"""
