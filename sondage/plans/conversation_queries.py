@@ -78,7 +78,7 @@ _FULL = rf"""{_T}, f AS (SELECT conversation_id, turn + 1 AS sequence_no, questi
 g AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY sequence_no) AS nth, row_number() OVER (PARTITION BY conversation_id ORDER BY sequence_no DESC) AS back, min(sequence_no) OVER (PARTITION BY conversation_id) AS fst FROM f),
 o AS (SELECT *, substr(trim(regexp_replace(question, '[ \t\n\x0B\f\r]+', ' ', 'g')), 1, 300) AS q, substr(trim(regexp_replace(canonical, '[ \t\n\x0B\f\r]+', ' ', 'g')), 1, 300) AS c, question || ' ' || canonical AS both_ FROM g WHERE back > 1 AND fst <= 3 AND sequence_no = fst + 2 * (nth - 1)),
 it AS (SELECT conversation_id, nth, sequence_no, [c] AS conversation_goals, list_filter(regexp_extract_all(both_, '[\p{{L}}\p{{N}}_&/-]+'), lambda w: regexp_matches(w, '^[A-Za-z][A-Za-z0-9&/_-]{{1,39}}$') AND regexp_matches(w, '[A-Z0-9]')) AS entities, regexp_extract_all(both_, '{memory.PERIOD}') AS time_ranges,
-  CASE WHEN resolved AND q <> c THEN [{{'original': q, 'resolved': c, 'source_message_id': question_id}}] ELSE [] END AS resolved_references, CASE WHEN resolved THEN [] ELSE [q] END AS pending_questions, CASE WHEN regexp_matches(question, '[\x{{4e00}}-\x{{9fff}}]') THEN ['respond_in_zh'] ELSE [] END AS user_preferences, [question_id, answer_id] AS source_message_ids FROM o),
+  CASE WHEN resolved AND trim(regexp_replace(question, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) <> trim(regexp_replace(canonical, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) THEN [{{'original': q, 'resolved': c, 'source_message_id': question_id}}] ELSE [] END AS resolved_references, CASE WHEN resolved THEN [] ELSE [q] END AS pending_questions, CASE WHEN regexp_matches(question, '[\x{{4e00}}-\x{{9fff}}]') THEN ['respond_in_zh'] ELSE [] END AS user_preferences, [question_id, answer_id] AS source_message_ids FROM o),
 """
 
 
