@@ -40,7 +40,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dtype: np.dtype, dim: int) -> np
 
 
 def _numbers(column: pa.ChunkedArray | pa.Array, null: int) -> np.ndarray:
-    return column.to_pandas().fillna(null).to_numpy(np.int64) if column.null_count else column.to_numpy().astype(np.int64)
+    return column.fill_null(null).to_numpy().astype(np.int64)
 
 
 def _scores(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:

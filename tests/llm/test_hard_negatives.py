@@ -41,7 +41,7 @@ def test_nulls_ties_repeats_and_lengths(spark):
     rng = np.random.default_rng(1)
     vector = lambda: [int(x) for x in rng.integers(-2, 3, 3)]  # noqa: E731  many ties
     rows = [(i, "ab"[i % 2], vector()) for i in range(120)]
-    rows += [(50, None, [1, 1, 1]), (100, "a", None), (3, "b", [1, None, 2]), (None, "b", [2, 2, 2]), (None, "a", [2, 2, 1]), (200, "a", [0, 0, 0]), (250, "b", []), (300, "a", [2, 2]), (350, "c", [2, 2, 2]), (60, "a", [2, 2, 2])]
+    rows += [((1 << 53) + 1, "a", [1, 2, 1]), ((1 << 53) + 2, "b", [1, 2, 1]), (50, None, [1, 1, 1]), (100, "a", None), (3, "b", [1, None, 2]), (None, "b", [2, 2, 2]), (None, "a", [2, 2, 1]), (200, "a", [0, 0, 0]), (250, "b", []), (300, "a", [2, 2]), (350, "c", [2, 2, 2]), (60, "a", [2, 2, 2])]
     want = brute(rows, 10)
     assert want and mined(spark, rows, every=10, segment_rows=16) == want
     # of repeated rows each is an anchor, and the other's neighbour

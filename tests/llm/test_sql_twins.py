@@ -11,7 +11,7 @@ D = "/root/testdata/sf0.01"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in ("documents", "benchmark", "pages", "labels"):
+    for name in ("documents", "benchmark", "pages", "labels", "embeddings"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{D}/{name}.parquet'")
     return con
 
