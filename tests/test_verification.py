@@ -134,40 +134,41 @@ def test_scope_of_series(spark):
     assert got == {1: (["Sky", "南方"], ["bar"]), 2: ([], ["bar"])}
 
 
-def repaired(spark, text, evidence, scope_row=None):
-    a = spark.createDataFrame([(1, text)], "answer_id int, text string")
-    e = spark.createDataFrame([(1, k + 1, t) for k, t in enumerate(evidence)], "answer_id int, ref_no int, text string")
-    s = spark.createDataFrame([scope_row] if scope_row else [], SCOPE)
-    return V.repair_answers(a, e, s).first()
-
-
-@pytest.mark.parametrize(
-    ("text", "evidence", "disposition", "warnings", "new"),
-    [
-        ("Retail loans were 7 [1].", ["loans 7"], "accepted", [], None),
-        ("", [], "accepted", [], None),
-        ("# A\n## B\nRetail loans were 7 [1]. Cards were 8 [1].\n\n**C**\nCards were 8 [1].", ["loans 7"], "repaired", ["NUMERIC"], "## B\nRetail loans were 7 [1]."),
-        ("Retail loans were 7 [1]. See [4].", ["loans 7"], "repaired", ["CITATION"], "Retail loans were 7 [1]."),
-        ("Retail loans were 7.", ["loans 7"], "fallback", ["CITATION"], None),
-        ("Cards 8 [1].", ["loans 7"], "fallback", ["NUMERIC"], None),
-        ("There are no material risks in lending [1]. Retail loans were 7 [1].", ["loans 7"], "repaired", ["ABSOLUTE_NEGATIVE"], "Retail loans were 7 [1]."),
-        ("There are no material risks in lending [1].", ["The audit saw no material risks in lending."], "accepted", [], None),
-        ("We cannot confirm that none remain; loans were 7 [1].", ["loans 7"], "accepted", [], None),
-    ],
-)
-def test_repair(spark, text, evidence, disposition, warnings, new):
-    got = repaired(spark, text, evidence)
-    assert (got.disposition, got.repaired) == (disposition, new)
-    assert [w for w in warnings if not any(w in x for x in got.warnings)] == [] and len(got.warnings) == len(warnings)
-    if new is not None:  # what was repaired needs no repair
-        assert repaired(spark, new, evidence).disposition == "accepted"
+CASES = [
+    ("Retail loans were 7 [1].", ["loans 7"], "accepted", [], None),
+    ("", [], "accepted", [], None),
+    ("# A\n## B\nRetail loans were 7 [1]. Cards were 8 [1].\n\n**C**\nCards were 8 [1].", ["loans 7"], "repaired", ["NUMERIC"], "## B\nRetail loans were 7 [1]."),
+    ("Retail loans were 7 [1]. See [4].", ["loans 7"], "repaired", ["CITATION"], "Retail loans were 7 [1]."),
+    ("Retail loans were 7.", ["loans 7"], "fallback", ["CITATION"], None),
+    ("Cards 8 [1].", ["loans 7"], "fallback", ["NUMERIC"], None),
+    ("There are no material risks in lending [1]. Retail loans were 7 [1].", ["loans 7"], "repaired", ["ABSOLUTE_NEGATIVE"], "Retail loans were 7 [1]."),
+    ("There are no material risks in lending [1].", ["The audit saw no material risks in lending."], "accepted", [], None),
+    ("We cannot confirm that none remain; loans were 7 [1].", ["loans 7"], "accepted", [], None),
+]
+
+
+def repaired(spark, cases, scope_rows=()):
+    """The results of (text, evidence) cases, all in one run."""
+    a = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "answer_id int, text string")
+    e = spark.createDataFrame([(i, k + 1, t) for i, (_, evidence) in enumerate(cases) for k, t in enumerate(evidence)], "answer_id int, ref_no int, text string")
+    found = V.repair_answers(a, e, spark.createDataFrame(list(scope_rows), SCOPE))
+    return sorted(found.collect(), key=lambda r: r.answer_id)
+
+
+def test_repair(spark):
+    got = repaired(spark, [case[:2] for case in CASES])
+    for r, (text, _, disposition, warnings, new) in zip(got, CASES, strict=True):
+        assert (r.disposition, r.repaired) == (disposition, new), text
+        assert len(r.warnings) == len(warnings) and all(any(w in x for x in r.warnings) for w in warnings), text
+    again = repaired(spark, [(new, evidence) for _, evidence, _, _, new in CASES if new is not None])
+    assert {r.disposition for r in again} == {"accepted"}  # what was repaired needs no repair
 
 
 def test_causes_count_where_charts_map_nothing(spark):
     text = "Retail loans were 7 [1]. They rose due to rates [1]. This is not proof, though it may be caused by rates [1]."
-    row = (1, [], [], [], True)
-    assert repaired(spark, text, ["loans 7"]).disposition == "accepted"
-    assert repaired(spark, text, ["loans 7"], row).repaired == "Retail loans were 7 [1]. This is not proof, though it may be caused by rates [1]."
+    free, bound = repaired(spark, [(text, ["loans 7"])] * 2, [(1, [], [], [], True)])
+    assert free.disposition == "accepted"
+    assert bound.repaired == "Retail loans were 7 [1]. This is not proof, though it may be caused by rates [1]."
 
 
 def test_chunks_with_cjk_terms(spark):
