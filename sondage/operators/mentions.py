@@ -21,14 +21,8 @@ def bounded(label: Column) -> Column:
 
 
 def _grams(text: Column, sizes: list[int]) -> Column:
-    def runs(letters: Column, n: int) -> Column:
-        starts = F.slice(letters, 1, F.greatest(F.size(letters) - n + 1, F.lit(0)))
-        return F.transform(starts, lambda c, i: F.concat(c, *(F.get(letters, i + k) for k in range(1, n))))
-
-    def of(letters: Column) -> Column:
-        return F.array_distinct(F.concat(*(runs(letters, n) for n in sizes)))
-
-    return let(F.split(text, ""), of)
+    """All runs of so many characters: an empty match at each place, with what follows it as its group."""
+    return F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes)))
 
 
 def mention_join(labels: DataFrame, texts: DataFrame) -> DataFrame:
@@ -100,4 +94,5 @@ def substring_pairs(labels: DataFrame, texts: DataFrame) -> DataFrame:
     parts = texts.select("text_id", F.explode(_grams(F.col("text"), sizes)).alias("key")).join(keyed.select("key").distinct(), "key", "left_semi")
     often = parts.groupBy("key").agg(F.count("*").alias("n"))
     rarest = keyed.join(often, "key").groupBy("label_id", "label").agg(F.min(F.struct("n", "key"))["key"].alias("key"))
-    return parts.join(rarest, "key").join(texts, "text_id").filter(F.contains("text", F.col("label"))).select("label_id", "text_id").distinct()
+    # a label of up to three characters is its own key
+    return parts.join(rarest, "key").join(texts, "text_id").filter((F.length("label") <= 3) | F.contains("text", F.col("label"))).select("label_id", "text_id").distinct()
