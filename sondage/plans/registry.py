@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("cube_queries", "table_queries", "table_match_queries", "text_queries", "search_queries", "metric_queries", "conversation_queries", "lifecycle_queries", "scope_queries", "verification_queries", "selection_queries", "mention_queries", "coverage_queries", "answer_queries", "planning_queries")
+_MODULES = ("cube_queries", "table_queries", "table_match_queries", "evaluation_queries", "deck_queries", "text_queries", "search_queries", "metric_queries", "conversation_queries", "lifecycle_queries", "scope_queries", "verification_queries", "selection_queries", "mention_queries", "coverage_queries", "answer_queries", "planning_queries")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
