@@ -218,3 +218,25 @@ def facets_of_evidence(covered: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "evidence_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("facet_no", "facet_id"))), lambda f: f["facet_id"])).alias("facet_ids"))
 
 
+
+
+def fully_answers(facets: DataFrame, evidence: DataFrame, reconciled: DataFrame | None = None) -> DataFrame:
+    """query_id, complete: may a calculation's own evidence stand as the whole answer?
+
+    Yes if every facet is supported by it and none asks for no more than direct support; also if a lone facet is supported once its subject is left out, and the evidence has two of the request's terms (all, if fewer). Always for queries of ``reconciled`` (query_id). Facets and evidence as in ``evaluate_coverage``; queries without evidence are not complete.
+    """
+    per_query = facets.groupBy("query_id").agg(F.bool_or(F.array_distinct("validators") == F.array(F.lit("direct_support"))).alias("plain"), F.count("*").alias("n_facets"))
+    whole = lambda found: found.groupBy("query_id").agg(F.every(F.col("status") == "supported").alias("whole"))
+    lone = facets.join(per_query.filter("n_facets = 1 and not plain").select("query_id"), "query_id", "left_semi").filter("subject <> ''")
+    bare = lone.withColumns({"subject": F.lit(""), "aliases": F.array().cast("array<string>")})
+    told = evidence.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list(_telling(F.col("text"))))).alias("told"))  # the evidence of one request
+    wanted = F.array_except("match_terms", F.array(*map(F.lit, NEUTRAL)))
+    shared = lone.join(told, "query_id").filter(F.size(F.array_intersect(wanted, F.col("told"))) >= F.least(F.lit(2), F.size(wanted))).select("query_id")
+    relaxed = whole(evaluate_coverage(bare, evidence)).filter("whole").join(shared, "query_id", "left_semi").select("query_id", F.lit(True).alias("relaxed"))
+    rows = per_query.join(whole(evaluate_coverage(facets, evidence)), "query_id").join(relaxed, "query_id", "left")
+    if reconciled is not None:
+        rows = rows.join(reconciled.select("query_id", F.lit(True).alias("told")).distinct(), "query_id", "left")
+    else:
+        rows = rows.withColumn("told", F.lit(False))
+    own = ~F.col("plain") & (F.col("whole") | F.coalesce("relaxed", F.lit(False)))
+    return rows.select("query_id", (own | F.coalesce("told", F.lit(False))).alias("complete"))

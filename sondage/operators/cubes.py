@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sondage.functions.text import chart_family, normal_key
 
+from .scope import unit_key
+
 SERIES = ["scope_id", "series_name"]
 
 
@@ -197,3 +199,41 @@ def calculation_scope(points: DataFrame) -> DataFrame:
     """Provenance of a scope: its series and categories in order."""
     listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), "|")
     return points.groupBy("scope_id").agg(listed("series_name").alias("series"), listed("category").alias("categories"), F.count("*").alias("n_points"))
+
+
+def change_between(points: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Change of a series between two given categories (pairs: scope_id, series_name, start_category, end_category), without regard to case and marks: as ``period_change`` gives it for the last two. Categories that come twice count at their first point."""
+    key = lambda c: normal_key(F.col(c))
+    rows = _known(points).groupBy(*SERIES, key("category").alias("key")).agg(F.min_by(F.struct("category", "y_value"), F.struct("point_order", "category")).alias("p"))
+    side = lambda name: rows.select(*SERIES, F.col("key").alias(f"{name}_key"), F.col("p").alias(name))
+    wanted = pairs.select(*SERIES, key("start_category").alias("a_key"), key("end_category").alias("b_key")).distinct()
+    both = wanted.join(side("a"), [*SERIES, "a_key"]).join(side("b"), [*SERIES, "b_key"])
+    change = F.col("b.y_value") - F.col("a.y_value")
+    return both.select(*SERIES, F.col("a.category").alias("start_category"), F.col("b.category").alias("end_category"), change.alias("change"), percent(change, F.abs("a.y_value")).alias("change_pct"))
+
+
+def compare_measured(points: DataFrame, first: str, second: str) -> DataFrame:
+    """``compare_series`` of points with a unit: only where the units of both, so far as they say something, are the same in normal form. unit: the higher point's, else the lower's."""
+    side = lambda name: F.max_by(F.struct("y_value", "unit", unit_key(F.col("unit")).alias("key")), F.when(F.col("series_name") == name, F.col("y_value")))
+    pairs = _known(points).filter(F.col("series_name").isin(first, second)).groupBy("scope_id", "category").agg(side(first).alias("a"), side(second).alias("b"), F.count_distinct("series_name").alias("n")).filter("n = 2")
+    same = F.coalesce(F.col("a.key") == F.col("b.key"), F.lit(True))
+    a_first = F.col("a.y_value") >= F.col("b.y_value")
+    higher = F.when(F.col("a.y_value") > F.col("b.y_value"), first).when(F.col("b.y_value") > F.col("a.y_value"), second)
+    units = [F.when(F.col(f"{c}.key").isNotNull(), F.col(f"{c}.unit")) for c in "ab"]
+    return pairs.filter(same).select("scope_id", "category", higher.alias("higher_series"), F.abs(F.col("a.y_value") - F.col("b.y_value")).alias("difference"), F.when(a_first, F.coalesce(*units)).otherwise(F.coalesce(*units[::-1])).alias("unit"))
+
+
+def calculation_provenance(points: DataFrame) -> DataFrame:
+    """scope_id, element_ids (sorted), series and categories (each once, as they come), confidence (the least; null without any), n_points: what a calculation over a scope's points rests on. points: also element_id, confidence."""
+    seen = lambda c: F.array_distinct(F.transform(F.col("told"), lambda p: F.coalesce(p[c], F.lit(""))))
+    # a chart has few points
+    rows = points.groupBy("scope_id").agg(F.array_sort(F.collect_list(F.struct("point_order", "series_name", "category"))).alias("told"), F.array_sort(F.collect_set(F.nullif(F.col("element_id").cast("string"), F.lit("")))).alias("element_ids"), F.min("confidence").alias("confidence"), F.count("*").alias("n_points"))
+    return rows.select("scope_id", "element_ids", seen("series_name").alias("series"), seen("category").alias("categories"), "confidence", "n_points")
+
+
+def bar_totals(points: DataFrame) -> DataFrame:
+    """``common_totals`` of the bars of each scope that also has lines, or whose bars are stacked. points: also chart_type, grouping (null: not stacked)."""
+    family = chart_family(F.col("chart_type"))
+    stacked = F.coalesce(F.lower("grouping").isin("stacked", "percentstacked"), F.lit(False))
+    scopes = points.groupBy("scope_id").agg(F.coalesce(F.bool_or(stacked | (family == "line")), F.lit(False)).alias("summed")).filter("summed").select("scope_id")
+    return common_totals(points.filter(family == "bar").join(scopes, "scope_id", "left_semi"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,3 +90,69 @@ def expected_terms_hit(ranked: DataFrame, chunks: DataFrame, expected: DataFrame
     held = expected.select("query_id", F.lower("term").alias("term")).distinct().join(top, "query_id", "left").groupBy("query_id", "term").agg(F.max(F.coalesce(F.contains("content", F.col("term")), F.lit(False))).alias("held"))
     hits = held.groupBy("query_id").agg(F.every("held").alias("hit"))
     return hits.agg(F.count("*").alias("n_queries"), F.avg(F.col("hit").cast("int")).alias("hit_rate"))
+
+
+#: Words of one field, and paraphrases of a request, each with the vocabulary to search for.
+FIELD_WORDS = (
+    (("revenue", "sales", "营收", "收入"), "revenue sales 营收 收入"),
+    (("profit", "earnings", "利润", "盈利"), "profit earnings 利润 盈利"),
+    (("margin", "利润率", "价值率"), "margin rate 利润率 价值率"),
+    (("growth", "增长", "增速"), "growth increase 增长 增速"),
+    (("risk", "风险"), "risk exposure warning threshold limit current trend 风险 暴露 预警 阈值 限额 当前 趋势"),
+    (("capital", "资本"), "capital solvency buffer 资本 偿付能力 缓冲"),
+    (("customer", "客户"), "customer retention persistency 客户 留存 继续率"),
+    (("channel", "渠道"), "channel distribution productivity 渠道 分销 产能"),
+    (("target", "budget", "目标", "预算"), "target budget attainment variance 目标 预算 达成 偏差"),
+)
+PARAPHRASES = (
+    (("总结", "概括", "概览", "summarize", "summary", "overview", "key takeaways"), "executive summary key facts metrics drivers risks actions 执行摘要 核心事实 指标 驱动 风险 行动"),
+    (("表现如何", "情况如何", "经营情况", "经营状况", "经营表现", "业务情况", "业绩", "performance", "how is", "how did", "how is the business", "how is the company doing"), "performance results revenue margin growth profitability cash capital operations 业绩 营收 利润率 增长 盈利 现金 资本 运营"),
+    (("bad news", "potential issue", "weak spot", "warning sign", "潜在问题", "潜在的问题", "隐患", "短板", "警惕", "主要风险"), "risk concern decline pressure below target threshold concentration 风险 担忧 下滑 承压 未达标 阈值 集中度"),
+    (("优势", "亮点", "强项", "strength", "stand out", "competitive edge"), "strength growth outperformance above target resilience 优势 增长 领先 超目标 韧性"),
+    (("来源", "公开披露", "模拟数据", "source", "official", "synthetic"), "source provenance official disclosure synthetic boundary 数据来源 公开披露 模拟数据 口径边界"),
+    (("什么意思", "什么含义", "是指什么", "what does", "meaning", "define"), "definition meaning terminology 定义 含义 术语"),
+    (("趋势", "变化", "比较", "对比", "trend", "change", "compare"), "trend change comparison period start latest 趋势 变化 比较 起始期 最新期"),
+    (("集中", "集中度", "concentration", "concentrated", "diversification"), "concentration diversification mix share top current threshold 集中度 多元化 组合 占比 当前 阈值"),
+)
+FOCUS_STOPWORDS = ("what", "which", "this", "that", "the", "and", "with", "from", "please", "ppt", "请问", "请帮我", "一下", "当前", "这个", "这份")
+_HAN = r"[\x{4e00}-\x{9fff}]"
+
+
+def spread(values: list[str], n: int) -> list[str]:
+    """At most ``n`` values, evenly from first to last; places half-way go to the even one."""
+    if len(values) <= n:
+        return values
+    return [values[round(k * (len(values) - 1) / (n - 1))] for k in range(n)]
+
+
+def bridge_lanes(text: str, han: bool) -> list[str]:
+    """The words of a vocabulary as lanes of their own: seven of the question's script, then three of the other."""
+    words = list(dict.fromkeys(re.findall(r"[a-z0-9%_.-]{2,}|[\u4e00-\u9fff]{2,}", text.lower())))
+    is_han = [w for w in words if re.search(r"[\u4e00-\u9fff]", w)]
+    other = [w for w in words if w not in is_han]
+    return spread(is_han, 7) + spread(other, 3) if han else spread(other, 7) + spread(is_han, 3)
+
+
+def query_variants(questions: DataFrame, aliases: DataFrame | None = None, *, most: int = 14, longest: int = 300) -> DataFrame:
+    """question_id, variant_no, text, kind, weight: at most ``most`` searches for a question (question_id, text): the literal one (1.35), its telling words (1.1), then words that bridge vocabularies, one from each that applies in turn (1.0 for fields, 1.05 for paraphrases), then the names of a term it asks for (``aliases``: question_id, text; 1.1).
+
+    Blanks are one space; a variant that an earlier one equals but for case, an empty one, or one of more than ``longest`` characters is left out. A null or blank question has none.
+    """
+    plain = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
+    if aliases is None:
+        rows = questions.select("question_id", plain.alias("text"), F.lit(None).cast("string").alias("names"))
+    else:
+        rows = questions.select("question_id", plain.alias("text")).join(aliases.select("question_id", F.col("text").alias("names")), "question_id", "left")
+    low, han = F.lower("text"), F.col("text").rlike(_HAN)
+    focus = F.filter(F.regexp_extract_all("text", F.lit(f"[A-Za-z0-9%_-]{{2,}}|{_HAN}{{2,}}"), F.lit(0)), lambda w: ~F.lower(w).isin(*FOCUS_STOPWORDS))
+    variant = lambda text, kind, weight: F.struct(text.alias("text"), F.lit(kind).alias("kind"), F.lit(weight).alias("weight"))
+    bridges = [(words, text, "vocabulary_bridge", 1.0) for words, text in FIELD_WORDS] + [(words, text, "paraphrase_bridge", 1.05) for words, text in PARAPHRASES]
+    lanes = lambda text: F.when(han, F.array(*map(F.lit, bridge_lanes(text, True)))).otherwise(F.array(*map(F.lit, bridge_lanes(text, False))))
+    groups = F.filter(F.array(*(F.when(low.rlike("|".join(words)), F.struct(lanes(text).alias("lanes"), F.lit(kind).alias("kind"), F.lit(weight).alias("weight"))) for words, text, kind, weight in bridges)), lambda g: g.isNotNull())
+    rows = rows.filter("text <> ''").withColumn("groups", groups)
+    turns = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.transform("groups", lambda g: F.struct(F.get(g["lanes"], k).alias("text"), g["kind"].alias("kind"), g["weight"].alias("weight")))))
+    told = F.concat(F.array(variant(F.col("text"), "literal", 1.35), variant(F.array_join(focus, " "), "language_focus", 1.1)), turns, F.array(variant(F.trim(F.regexp_replace("names", r"(?U)\s+", " ")), "document_terminology", 1.1)))
+    offered = rows.select("question_id", F.filter(told, lambda v: F.coalesce((v["text"] != "") & (F.length(v["text"]) <= longest), F.lit(False))).alias("told"))
+    keys = F.transform("told", lambda v: F.lower(v["text"]))
+    fresh = F.filter("told", lambda v, k: F.array_position(keys, F.lower(v["text"])) == k + 1)
+    return offered.select("question_id", F.posexplode(F.slice(fresh, 1, most)).alias("at", "v")).select("question_id", (F.col("at") + 1).alias("variant_no"), "v.text", "v.kind", "v.weight")

@@ -9,7 +9,7 @@ import functools
 import operator
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondage.functions.text import semantic_tokens
@@ -260,3 +260,17 @@ def answerability(requests: DataFrame, evidence: DataFrame) -> DataFrame:
     least = F.when(F.col("deep"), 2).otherwise(1)
     warning = F.when(F.col("n_atoms") < least, "INSUFFICIENT_EVIDENCE").when((F.size("missing_documents") > 0) | (F.size("missing_facets") > 0), "PARTIAL_EVIDENCE_COVERAGE")
     return rows.select("query_id", "n_atoms", "missing_documents", "missing_facets", warning.alias("warning"))
+
+
+def document_anchors(asked: DataFrame, chunks: DataFrame, k: int = 4) -> DataFrame:
+    """query_id, document_id, chunk_id, place, score: the ``k`` tables and charts of each document that a broad request names, so that no document goes without facts: by task score, number of digits and slide, the best of each slide first.
+
+    asked: query_id, question, document_id; chunks: chunk_id, document_id, slide_id, slide_no, content, chunk_type. Of equal ones the lower chunk is first; a null content has no digits.
+    """
+    facts = chunks.filter((F.col("chunk_type") == "table") | F.startswith("chunk_type", F.lit("chart")))
+    rows = hold(asked.select("query_id", "question", "document_id").distinct().join(facts, "document_id"), role=content_role(F.col("content"), F.col("chunk_type")))
+    rows = rows.withColumns({"score": task_score(F.lit(0), F.col("role"), F.coalesce("content", F.lit("")), F.col("question")), "digits": F.regexp_count(F.coalesce("content", F.lit("")), F.lit("[0-9]"))})
+    by = [F.desc("score"), F.desc("digits"), F.coalesce("slide_no", F.lit(0)), F.col("chunk_id")]
+    pair = Window.partitionBy("query_id", "document_id")
+    turned = rows.withColumn("again", F.row_number().over(Window.partitionBy("query_id", "document_id", "slide_id").orderBy(*by)) > 1)
+    return turned.withColumn("place", F.row_number().over(pair.orderBy("again", *by))).filter(F.col("place") <= k).select("query_id", "document_id", "chunk_id", "place", "score")

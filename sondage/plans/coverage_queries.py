@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,3 +139,22 @@ def e6_coverage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_COVERED}, x AS (SELECT query_id, facet_no, facet_id, unnest(string_split(evidence_ids, ',')) AS evidence_id FROM cov WHERE evidence_ids <> '') SELECT query_id, evidence_id, string_agg(facet_id, '|' ORDER BY facet_no) AS facet_ids FROM x GROUP BY ALL")
 def e6_facets_of_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.facets_of_evidence(_covered(spark, sf_dir)).withColumn("facet_ids", F.array_join("facet_ids", "|"))
+
+
+def _again(sql: str) -> str:
+    """The chain from facets to coverage once more, under names of its own."""
+    return re.sub(r"\b(facets|pa|ab|ag|jn|ck|cov)\b(?=[ .)(,]|$)", r"x_\1", sql)
+
+
+#: The second chain is over lone facets without their subjects.
+_RELAXED = _again(_COVERED.split(_EVIDENCE + ",", 1)[1])
+
+
+@query(f"""WITH {_COVERED}, pq AS (SELECT query_id, bool_or(list_distinct(validators) = ['direct_support']) AS plain, count(*) AS n FROM facets GROUP BY 1), w AS (SELECT query_id, bool_and(status = 'supported') AS whole FROM cov GROUP BY 1),
+x_facets AS (SELECT f.* REPLACE ('' AS subject, [] AS aliases) FROM facets f JOIN pq USING (query_id) WHERE n = 1 AND NOT plain AND subject <> ''), {_RELAXED},
+tk AS (SELECT query_id, list_distinct(flatten(list({_telling("text")}))) AS tok FROM ev GROUP BY 1), sh AS (SELECT query_id FROM facets JOIN tk USING (query_id) WHERE len(list_intersect(match_terms, tok)) >= least(2, len(match_terms))),
+rx AS (SELECT query_id FROM x_cov JOIN sh USING (query_id) WHERE status = 'supported') SELECT query_id, NOT plain AND (whole OR query_id IN (SELECT query_id FROM rx)) OR query_id % 10 = 0 AS complete FROM pq JOIN w USING (query_id)""")
+def e21_fully_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth request was answered by a reconciliation."""
+    facets = coverage.evidence_contract(_requests(spark, sf_dir), _glossary(spark, sf_dir))
+    return coverage.fully_answers(facets, _evidence(spark, sf_dir), _requests(spark, sf_dir).filter("query_id % 10 = 0"))

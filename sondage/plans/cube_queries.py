@@ -162,3 +162,45 @@ def a22_nest_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = layout.nest_charts(yearly_points(spark, sf_dir))
     points = F.aggregate("series", F.lit(0).cast("long"), lambda n, s: n + F.size(s["points"]))
     return nested.select("scope_id", F.size("series").cast("long").alias("n_series"), points.alias("n_points"))
+
+
+@query(f"""WITH {QUARTERLY_SQL} SELECT a.scope_id, a.series_name, a.category AS start_category, b.category AS end_category, round(b.y_value - a.y_value, 4) AS change, round((b.y_value - a.y_value) / nullif(abs(a.y_value), 0) * 100, 4) AS change_pct
+FROM points a JOIN points b ON a.scope_id = b.scope_id AND a.series_name = b.series_name AND b.point_order = a.point_order + 3""")
+def w3_change_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each quarter against the third one after it, in small letters with a blank."""
+    points = quarterly_points(spark, sf_dir)
+    told = lambda c: F.lower(F.replace(c, F.lit("Q"), F.lit(" q")))
+    later = points.select("scope_id", "series_name", (F.col("point_order") - 3).alias("point_order"), told(F.col("category")).alias("end_category"))
+    pairs = points.select("scope_id", "series_name", "point_order", told(F.col("category")).alias("start_category")).join(later, ["scope_id", "series_name", "point_order"])
+    return _rounded(cubes.change_between(points, pairs))
+
+
+_UNIT = "CASE WHEN point_order % 3 = 0 THEN 'General' WHEN series_name = 'BUILDING' THEN 'US$' WHEN point_order % 3 = 1 THEN 'us $' ELSE 'EUR' END"
+
+
+@query(f"""WITH {QUARTERLY_SQL}, u AS (SELECT *, {_UNIT} AS unit FROM points) SELECT a.scope_id, a.category, CASE WHEN a.y_value > b.y_value THEN 'BUILDING' WHEN b.y_value > a.y_value THEN 'MACHINERY' END AS higher_series, round(abs(a.y_value - b.y_value), 4) AS difference, CASE WHEN a.unit = 'General' THEN NULL WHEN a.y_value >= b.y_value THEN a.unit ELSE b.unit END AS unit
+FROM u a JOIN u b USING (scope_id, category) WHERE a.series_name = 'BUILDING' AND b.series_name = 'MACHINERY' AND b.unit <> 'EUR'""")
+def c4_compare_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units by quarter: none said, one spelt two ways, two that differ."""
+    third = F.col("point_order") % 3
+    unit = F.when(third == 0, "General").when(F.col("series_name") == "BUILDING", "US$").when(third == 1, "us $").otherwise("EUR")
+    return _rounded(cubes.compare_measured(quarterly_points(spark, sf_dir).withColumn("unit", unit), "BUILDING", "MACHINERY"))
+
+
+@query(f"""WITH {QUARTERLY_SQL}, s AS (SELECT scope_id, series_name, min((point_order, series_name)) AS k FROM points GROUP BY ALL), c AS (SELECT scope_id, category, min(point_order) AS k FROM points GROUP BY ALL)
+SELECT scope_id, (SELECT string_agg(DISTINCT series_name || ':e', '|' ORDER BY series_name || ':e') FROM points q WHERE q.scope_id = p.scope_id AND series_name <> 'BUILDING') AS element_ids, (SELECT string_agg(series_name, '|' ORDER BY k) FROM s WHERE s.scope_id = p.scope_id) AS series, (SELECT string_agg(category, '|' ORDER BY k) FROM c WHERE c.scope_id = p.scope_id) AS categories, min((point_order % 7 + 1) / 8.0::DOUBLE) AS confidence, count(*) AS n_points FROM points p GROUP BY scope_id""")
+def c9_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series are elements, but for one that has none."""
+    points = quarterly_points(spark, sf_dir).withColumns({"element_id": F.when(F.col("series_name") != "BUILDING", F.concat("series_name", F.lit(":e"))), "confidence": (F.col("point_order") % 7 + 1) / F.lit(8.0)})
+    found = cubes.calculation_provenance(points)
+    return found.withColumns({c: F.array_join(c, "|") for c in ("element_ids", "series", "categories")})
+
+
+@query(f"""WITH {MONTHLY_SQL.replace("points AS", "every_point AS")}, points AS (SELECT * FROM every_point WHERE scope_id <> 'AFRICA' AND (scope_id = 'ASIA' OR series_name <> 'MACHINERY')), {_COMMON}
+SELECT scope_id, category, CAST(point_order AS BIGINT) AS point_order, round(total, 4) AS total FROM common""")
+def a12_bar_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars alone in two regions, stacked in one of these; bars beside a line in the others."""
+    alone = F.col("scope_id").isin("AFRICA", "ASIA")
+    kind = F.when(~alone & (F.col("series_name") == "MACHINERY"), "lineMarker").otherwise("barClustered")
+    points = monthly_points(spark, sf_dir).withColumns({"chart_type": kind, "grouping": F.when(F.col("scope_id") == "ASIA", "percentStacked")})
+    return _rounded(cubes.bar_totals(points))

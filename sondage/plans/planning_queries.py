@@ -73,3 +73,28 @@ def a20_expected_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.array_distinct(F.split("text", " ")), lambda w: F.length(w) >= 9)
     expected = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(words).alias("term"))
     return planning.expected_terms_hit(search.bm25(chunks, _queries(spark, sf_dir), 24), chunks, expected, 5)
+
+
+def _bridge_rows() -> str:
+    """The vocabularies as rows: words, kind, weight, bridge_no, han, turn, lane."""
+    bridges = [(w, t, "vocabulary_bridge", 1.0) for w, t in planning.FIELD_WORDS] + [(w, t, "paraphrase_bridge", 1.05) for w, t in planning.PARAPHRASES]
+    return ", ".join(f"('{'|'.join(words)}', '{kind}', {weight}, {n}, {str(han).lower()}, {turn}, '{lane}')" for n, (words, text, kind, weight) in enumerate(bridges) for han in (True, False) for turn, lane in enumerate(planning.bridge_lanes(text, han)))
+
+
+_FOCUS = "'" + "','".join(planning.FOCUS_STOPWORDS) + "'"
+
+
+@query(rf"""WITH q AS (SELECT c_custkey AS question_id, CASE c_custkey % 5 WHEN 0 THEN 'What is the revenue growth of ' || c_mktsegment || '?' WHEN 1 THEN c_mktsegment || '的风险和利润率变化如何' WHEN 2 THEN 'Summarize  performance, risk and margin with ' || c_name WHEN 3 THEN 'revenue' ELSE NULL END AS text FROM customer),
+b AS (SELECT * FROM (VALUES {_bridge_rows()}) v(words, kind, weight, bridge_no, han, turn, lane)),
+t AS (SELECT question_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM q WHERE text IS NOT NULL),
+f AS (SELECT question_id, array_to_string(list_filter(regexp_extract_all(text, '[A-Za-z0-9%_-]{{2,}}|[\x{{4e00}}-\x{{9fff}}]{{2,}}'), lambda w: NOT list_contains([{_FOCUS}], lower(w))), ' ') AS text FROM t),
+v AS (SELECT question_id, 0 AS a, 0 AS b, text, 'literal' AS kind, 1.35 AS weight FROM t UNION ALL SELECT question_id, 1, 0, text, 'language_focus', 1.1 FROM f UNION ALL SELECT question_id, 2 + turn, bridge_no, lane, kind, weight FROM t JOIN b ON han = regexp_matches(text, '[\x{{4e00}}-\x{{9fff}}]') AND regexp_matches(lower(text), words)
+  UNION ALL SELECT question_id, 99, 0, 'Segment ' || (question_id % 3), 'document_terminology', 1.1 FROM t WHERE question_id % 2 = 0),
+d AS (SELECT * FROM v WHERE text <> '' AND length(text) <= 300 QUALIFY row_number() OVER (PARTITION BY question_id, lower(text) ORDER BY a, b) = 1)
+SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY a, b) AS INTEGER) AS variant_no, text, kind, CAST(weight AS DOUBLE) AS weight FROM d QUALIFY variant_no <= 14""")
+def r19_query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of customers about their segment; every other one has names of a term."""
+    customers, kind = table(spark, sf_dir, "customer"), F.col("c_custkey") % 5
+    text = F.when(kind == 0, F.concat(F.lit("What is the revenue growth of "), "c_mktsegment", F.lit("?"))).when(kind == 1, F.concat("c_mktsegment", F.lit("的风险和利润率变化如何"))).when(kind == 2, F.concat(F.lit("Summarize  performance, risk and margin with "), "c_name")).when(kind == 3, "revenue")
+    names = customers.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("question_id"), F.concat(F.lit("Segment "), (F.col("c_custkey") % 3).cast("string")).alias("text"))
+    return planning.query_variants(customers.select(F.col("c_custkey").alias("question_id"), text.alias("text")), names)

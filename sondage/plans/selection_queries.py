@@ -179,3 +179,16 @@ def e20_answerability(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = _requests(spark, sf_dir)
     found = selection.answerability(requests, selection.select_evidence(_scored(spark, sf_dir), requests))
     return found.select("query_id", "n_atoms", F.array_join("missing_documents", ",").alias("missing_documents"), F.size("missing_facets").alias("n_missing_facets"), "warning")
+
+
+@query(f"""WITH docs AS (SELECT doc_id AS chunk_id, doc_id // 20 AS document_id, doc_id // 4 AS slide_id, doc_id % 5 AS slide_no, text AS content, 'table' AS chunk_type, {_strip("text")} AS t, lower({_strip("text")}) AS f FROM documents WHERE doc_id % 3 = 0), {_REQ},
+a AS (SELECT DISTINCT query_id, unnest([query_id, query_id + 1]) AS document_id, asked, task_terms FROM req), c AS (SELECT a.*, docs.* EXCLUDE (document_id), {_ROLE} AS role FROM a JOIN docs USING (document_id)),
+s AS (SELECT *, CAST({_BONUS} AS DECIMAL(4,2)) + CAST(least(300, 45 * len(list_filter(task_terms, lambda y: contains(lower(content), y)))) AS DECIMAL(10,2)) * 0.01 + CASE WHEN role IN ('chart', 'table') AND {_has("asked", selection.AMOUNT_CUES)} THEN 1.5 ELSE 0 END AS score, len(regexp_extract_all(content, '[0-9]')) AS digits FROM c),
+w AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id, slide_id ORDER BY score DESC, digits DESC, slide_no, chunk_id) > 1 AS again FROM s)
+SELECT query_id, document_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id, document_id ORDER BY again, score DESC, digits DESC, slide_no, chunk_id) AS INTEGER) AS place, CAST(score AS DOUBLE) AS score FROM w QUALIFY place <= 4""")
+def r13_document_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty texts are a document, four a slide, every third a table; a benchmark text asks about two documents."""
+    table_row = F.when(F.col("doc_id") % 3 == 0, "table").otherwise("text")
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.floor(F.col("doc_id") / 20).alias("document_id"), F.floor(F.col("doc_id") / 4).alias("slide_id"), (F.col("doc_id") % 5).alias("slide_no"), F.col("text").alias("content"), table_row.alias("chunk_type"))
+    asked = _requests(spark, sf_dir).select("query_id", "question", F.explode(F.array(F.col("query_id"), F.col("query_id") + 1)).alias("document_id"))
+    return selection.document_anchors(asked, chunks).withColumn("score", F.col("score").cast("double"))
