@@ -95,10 +95,12 @@ def score_summary(rows: DataFrame) -> DataFrame:
 
 
 def p95_lower(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Per key: the element at place max(1, floor(0.95 n)) of the sorted values, not interpolated."""
+    """Per key: the element at place max(1, floor(0.95 n)) of the sorted values, not interpolated. Equal values are counted before they are sorted."""
     w = Window.partitionBy(key)
-    ranked = rows.filter(F.col(value).isNotNull()).withColumns({"rank": F.row_number().over(w.orderBy(value)), "n": F.count("*").over(w)})
-    return ranked.filter(F.col("rank") == F.greatest(F.lit(1), F.floor(0.95 * F.col("n")))).select(key, F.col(value).alias("p95"))
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(key), F.col(value).alias("p95")).agg(F.count("*").alias("times"))
+    ranked = counts.withColumns({"upto": F.sum("times").over(w.orderBy("p95").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("times").over(w)})
+    place = F.greatest(F.lit(1), F.floor(0.95 * F.col("n")))
+    return ranked.filter((F.col("upto") >= place) & (F.col("upto") - F.col("times") < place)).select(key, "p95")
 
 
 def weighted_score(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
