@@ -41,10 +41,16 @@ def failed_attempts(events: DataFrame, seconds: int, limit: int) -> DataFrame:
     return rows.select("event_id", "key", recent.alias("recent"), (recent >= limit).alias("blocked"))
 
 
-def failed_attempts_stream(events: DataFrame, seconds: int, limit: int) -> DataFrame:
-    """The same, with the times of a key's recent failures as its state. Events of a key must arrive in order of time; those of one second in one batch."""
+def failed_attempts_stream(events: DataFrame, seconds: int, limit: int, lateness: str = "1 day") -> DataFrame:
+    """The same, with the times of a key's recent failures as its state. Events of a key must arrive in order of time; those of one second in one batch.
+
+    A key's state goes when the watermark, ``lateness`` behind the newest event, has passed its last failure by ``seconds``, or with a reset; an event that is later than the watermark is not counted.
+    """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         times = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(parts)).sort_values(["at", "event_id"])
         out = []
@@ -62,7 +68,12 @@ def failed_attempts_stream(events: DataFrame, seconds: int, limit: int) -> DataF
                 for i in ids:
                     out.append((i, key[0], len(times), len(times) >= limit))
                     times.append(int(at))
-        state.update((times,))
+        if times:
+            state.update((times,))
+            state.setTimeoutTimestamp(max((times[-1] + seconds) * 1000, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["event_id", "key", "recent", "blocked"])
 
-    return events.groupBy("key").applyInPandasWithState(step, "event_id long, key long, recent long, blocked boolean", "times array<long>", "append", GroupStateTimeout.NoTimeout)
+    timed = events.select("event_id", "key", "at", "kind", F.timestamp_seconds("at").alias("time")).withWatermark("time", lateness)
+    return timed.groupBy("key").applyInPandasWithState(step, "event_id long, key long, recent long, blocked boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)

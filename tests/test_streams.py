@@ -48,3 +48,16 @@ def test_first_submissions(spark, attempts, tmp_path):
     timed = stream(spark, path).withColumn("time", F.timestamp_seconds("at"))
     got = drain(streams.first_submissions(timed, ["key", "kind"], "time", "10000 days"), "firsts", "append", tmp_path)
     assert sorted(map(tuple, got.select("key", "kind").collect())) == sorted(map(tuple, streams.first_submissions(rows, ["key", "kind"]).select("key", "kind").collect()))
+
+
+def test_failed_attempts_forgets(spark, tmp_path):
+    """Keys without late failures leave the state; a key that comes back after its window starts anew."""
+    day = 86_400
+    batches = [[(1, 1, day, "failure"), (2, 2, day, "failure"), (3, 3, day, "failure"), (4, 3, day + 1, "reset")], [(5, 4, 20 * day, "failure")], [(6, 4, 20 * day + 5, "failure"), (7, 1, 20 * day + 5, "failure")], [(8, 5, 40 * day, "failure")], [(9, 5, 40 * day + 1, "failure")]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "event_id long, key long, at long, kind string").coalesce(1).write.parquet(f"file://{tmp_path}/in/{k}")
+    df = streams.failed_attempts_stream(stream(spark, f"file://{tmp_path}/in"), 600, 5)
+    q = df.writeStream.format("memory").queryName("forgets").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {r.event_id: r.recent for r in spark.table("forgets").collect()} == {1: 0, 2: 0, 3: 0, 5: 0, 6: 1, 7: 0, 8: 0, 9: 1}
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
