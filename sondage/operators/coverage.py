@@ -225,18 +225,18 @@ def fully_answers(facets: DataFrame, evidence: DataFrame, reconciled: DataFrame
 
     Yes if every facet is supported by it and none asks for no more than direct support; also if a lone facet is supported once its subject is left out, and the evidence has two of the request's terms (all, if fewer). Always for queries of ``reconciled`` (query_id). Facets and evidence as in ``evaluate_coverage``; queries without evidence are not complete.
     """
-    per_query = facets.groupBy("query_id").agg(F.bool_or(F.array_distinct("validators") == F.array(F.lit("direct_support"))).alias("plain"), F.count("*").alias("n_facets"))
-    whole = lambda found: found.groupBy("query_id").agg(F.every(F.col("status") == "supported").alias("whole"))
-    lone = facets.join(per_query.filter("n_facets = 1 and not plain").select("query_id"), "query_id", "left_semi").filter("subject <> ''")
-    bare = lone.withColumns({"subject": F.lit(""), "aliases": F.array().cast("array<string>")})
+    own = Window.partitionBy("query_id")
+    rows = facets.withColumns({"plain": F.bool_or(F.array_distinct("validators") == F.array(F.lit("direct_support"))).over(own), "n_facets": F.count("*").over(own)})
     told = evidence.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list(_telling(F.col("text"))))).alias("told"))  # the evidence of one request
     wanted = F.array_except("match_terms", F.array(*map(F.lit, NEUTRAL)))
-    shared = lone.join(told, "query_id").filter(F.size(F.array_intersect(wanted, F.col("told"))) >= F.least(F.lit(2), F.size(wanted))).select("query_id")
-    relaxed = whole(evaluate_coverage(bare, evidence)).filter("whole").join(shared, "query_id", "left_semi").select("query_id", F.lit(True).alias("relaxed"))
-    rows = per_query.join(whole(evaluate_coverage(facets, evidence)), "query_id").join(relaxed, "query_id", "left")
-    if reconciled is not None:
-        rows = rows.join(reconciled.select("query_id", F.lit(True).alias("told")).distinct(), "query_id", "left")
-    else:
-        rows = rows.withColumn("told", F.lit(False))
-    own = ~F.col("plain") & (F.col("whole") | F.coalesce("relaxed", F.lit(False)))
-    return rows.select("query_id", (own | F.coalesce("told", F.lit(False))).alias("complete"))
+    shared = F.size(F.array_intersect(wanted, F.col("told"))) >= F.least(F.lit(2), F.size(wanted))
+    version = lambda number, subject, aliases: F.struct(number.cast("int").alias("facet_no"), subject.alias("subject"), aliases.alias("aliases"))
+    bare = F.when((F.col("n_facets") == 1) & ~F.col("plain") & (F.col("subject") != "") & shared, version(F.lit(-1), F.lit(""), F.array().cast("array<string>")))
+    # both versions of a facet are evaluated in one pass; one that asks for direct support only is made to be never enough
+    versions = rows.join(told, "query_id", "left").withColumn("v", F.explode(F.filter(F.array(version(F.col("facet_no"), F.col("subject"), F.col("aliases")), bare), lambda v: v.isNotNull())))
+    versions = versions.select("query_id", "v.*", "facet_id", "label", "constraints", "validators", F.when(F.col("plain"), 2**31 - 1).otherwise(F.col("minimum")).alias("minimum"), "match_terms", "semantic_required")
+    met, first = F.col("status") == "supported", F.col("facet_no") > 0
+    found = evaluate_coverage(versions, evidence).groupBy("query_id").agg((F.every(F.when(first, met)) | F.coalesce(F.bool_or(F.when(~first, met)), F.lit(False))).alias("complete"))
+    if reconciled is None:
+        return found
+    return found.join(reconciled.select("query_id", F.lit(True).alias("sure")).distinct(), "query_id", "left").select("query_id", (F.col("complete") | F.coalesce("sure", F.lit(False))).alias("complete"))
