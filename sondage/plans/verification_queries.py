@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondage.operators import verification
-from sondage.sources.bindings import table
+from sondage.sources.bindings import spread, table
 
 from .registry import query
 
@@ -25,17 +25,21 @@ def _price() -> F.Column:
     return F.format_string("%.1f", "p_retailprice")
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "part"), "p_partkey")
+
+
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers with a wrong size, a cause, a false citation or another series, by part key."""
     key = F.col("p_partkey")
     size = F.col("p_size") + F.when(key % 3 == 0, 1000).otherwise(0)
     text = F.concat(F.lit("## Price of "), "p_name", F.lit("\nThe price was "), _price(), F.lit(" [1]. Size "), size.cast("string"), F.lit(" was noted [2]. It fell due to weather [1].\n\n## Outlook\n"), F.when(key % 5 == 0, "See more [7].").otherwise("It stays open [2]."), F.when(key % 7 == 0, F.concat(F.lit("\nBeside it "), "p_type", F.lit(" matters [1]."))).otherwise(""))
-    return table(spark, sf_dir, "part").select(key.alias("answer_id"), text.alias("text"))
+    return _parts(spark, sf_dir).select(key.alias("answer_id"), text.alias("text"))
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = F.array(F.struct(F.lit(1).alias("ref_no"), F.concat(F.lit("price "), _price()).alias("text")), F.struct(F.lit(2).alias("ref_no"), F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("text")))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("answer_id"), F.explode(known).alias("e")).select("answer_id", "e.*")
+    return _parts(spark, sf_dir).select(F.col("p_partkey").alias("answer_id"), F.explode(known).alias("e")).select("answer_id", "e.*")
 
 
 _FAMILY = "array<struct<family:string,names:array<string>,least:int>>"
@@ -43,7 +47,7 @@ _FAMILY = "array<struct<family:string,names:array<string>,least:int>>"
 
 def _scopes(spark: SparkSession, sf_dir: str, families: bool = False) -> DataFrame:
     bar = F.array(F.struct(F.lit("bar").alias("family"), F.array(F.col("p_name"), F.lit("Nowhere")).alias("names"), (1 + F.col("p_partkey") % 2).cast("int").alias("least")))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("answer_id"), F.array("p_name").alias("selected"), F.array("p_type").alias("excluded"), (bar if families else F.array().cast(_FAMILY)).alias("families"), (F.col("p_partkey") % 4 == 0).alias("no_mapping"))
+    return _parts(spark, sf_dir).select(F.col("p_partkey").alias("answer_id"), F.array("p_name").alias("selected"), F.array("p_type").alias("excluded"), (bar if families else F.array().cast(_FAMILY)).alias("families"), (F.col("p_partkey") % 4 == 0).alias("no_mapping"))
 
 
 _MADE = """p AS (SELECT p_partkey AS answer_id, p_name, p_type, printf('%.1f', p_retailprice) AS price, p_size + CASE WHEN p_partkey % 3 = 0 THEN 1000 ELSE 0 END AS n, p_partkey AS k FROM part),
