@@ -182,3 +182,8 @@ def test_numbers_of_21_to_29_digits_have_a_value(spark):
     rows = spark.createDataFrame([(1, f"{long} units, then {long}.5 million and -1.25 bn")], "id long, text string")
     got = [(r["value"] and str(r["value"]), r["exact"]) for r in V.number_rows(rows).orderBy("k").collect()]
     assert got == [(f"{long}.000000000", long), (None, f"{long}.5e6"), ("-1250000000.000000000", "-1250000000")]
+
+
+def test_a_confidence_of_zero_is_zero(spark):
+    rows = spark.createDataFrame([(1, None, 0.0), (2, None, None), (3, '{"confidence": 0.5}', 0.0)], "id int, metadata_json string, element_confidence double").withColumn("source_kind", F.lit(""))
+    assert [r["confidence"] for r in scope.hydrate(rows).orderBy("id").collect()] == [0.0, 1.0, 0.5]
