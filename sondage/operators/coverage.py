@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sondage.functions.text import semantic_tokens
 from sondage.operators.mentions import mention_join
 from sondage.operators.scope import constraint_satisfied
-from sondage.operators.selection import _any, hold, let, strip
+from sondage.operators.selection import _any, apart, hold, let, strip
 
 #: Words of a question by which it asks for a validator, and words of evidence that meet one.
 COMPARISON = ("同比", "环比", "增长", "增速", "变化", "变动", "增加", "提高", "下降", "降低", "差异", "相差", "比较", "compare", "growth", "grow", "change", "increase", "decrease")
@@ -123,18 +123,18 @@ def evidence_contract(requests: DataFrame, glossary: DataFrame) -> DataFrame:
     pieces = pieces.withColumn("text_id", F.concat_ws("\x01", F.col("query_id").cast("string"), F.col("part_no").cast("string"), F.col("piece_no").cast("string")))
     names = glossary.select(F.concat_ws("\x01", "term", "alias").alias("label_id"), "term", "alias")
     hits = mention_join(names.select("label_id", F.col("alias").alias("label")), pieces.select("text_id", F.col("piece").alias("text"))).join(names, "label_id")
-    hits = hits.select("text_id", "term").distinct().join(glossary.select("term", "alias"), "term").join(pieces.select("text_id", "n_pieces", F.lower("working").alias("working")), "text_id")
+    hits = hits.select("text_id", "term").distinct().join(glossary.select("term", "alias"), "term").join(apart(pieces.select("text_id", "n_pieces", F.lower("working").alias("working"))), "text_id")
     # the last one named before a cue; of one piece among several the longest name
     last = F.length("working") - F.instr(F.reverse("working"), F.reverse(F.lower("alias"))) - F.length("alias") + 1
     place = F.when(F.instr("working", F.lower("alias")) > 0, last).otherwise(-1)
     ranked = hits.groupBy("text_id", "n_pieces", "term").agg(F.max(place).alias("place")).withColumn("best", F.when(F.col("n_pieces") == 1, F.col("place")).otherwise(F.length("term")))
     top = ranked.withColumn("nth", F.row_number().over(Window.partitionBy("text_id").orderBy(F.desc("best"), "term"))).filter("nth = 1").select("text_id", "term")
     term_subject = let(F.regexp_extract_all(F.lower("term"), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.when(F.size(w) > 0, F.array_join(w, "_")).otherwise(canonical_subject(F.col("term"))))
-    found = pieces.join(top, "text_id", "left")
+    found = pieces.join(apart(top), "text_id", "left")
     subject = F.when(F.col("term").isNotNull(), term_subject).when(F.col("n_pieces") > 1, canonical_subject(F.col("piece")))
     # a question's pieces: at most the words of a clause
     subjects = hold(found, subject=subject).filter("subject <> ''").groupBy("query_id", "part_no").agg(F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "subject"))), lambda s: s["subject"])), 1, 8).alias("subjects"))
-    rows = rows.join(subjects, ["query_id", "part_no"], "left")
+    rows = rows.join(apart(subjects), ["query_id", "part_no"], "left")
     segment = let(F.lower("clause"), lambda c: F.slice(F.filter(F.array(*map(F.lit, SEGMENT)), lambda m: F.contains(c, m)), 1, 1))
     none = F.array().cast("array<string>")
     listed = F.when(F.size(F.coalesce("subjects", none)) > 0, F.col("subjects")).when(F.array_contains("validators", F.lit("attribution")), F.transform(segment, lambda s: F.replace(s, F.lit(" "), F.lit("_")))).otherwise(none)
@@ -165,7 +165,7 @@ def evaluate_coverage(facets: DataFrame, evidence: DataFrame) -> DataFrame:
     evidence: query_id, evidence_id, place, text, role, extraction, source_kind, confidence, document_id, slide_id. A facet is *supported* if its reliable evidence (confidence 0.65; for numbers not read from a picture) meets every validator and constraint and comes from enough places, *partial* if it doesn't, *unreliable* if all that is about it is not reliable, *unsupported* if nothing is.
     """
     told = hold(evidence, folded=F.lower("text"), tokens=_telling(F.col("text")))
-    pairs = facets.select("query_id", "facet_no", "subject", "aliases", "validators", "match_terms", "semantic_required").join(told, "query_id")
+    pairs = facets.select("query_id", "facet_no", "subject", "aliases", "validators", "match_terms", "semantic_required").join(apart(told), "query_id")
     subject_terms = _telling(F.replace("subject", F.lit("_"), F.lit(" ")))
     half = let(subject_terms, lambda s: (F.size(s) > 0) & (2 * F.size(F.array_intersect(s, F.col("tokens"))) >= F.size(s)))
     driven = F.array_contains("validators", F.lit("attribution")) & _any(F.col("folded"), (*SEGMENT, *COMPARISON))
@@ -175,7 +175,7 @@ def evaluate_coverage(facets: DataFrame, evidence: DataFrame) -> DataFrame:
     piece = F.struct("place", "evidence_id", "text", "role", "extraction", "document_id", "slide_id", "reliable")
     # at most the evidence of one request
     met = related.groupBy("query_id", "facet_no").agg(F.array_sort(F.collect_list(piece)).alias("related"))
-    rows = facets.join(met, ["query_id", "facet_no"], "left").withColumn("related", F.coalesce("related", F.slice(F.array(F.struct(F.lit(None).cast(evidence.schema["place"].dataType).alias("place"), F.lit(None).cast(evidence.schema["evidence_id"].dataType).alias("evidence_id"), *(F.lit(None).cast("string").alias(n) for n in ("text", "role", "extraction")), F.lit(None).cast(evidence.schema["document_id"].dataType).alias("document_id"), F.lit(None).cast(evidence.schema["slide_id"].dataType).alias("slide_id"), F.lit(None).cast("boolean").alias("reliable"))), 1, 0)))
+    rows = facets.join(apart(met), ["query_id", "facet_no"], "left").withColumn("related", F.coalesce("related", F.slice(F.array(F.struct(F.lit(None).cast(evidence.schema["place"].dataType).alias("place"), F.lit(None).cast(evidence.schema["evidence_id"].dataType).alias("evidence_id"), *(F.lit(None).cast("string").alias(n) for n in ("text", "role", "extraction")), F.lit(None).cast(evidence.schema["document_id"].dataType).alias("document_id"), F.lit(None).cast(evidence.schema["slide_id"].dataType).alias("slide_id"), F.lit(None).cast("boolean").alias("reliable"))), 1, 0)))
     rows = hold(rows, sound=F.filter("related", lambda r: r["reliable"]))
     rows = hold(rows, text=F.array_join(F.transform("sound", lambda r: r["text"]), "\n"))
     rows = hold(rows, folded=F.lower("text"))
@@ -233,10 +233,10 @@ def fully_answers(facets: DataFrame, evidence: DataFrame, reconciled: DataFrame
     version = lambda number, subject, aliases: F.struct(number.cast("int").alias("facet_no"), subject.alias("subject"), aliases.alias("aliases"))
     bare = F.when((F.col("n_facets") == 1) & ~F.col("plain") & (F.col("subject") != "") & shared, version(F.lit(-1), F.lit(""), F.array().cast("array<string>")))
     # both versions of a facet are evaluated in one pass; one that asks for direct support only is made to be never enough
-    versions = rows.join(told, "query_id", "left").withColumn("v", F.explode(F.filter(F.array(version(F.col("facet_no"), F.col("subject"), F.col("aliases")), bare), lambda v: v.isNotNull())))
+    versions = rows.join(apart(told), "query_id", "left").withColumn("v", F.explode(F.filter(F.array(version(F.col("facet_no"), F.col("subject"), F.col("aliases")), bare), lambda v: v.isNotNull())))
     versions = versions.select("query_id", "v.*", "facet_id", "label", "constraints", "validators", F.when(F.col("plain"), 2**31 - 1).otherwise(F.col("minimum")).alias("minimum"), "match_terms", "semantic_required")
     met, first = F.col("status") == "supported", F.col("facet_no") > 0
     found = evaluate_coverage(versions, evidence).groupBy("query_id").agg((F.every(F.when(first, met)) | F.coalesce(F.bool_or(F.when(~first, met)), F.lit(False))).alias("complete"))
     if reconciled is None:
         return found
-    return found.join(reconciled.select("query_id", F.lit(True).alias("sure")).distinct(), "query_id", "left").select("query_id", (F.col("complete") | F.coalesce("sure", F.lit(False))).alias("complete"))
+    return found.join(apart(reconciled.select("query_id", F.lit(True).alias("sure")).distinct()), "query_id", "left").select("query_id", (F.col("complete") | F.coalesce("sure", F.lit(False))).alias("complete"))

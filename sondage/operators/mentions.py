@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondage.functions.text import STOPWORDS, semantic_tokens
-from sondage.operators.selection import hold, let
+from sondage.operators.selection import apart, hold, let
 
 #: How a question asks for a definition.
 DEFINITION_MARKERS = ("是什么", "什么意思", "什么含义", "含义", "全称", "解释", "怎么理解", "如何理解", "指什么", "区别", "what is", "what does", "meaning", "define", "explain")
@@ -41,7 +41,7 @@ def mention_join(labels: DataFrame, texts: DataFrame) -> DataFrame:
     # a label of which some part is in no text is in no text
     whole = keyed.groupBy("label_id", "label", "bounded").agg(F.count("*").alias("parts"))
     open_ = rarest.join(whole, ["label_id", "label", "bounded"]).filter("have = parts").select("label_id", "label", "bounded", "key")
-    pairs = used.join(open_, ["bounded", "key"]).select("label_id", "label", "bounded", "text_id").join(folded, "text_id")
+    pairs = used.join(apart(open_), ["bounded", "key"]).select("label_id", "label", "bounded", "text_id").join(apart(folded), "text_id")
     edge = F.regexp_instr("text", F.concat(F.lit(r"(?<![a-z0-9])\Q"), F.col("label"), F.lit(r"\E(?![a-z0-9])")))
     return hold(pairs.select("label_id", "text_id", "text", "label", "bounded"), at=F.when(F.col("bounded"), edge).otherwise(F.instr("text", F.col("label"))) - 1).filter("at >= 0").select("label_id", "text_id", "at")
 

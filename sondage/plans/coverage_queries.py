@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondage.operators import coverage
-from sondage.sources.bindings import table
+from sondage.sources.bindings import spread, table
 
 from .registry import query
 from .selection_queries import _has, _list, _pairs, _strip
@@ -17,7 +17,7 @@ _J = r"\x{4e00}-\x{9fff}"
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind, parts = F.col("p_partkey") % 8, table(spark, sf_dir, "part")
+    kind, parts = F.col("p_partkey") % 8, spread(table(spark, sf_dir, "part"), "p_partkey")
     texts = {0: ("What is the ", "p_name", " value in 2024 Q2?"), 1: ("How much did ", "p_name", " and ", "p_brand", " change; why"), 2: ("Show the chart of ", "p_type", "! Interpret it"), 3: ("Which segment drove ", "p_name", "?"), 4: ("Explain ", "p_name", ". Define ", "p_type"), 5: ("Does ", "p_brand", " breach its limit in FY2023; recommend action"), 6: ("p_type", " ", "p_name")}
     joined = lambda bits: F.concat(*(F.col(b) if b.startswith("p_") else F.lit(b) for b in bits))
     text: Column = joined(("库存多少；", "p_name", "和", "p_brand", "比例"))
@@ -37,7 +37,7 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.struct(F.lit(1).alias("place"), F.concat(F.lit("The price of "), "p_name", F.lit(" was "), F.format_string("%.1f", "p_retailprice"), F.when(key % 3 == 0, " in 2024, above the limit of Q2").otherwise(" before")).alias("text"), F.when(key % 5 == 0, "provenance").otherwise("business_fact").alias("role"), F.lit(None).cast("string").alias("extraction"), F.when(key % 7 == 0, "visual_model").otherwise("native").alias("source_kind"), F.lit(0.9).alias("confidence"))
     second = F.struct(F.lit(2).alias("place"), F.concat("p_brand", F.lit(" growth was driven by the region; improve it, FY2023")).alias("text"), F.lit("management_insight").alias("role"), F.when(key % 2 == 0, "native_chart_analysis_bundle").alias("extraction"), F.lit("native").alias("source_kind"), F.when(key % 11 == 0, 0.5).otherwise(1.0).alias("confidence"))
     third = F.struct(F.lit(3).alias("place"), F.concat(F.lit("库存 "), F.col("p_size").cast("string")).alias("text"), F.lit("table").alias("role"), F.lit(None).cast("string").alias("extraction"), F.lit("native").alias("source_kind"), F.lit(None).cast("double").alias("confidence"))
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.explode(F.array(first, second, third)).alias("e")).select("query_id", "e.*").filter((F.col("query_id") + F.col("place")) % 4 > 0)
+    rows = spread(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("query_id"), F.explode(F.array(first, second, third)).alias("e")).select("query_id", "e.*").filter((F.col("query_id") + F.col("place")) % 4 > 0)
     return rows.withColumns({"evidence_id": F.concat(F.lit("e"), F.col("place").cast("string")), "document_id": F.lit("d"), "slide_id": F.col("place").cast("long")})
 
 
