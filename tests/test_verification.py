@@ -177,6 +177,19 @@ def test_chunks_with_cjk_terms(spark):
     assert got == {1: (1, 0), 2: (1, 0), 3: (3, 1), 4: (4, 1)}
 
 
+def test_chunks_of_large_groups_meet_in_blocks(spark, monkeypatch):
+    """Links against brute force: a group of copies in many blocks, copies with another home, and texts of two lengths of signature."""
+    monkeypatch.setattr(scope, "_BLOCK", 3)
+    base = [f"w{k}" for k in range(60)]
+    texts = [base[:i] + [f"x{i}"] + base[i + 1 :] for i in range(0, 60, 3)] + [base + [f"y{i}-{k}" for k in range(i)] for i in range(9)]
+    wide = [f"v{k}" for k in range(350)]
+    texts += [wide, wide[:330], wide[:300], base[:20] + wide[:20], wide[20:40] + base[30:50]]
+    want = [sum(i != j and 100 * len(set(a) & set(b)) >= 88 * max(len(a), len(b)) for j, b in enumerate(texts)) for i, a in enumerate(texts)]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id int, text string")
+    got = {r["id"]: r["n_links"] for r in scope.near_duplicate_chunks(rows).collect()}
+    assert [got[i] for i in range(len(texts))] == want and max(want) > 20
+
+
 def test_numbers_of_21_to_29_digits_have_a_value(spark):
     long = "123456789012345678901234"
     rows = spark.createDataFrame([(1, f"{long} units, then {long}.5 million and -1.25 bn")], "id long, text string")
