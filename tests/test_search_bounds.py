@@ -28,3 +28,23 @@ def test_pairs_of_queries_and_chunks_are_dealt_by_their_number(spark, monkeypatc
     queries = spark.range(10).select(F.col("id").alias("query_id"), F.array(F.lit("red"), F.col("id").cast("string")).alias("terms"))
     scores = search.bm25_scores(chunks, queries)
     assert "REPARTITION_BY_NUM, [" in scores._jdf.queryExecution().executedPlan().toString() and scores.count() == 500
+
+
+def test_words_are_dealt_before_they_are_counted(spark):
+    """No task counts the words of a whole file, and none sorts all rows of a query's lanes."""
+    chunks = spark.range(50).select(F.col("id").alias("chunk_id"), F.concat(F.lit("red red "), F.col("id").cast("string")).alias("content"))
+    queries = spark.range(10).select(F.col("id").alias("query_id"), F.array(F.lit("red"), F.col("id").cast("string")).alias("terms"))
+    scores = search.bm25_scores(chunks, queries)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" not in plan[plan.index("REPARTITION_BY_NUM") :].split("BroadcastExchange")[0]
+    lanes = search.document_lanes(scores.withColumn("document_id", F.col("chunk_id") % 3), 5)
+    assert "WindowGroupLimit" in lanes._jdf.queryExecution().executedPlan().toString()
+    rows = sorted(((r["query_id"], -r["score"], r["chunk_id"]) for r in scores.collect()))
+    want = {}
+    for query, _, chunk in rows:
+        own = want.setdefault(query, [[], {}])
+        own[0].append(chunk)
+        own[1].setdefault(chunk % 3, []).append(chunk)
+    size = max(4, min(8, 16 // 3 + 2))
+    expected = {(q, c, "global" if c in whole[:5] else "document") for q, (whole, docs) in want.items() for own in docs.values() for c in own if c in whole[:5] or c in own[:size]}
+    assert {(r["query_id"], r["chunk_id"], r["lane"]) for r in lanes.collect()} == expected
