@@ -48,3 +48,21 @@ def test_words_are_dealt_before_they_are_counted(spark):
     size = max(4, min(8, 16 // 3 + 2))
     expected = {(q, c, "global" if c in whole[:5] else "document") for q, (whole, docs) in want.items() for own in docs.values() for c in own if c in whole[:5] or c in own[:size]}
     assert {(r["query_id"], r["chunk_id"], r["lane"]) for r in lanes.collect()} == expected
+
+
+def test_features_are_never_shuffled(spark):
+    """Hash embeddings against plain loops; texts are dealt by id once."""
+    import hashlib
+    from collections import Counter
+
+    texts = [(1, "Revenue grew, revenue_2 fell 12 times"), (2, "净利息收入 rose rose"), (3, ""), (4, None)]
+    rows = search.hash_embedding(spark.createDataFrame(texts, "id long, text string"))
+    want = Counter()
+    for key, words in ((1, ["revenue", "grew", "revenue_2", "fell", "12", "times"]), (2, ["净利", "利息", "息收", "收入", "rose", "rose"])):
+        for w in words:
+            for feature in [w] + ["#" + w[k : k + 3] for k in range(len(w) - 2) if len(w) > 3]:
+                number = int(hashlib.md5(feature.encode()).hexdigest()[:15], 16)
+                want[key, number % 384] += 1 - 2 * (number // 384 % 2)
+    assert {(r["id"], r["bucket"]): r["weight"] for r in rows.collect()} == {k: v for k, v in want.items() if v}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "ENSURE_REQUIREMENTS" not in plan.split("Initial Plan")[0].split("Final Plan")[-1]
