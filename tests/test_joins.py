@@ -23,3 +23,10 @@ def test_facets_and_mentions_are_not_broadcast(spark):
     assert joins and not [line for line in joins if "query_id" in line or "text_id" in line]
     used = [line for line in plan.split("\n") if "SortMergeJoin [bounded" in line or "SortMergeJoin [key" in line]
     assert used
+
+
+def test_customers_are_dealt_over_tasks(spark):
+    """A small file is one task otherwise; what a question's steps share is computed once."""
+    df = registry.queries()["r19_query_variants"](spark, D)
+    assert "REPARTITION_BY_NUM" in _plan(df)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("_held") >= 3
