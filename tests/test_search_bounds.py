@@ -66,3 +66,20 @@ def test_features_are_never_shuffled(spark):
     assert {(r["id"], r["bucket"]): r["weight"] for r in rows.collect()} == {k: v for k, v in want.items() if v}
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "ENSURE_REQUIREMENTS" not in plan.split("Initial Plan")[0].split("Final Plan")[-1]
+
+
+def test_terms_are_looked_for_in_words_not_in_runs_of_characters(spark, monkeypatch):
+    """Texts are not cut into rows of three characters; the best k of each query are those of plain search, ties by id."""
+    monkeypatch.setattr(search, "_CELLS", 16)
+    texts = ["Red redder", "a-b under", "", None, "库存周转 red", "x" * 300 + "red", "ed a-b", "red under a-b 存周", "éred ÉRED", "under_red"] * 3
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string")
+    asked = {"p": ["red", "red", "und", ""], "q": ["a-b", "存周", "ed"], "r": ["zz"], "s": ["é", "r_r"]}
+    queries = spark.createDataFrame(list(asked.items()), "query_id string, terms array<string>")
+    want = set()
+    for q, terms in asked.items():
+        scores = [(-sum(t in c.lower() for t in set(terms) - {""}), i) for i, c in enumerate(texts) if c is not None]
+        want |= {(q, i, float(-n), at) for at, (n, i) in enumerate(sorted(x for x in scores if x[0] < 0)[:5], 1)}
+    for block in (1, 4096):
+        found = search.substring_search(chunks, queries, 5, block=block)
+        assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r) for r in found.select("query_id", "chunk_id", "score", "rank").collect()} == want
