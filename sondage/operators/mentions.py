@@ -1,10 +1,14 @@
 """Which labels of a dictionary texts mention, for dictionaries and texts of any size.
 
-A label is looked for only in texts that have its rarest part: a whole word for labels of ASCII words, three characters for others. So the join is an equal one, on keys that few texts have; a label of frequent parts alone is compared with the texts that it is likely to be in.
+A dictionary of up to ``_FEW_LABELS`` goes to all tasks, each of which walks its own texts once: no text is shuffled, and no frequent word gathers texts in a task. Of larger ones a label is looked for only in texts that have its rarest part: a whole word for labels of ASCII words, three characters for others. So that join is an equal one, on keys that few texts have; a label of frequent parts alone is compared with the texts that it is likely to be in.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +19,13 @@ from sondage.operators.selection import apart, hold, let
 DEFINITION_MARKERS = ("是什么", "什么意思", "什么含义", "含义", "全称", "解释", "怎么理解", "如何理解", "指什么", "区别", "what is", "what does", "meaning", "define", "explain")
 
 
+#: A dictionary of so many labels is broadcast; a larger one is joined by a shuffle. Characters that a task walks at once.
+_FEW_LABELS, _CHARS = 1 << 16, 1 << 20
+#: Multiplier of the hashes of stretches of characters, modulo 2 ** 64.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_SHIFT = np.uint64(44)
+
+
 def bounded(label: Column) -> Column:
     """ASCII words, which other letters and digits may not touch."""
     return label.rlike("^[a-z0-9][a-z0-9 .&/-]*$")
@@ -25,8 +36,111 @@ def _grams(text: Column, sizes: list[int]) -> Column:
     return F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes)))
 
 
+def expand(keys: np.ndarray, groups: np.ndarray, values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key with each value of its group, where group g has the values from starts[g] to starts[g + 1]."""
+    sizes = (starts[1:] - starts[:-1])[groups]
+    ends = np.cumsum(sizes)
+    within = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+    return np.repeat(keys, sizes), values[np.repeat(starts[groups], sizes) + within]
+
+
+def dictionary(terms: dict[str, int]) -> dict[int, tuple[np.ndarray, tuple | None]]:
+    """For each length up to the longest of the terms (term: number): which leading bits of hashes a term has that is so long or longer; and sorted hashes, characters and numbers of the terms of this length, whose hashes are distinct."""
+    sizes: dict[int, list[str]] = {}
+    for t in terms:
+        sizes.setdefault(len(t), []).append(t)
+    codes = {n: np.frombuffer("".join(own).encode("utf-32-le"), np.uint32).reshape(-1, n) for n, own in sizes.items()}
+    hashes = {n: np.zeros(len(own), np.uint64) for n, own in sizes.items()}
+    found = {}
+    for n in range(1, max(sizes, default=0) + 1):
+        flags, own = np.zeros(1 << 20, bool), None
+        for m in hashes:
+            if m >= n:
+                hashes[m] = hashes[m] * _BASE + codes[m][:, n - 1]
+                flags[hashes[m] >> _SHIFT] = True
+        if n in sizes:
+            order = np.argsort(hashes[n])
+            if (np.diff(hashes[n][order]) == 0).any():
+                raise ValueError(f"two terms of {n} characters have one hash")
+            own = hashes[n][order], codes[n][order], np.array([terms[t] for t in sizes[n]], np.int64)[order]
+        found[n] = flags, own
+    return found
+
+
+def places(texts: list[str], by_size: dict[int, tuple[np.ndarray, tuple | None]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of texts, of the terms of a ``dictionary`` that are anywhere in them, and all places, from 0: a place is followed while a term may begin there, and compared where one ends."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    at, hashes, none = np.arange(len(codes)), np.zeros(len(codes), np.uint64), np.empty(0, np.int64)
+    found = [(none, none, none)]
+    for n, (flags, own) in by_size.items():
+        on = np.flatnonzero(at + n <= ends[owner[at]])
+        at = at[on]
+        hashes = hashes[on] * _BASE + codes[at + n - 1]
+        on = np.flatnonzero(flags[hashes >> _SHIFT])
+        at, hashes = at[on], hashes[on]
+        if own is not None:
+            keys, chars, numbers = own
+            place = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            same = np.flatnonzero(keys[place] == hashes)
+            same = same[(codes[at[same][:, None] + np.arange(n)] == chars[place[same]]).all(1)]
+            text = owner[at[same]]
+            found.append((text, numbers[place[same]], at[same] - (ends - sizes)[text]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _walked(few: pa.Table, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """``mention_join`` of few labels (label_id, label, bounded), each text by itself."""
+    names = few.column("label").to_pylist()
+    terms = {t: i for i, t in enumerate(dict.fromkeys(names))}
+    number = np.array([terms[t] for t in names], np.int64)
+    order = np.argsort(number, kind="stable")
+    ids, starts = few.column("label_id").combine_chunks().take(pa.array(order)), np.searchsorted(number[order], np.arange(len(terms) + 1))
+    whole = np.zeros(len(terms), bool)
+    whole[number] = np.asarray(few.column("bounded"), bool)
+    shared = texts.sparkSession.sparkContext.broadcast((ids, starts, terms, whole, np.array([len(t) for t in terms], np.int64)))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, starts, terms, whole, sizes = shared.value
+        by_size = dictionary(terms)
+        for batch in batches:
+            lengths = np.cumsum([0, *map(len, batch.column("text").to_pylist())])
+            start = 0
+            while start < len(batch):
+                stop = max(start + 1, int(np.searchsorted(lengths, lengths[start] + _CHARS, "right")) - 1)
+                part = batch.slice(start, stop - start)
+                start = stop
+                own = part.column("text").to_pylist()
+                text, term, at = places(own, by_size)
+                # ASCII letters and digits may not touch a bounded label
+                word = np.zeros(lengths[stop] - lengths[stop - len(part)] + 1, bool)
+                codes = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32)
+                word[:-1] = ((codes >= 97) & (codes <= 122)) | ((codes >= 48) & (codes <= 57))
+                begin = lengths[stop - len(part) : stop] - lengths[stop - len(part)]
+                end = lengths[stop - len(part) + 1 : stop + 1] - lengths[stop - len(part)]
+                first = begin[text] + at
+                last = first + sizes[term]
+                touched = ((at > 0) & word[first - 1]) | ((last < end[text]) & word[last])
+                on = np.flatnonzero(~(whole[term] & touched))
+                on = on[np.lexsort((at[on], term[on], text[on]))]
+                text, term, at = text[on], term[on], at[on]
+                on = np.ones(len(on), bool)
+                on[1:] = (text[1:] != text[:-1]) | (term[1:] != term[:-1])
+                nth, label = expand(np.flatnonzero(on), term[on], np.arange(len(ids)), starts)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(label)), part.column("text_id").take(pa.array(text[nth])), pa.array(at[nth], pa.int32())], ["label_id", "text_id", "at"])
+
+    types = {f.name: f.dataType.simpleString() for f in [*labels.schema, *texts.schema]}
+    folded = texts.select("text_id", F.lower("text").alias("text")).filter("text is not null and text_id is not null")
+    return folded.mapInArrow(walk, f"label_id {types['label_id']}, text_id {types['text_id']}, at int")
+
+
 def mention_join(labels: DataFrame, texts: DataFrame) -> DataFrame:
     """label_id, text_id, at: labels (label_id, label) and the texts (text_id, text) that hold them, with the first place, from 0. Without regard to case; labels without text are in none. No pair is lost or doubled."""
+    few = labels.select("label_id", F.lower(F.trim("label")).alias("label")).filter("label <> ''").distinct().withColumn("bounded", bounded(F.col("label"))).limit(_FEW_LABELS + 1).toArrow()
+    if len(few) <= _FEW_LABELS:
+        return _walked(few, labels, texts)
     wanted = hold(labels.select("label_id", F.lower(F.trim("label")).alias("label")).filter("label <> ''"), bounded=bounded(F.lower(F.trim("label"))))
     folded = texts.select("text_id", F.lower("text").alias("text")).filter("text is not null")
     short = F.least(F.length("label"), F.lit(3))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sondage.functions.text import normal_key
 from sondage.operators import mentions
-from sondage.sources.bindings import YEARLY_SQL, table, yearly_points
+from sondage.sources.bindings import YEARLY_SQL, spread, table, yearly_points
 
 from .registry import query
 from .search_queries import _STOP
@@ -21,7 +21,7 @@ def j9_mention_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = F.transform(F.filter(F.sequence(F.lit(0), F.size("w") - 2), lambda i: i % 7 == 0), lambda i: F.concat(F.get("w", i), F.lit(" "), F.get("w", i + 1)))
     words = table(spark, sf_dir, "benchmark").select(F.split(F.lower("text"), " ").alias("w")).filter("size(w) > 1")
     labels = words.select(F.explode(pair).alias("label")).select(F.trim("label").alias("label")).distinct().select(F.col("label").alias("label_id"), "label")
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    texts = spread(table(spark, sf_dir, "documents"), "doc_id", 2000).select(F.col("doc_id").alias("text_id"), "text")
     return mentions.mention_join(labels, texts).select(F.col("label_id").alias("label"), F.col("text_id").alias("chunk_id"))
 
 

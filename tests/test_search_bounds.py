@@ -1,9 +1,10 @@
 """Searches hold a bounded number of similarities and pairs at once."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from sondage.operators import search
+from sondage.operators import mentions, search
 
 
 def test_vectors_are_multiplied_in_slices(spark, monkeypatch):
@@ -83,3 +84,17 @@ def test_terms_are_looked_for_in_words_not_in_runs_of_characters(spark, monkeypa
         found = search.substring_search(chunks, queries, 5, block=block)
         assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
         assert {tuple(r) for r in found.select("query_id", "chunk_id", "score", "rank").collect()} == want
+
+
+@pytest.mark.parametrize("few", [1 << 16, 0])
+def test_few_labels_are_found_without_shuffling_texts(spark, monkeypatch, few):
+    """Each text is walked by itself, in slices; the first place counts, and labels with one spelling are found each."""
+    monkeypatch.setattr(mentions, "_FEW_LABELS", few)
+    monkeypatch.setattr(mentions, "_CHARS", 16)
+    texts = [(1, "Blue anvil, blueanvil"), (2, "xblue anvil blue anvil"), (3, "\N{GRINNING FACE}é, anvil."), (4, None), (5, ""), (6, "blue anvil" * 9), (7, "库存 blue")]
+    labels = [("a", "blue anvil"), ("b", " Blue Anvil"), ("c", "é, an"), ("d", "库存"), ("e", ""), ("f", "zz"), ("a", "blue anvil"), ("g", "blue")]
+    found = mentions.mention_join(spark.createDataFrame(labels, "label_id string, label string"), spark.createDataFrame(texts, "text_id long, text string"))
+    if few:
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = [("a", 1, 0), ("a", 2, 12), ("b", 1, 0), ("b", 2, 12), ("c", 3, 1), ("d", 7, 0), ("g", 1, 0), ("g", 2, 12), ("g", 6, 0), ("g", 7, 3)]
+    assert sorted(tuple(r) for r in found.collect()) == want
