@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,6 +90,11 @@ def _parts(question: Column) -> Column:
     return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(question)))
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """``df`` computed now, on the executors' disks: each later use would compute it anew."""
+    return df.localCheckpoint(storageLevel=StorageLevel.DISK_ONLY)
+
+
 def evidence_contract(requests: DataFrame, glossary: DataFrame) -> DataFrame:
     """Facets of requests (query_id, question, deep): query_id, facet_no, facet_id, label, subject, aliases, constraints, validators, minimum, match_terms, semantic_required.
 
@@ -107,6 +113,7 @@ def evidence_contract(requests: DataFrame, glossary: DataFrame) -> DataFrame:
     plain = F.size("validators") == 1
     quantitative = F.array_contains("validators", F.lit("numeric"))
     rows = rows.withColumns({"minimum": F.when(plain & (F.col("n_parts") == 1) & F.col("deep"), 2).otherwise(1), "semantic_required": plain & (F.col("n_parts") > 1), "quantitative": quantitative})
+    rows = _once(rows)
 
     # the metrics that stand before the cue of a clause
     folded = lambda text: F.regexp_replace(text, _insensitive(OPENING), "")
@@ -121,9 +128,10 @@ def evidence_contract(requests: DataFrame, glossary: DataFrame) -> DataFrame:
     metric = hold(metric, pieces=F.split(F.col("prefix"), r"(?i)[ \t]*(?:、|，|,|和|及|与|\band\b)[ \t]*"))
     pieces = metric.select("query_id", "part_no", "working", F.size("pieces").alias("n_pieces"), F.posexplode("pieces").alias("piece_no", "piece"))
     pieces = pieces.withColumn("text_id", F.concat_ws("\x01", F.col("query_id").cast("string"), F.col("part_no").cast("string"), F.col("piece_no").cast("string")))
-    names = glossary.select(F.concat_ws("\x01", "term", "alias").alias("label_id"), "term", "alias")
-    hits = mention_join(names.select("label_id", F.col("alias").alias("label")), pieces.select("text_id", F.col("piece").alias("text"))).join(names, "label_id")
-    hits = hits.select("text_id", "term").distinct().join(glossary.select("term", "alias"), "term").join(apart(pieces.select("text_id", "n_pieces", F.lower("working").alias("working"))), "text_id")
+    pieces = _once(pieces)
+    hits = mention_join(glossary.select(F.col("term").alias("label_id"), F.col("alias").alias("label")), pieces.select("text_id", F.col("piece").alias("text")))
+    # a left join, though each term is there: so hits, whose number grows with the requests, are never broadcast
+    hits = hits.select("text_id", F.col("label_id").alias("term")).distinct().join(glossary, "term", "left").join(apart(pieces.select("text_id", "n_pieces", F.lower("working").alias("working"))), "text_id")
     # the last one named before a cue; of one piece among several the longest name
     last = F.length("working") - F.instr(F.reverse("working"), F.reverse(F.lower("alias"))) - F.length("alias") + 1
     place = F.when(F.instr("working", F.lower("alias")) > 0, last).otherwise(-1)
@@ -148,11 +156,12 @@ def evidence_contract(requests: DataFrame, glossary: DataFrame) -> DataFrame:
     first = Window.partitionBy("query_id", "facet_id").orderBy("part_no", "subject_no")
     facets = facets.withColumn("nth", F.row_number().over(first)).filter("nth = 1")
     facets = facets.withColumn("facet_no", F.row_number().over(Window.partitionBy("query_id").orderBy("part_no", "subject_no")))
+    facets = _once(facets)
     # a subject is also known by its words, and by all names of a term that has it as one
     spaced = F.replace("subject", F.lit("_"), F.lit(" "))
     bare = lambda c: F.regexp_replace(F.lower(c), f"[^a-z0-9{_CJK}]", "")
     subjects = hold(facets.filter("subject <> ''").select("subject").distinct(), key=bare(spaced))
-    others = names.select("term", bare("alias").alias("key")).distinct().join(subjects, "key").select("subject", "term").distinct().join(glossary.select("term", F.lower("alias").alias("alias")), "term")
+    others = glossary.select("term", bare("alias").alias("key")).distinct().join(subjects, "key").select("subject", "term").distinct().join(glossary.select("term", F.lower("alias").alias("alias")), "term")
     others = others.groupBy("subject").agg(F.array_sort(F.collect_set("alias")).alias("others"))  # names of one term or two
     words = F.filter(F.split(spaced, " "), lambda w: F.length(w) > 1)
     aliases = F.when(F.col("subject") == "", none).otherwise(F.filter(F.array_distinct(F.concat(F.array(spaced), words, F.coalesce("others", none))), lambda a: a != ""))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sondage.operators import mentions, search
+from sondage.operators import coverage, mentions, search
 
 
 def test_vectors_are_multiplied_in_slices(spark, monkeypatch):
@@ -98,3 +98,13 @@ def test_few_labels_are_found_without_shuffling_texts(spark, monkeypatch, few):
         assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     want = [("a", 1, 0), ("a", 2, 12), ("b", 1, 0), ("b", 2, 12), ("c", 3, 1), ("d", 7, 0), ("g", 1, 0), ("g", 2, 12), ("g", 6, 0), ("g", 7, 3)]
     assert sorted(tuple(r) for r in found.collect()) == want
+
+
+def test_contracts_are_computed_once(spark):
+    """Questions are read once, not for each use of their parts, and what is found in them is never broadcast."""
+    requests = spark.range(20).select(F.col("id").alias("query_id"), F.concat(F.lit("How much did sales and cost change in "), (F.col("id") + 2000).cast("string")).alias("question"), F.lit(False).alias("deep"))
+    glossary = spark.createDataFrame([("Turnover", "sales"), ("Turnover", "revenue"), ("Cost", "cost")], "term string, alias string")
+    found = coverage.evidence_contract(requests, glossary)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Range (" not in plan and "BuildLeft" not in plan
+    assert {(r["query_id"], r["subject"]) for r in found.collect()} == {(i, s) for i in range(20) for s in ("turnover", "cost")}
