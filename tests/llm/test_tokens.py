@@ -175,3 +175,10 @@ def test_token_files_of_null_and_repeated_ids(spark):
     assert [r.doc_id for r in got] == [None] * 9 + [1, 1, 1, 2]
     assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got[:-1])]).tolist()
     assert len({r.ids_crc32 for r in got[:9]}) == 3 and len({r.ids_crc32 for r in got[9:12]}) == 2
+
+
+def test_byte_level_pieces_are_kept_in_more_spellings():
+    from sondage.llm.tokens import encoder
+
+    assert encoder(_tokenizer("byte_bpe_50k.json"), "bytes").most >= 1_000_000
+    assert encoder(_tokenizer("word_bpe_49k.json"), "words").most == 400_000
