@@ -8,7 +8,7 @@ A task holds a shard, or a bucket: ``values_per_bucket`` values on average, each
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ from .common import give_back, key_filter, materialize, slices
 
 GRAM = 20
 _LAST = np.iinfo(np.int64).max
+#: Places that are hashed at a time, so that the intermediate arrays stay in a core's cache.
+_BLOCK = 1 << 14
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -36,8 +38,22 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
 
 
+def _in_blocks(data: np.ndarray, size: int, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """``of`` the data, which gives a number for each ``size`` neighbouring bytes, block by block."""
+    n = len(data) - size + 1
+    found = np.empty(max(0, n), np.uint64)
+    for a in range(0, n, _BLOCK):
+        found[a : a + _BLOCK] = of(data[a : min(a + _BLOCK, n) + size - 1])
+    return found
+
+
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """64-bit hash of the ``size`` bytes from each place on, by doubling."""
+    """64-bit hash of the ``size`` bytes from each place on."""
+    return _in_blocks(data, size, lambda part: _gram_hashes(part, size))
+
+
+def _gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """``gram_hashes`` of one block, by doubling."""
     factor = 0x100000001B3
     h, have = data.astype(np.uint64) + np.uint64(1), 1
     parts = {1: h}
@@ -59,8 +75,7 @@ def window_strings(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.
     if len(data) < length:
         return none, none, none.astype(np.uint64)
     size = min(GRAM, length)
-    gram = gram_hashes(data, size)
-    least = _sliding_min(gram, length - size + 1)
+    least = _in_blocks(data, length, lambda part: _sliding_min(_gram_hashes(part, size), length - size + 1))
     valid = np.ones(len(least), bool)
     # a window that crosses an end is none
     for k in ends[:-1].tolist():
@@ -101,7 +116,8 @@ def merge_bwts(symbols: list[np.ndarray], n_strings: list[int], depth: int) -> t
     """Interleave of the rows of several transforms after ``depth`` refinements: row numbers in order (rows of the transforms counted through), and the common prefix of each row with the one before it, ``depth`` where it is at least that long."""
     sizes = np.array([len(s) for s in symbols], np.int64)
     bwt = np.concatenate(symbols)
-    kind = np.uint16 if len(symbols) < 1 << 16 else np.uint32
+    kind = np.uint8 if len(symbols) <= 1 << 8 else np.uint16 if len(symbols) <= 1 << 16 else np.uint32
+    index = np.int32 if len(bwt) < 1 << 31 else np.int64
     source = np.repeat(np.arange(len(symbols), dtype=kind), sizes)
     marks = np.repeat(np.arange(len(symbols), dtype=kind), n_strings)  # rows of end marks come first, source by source
     common = np.full(len(bwt), depth, np.int64)
@@ -109,22 +125,24 @@ def merge_bwts(symbols: list[np.ndarray], n_strings: list[int], depth: int) -> t
     z = np.concatenate([marks, np.repeat(np.arange(len(symbols), dtype=kind), sizes - np.array(n_strings))])
     edge = np.zeros(len(bwt), bool)
     edge[0] = True  # of no symbols all rows are equal; end marks differ from the first symbol on
-    row = np.empty(len(bwt), np.int64)
+    row, count = np.empty(len(bwt), index), np.arange(len(bwt), dtype=index)
     for k in range(1, depth + 1):
-        row[np.argsort(z, kind="stable")] = np.arange(len(bwt))
+        row[np.argsort(z, kind="stable")] = count
         symbol = bwt[row]
         on = np.flatnonzero(symbol)
-        order = on[np.argsort(symbol[on], kind="stable")]
-        block = np.cumsum(edge)
+        symbol = (symbol[on] - np.uint16(1)).astype(np.uint8)  # without end marks: a byte, which is sorted in one pass
+        turn = np.argsort(symbol, kind="stable")
+        order = on[turn]
+        block = np.cumsum(edge, dtype=index)[order]
         z = np.concatenate([marks, z[order]])
-        symbol, block = symbol[order], block[order]
+        symbol = symbol[turn]
         new = edge.copy()
         new[: len(marks) + 1] = True
         if len(order):
             new[len(marks) + 1 :] |= (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
         common[new & ~edge] = k - 1
         edge = new
-    row[np.argsort(z, kind="stable")] = np.arange(len(bwt))
+    row[np.argsort(z, kind="stable")] = count
     return row, common
 
 
@@ -266,25 +284,22 @@ class _Shard:
         fine.add(finer)
         warm, again = self.coarse.state[self.coarse.which] == 1, fine.state[fine.which] > 0
         self.bucket = np.concatenate([self.coarse.bucket[self.coarse.which][warm], fine.bucket[fine.which][again]])
+        self.once = np.concatenate([self.coarse.counts[self.coarse.which][warm], fine.counts[fine.which][again]]) == 1
         self.first, self.n = np.concatenate([self.first[warm], first[again]]), np.concatenate([self.n[warm], np.ones(int(again.sum()), np.int64)])
 
-    def strings(self) -> tuple[dict[int, dict[bytes, int]], list[tuple[int, int, int]]]:
-        """Distinct strings by bucket, each with the position of its first document; (string's number in its bucket, bucket, run) of every run."""
-        found: dict[int, dict[bytes, int]] = {}
-        order: dict[int, dict[bytes, int]] = {}
-        uses = []
-        docs = np.searchsorted(self.ends, self.first, "right")
-        for run, (a, b, bucket, doc) in enumerate(zip(self.first.tolist(), (self.first + self.n + self.length - 1).tolist(), self.bucket.tolist(), docs.tolist(), strict=True)):
-            own = found.get(bucket)
-            if own is None:
-                own, order[bucket] = found.setdefault(bucket, {}), {}
-            s = self.raw[a:b]
-            k = order[bucket].get(s)
-            if k is None:
-                k = order[bucket][s] = len(own)
-                own[s] = doc
-            uses.append((k, bucket, run))
-        return found, uses
+    def strings(self) -> tuple[np.ndarray, np.ndarray]:
+        """First runs of the distinct strings of each bucket, by bucket; for every run the place of its string among these. A run whose value the shard has once is compared with no other."""
+        same = np.arange(len(self.first))
+        seen: dict[tuple[int, bytes], int] = {}
+        more = np.flatnonzero(~self.once)
+        begin = self.first[more]
+        for run, a, b, bucket in zip(more.tolist(), begin.tolist(), (begin + self.n[more] + self.length - 1).tolist(), self.bucket[more].tolist(), strict=True):
+            same[run] = seen.setdefault((bucket, self.raw[a:b]), run)
+        order = np.argsort(self.bucket, kind="stable")
+        distinct = order[same[order] == order]
+        place = np.empty(len(same), np.int64)
+        place[distinct] = np.arange(len(distinct))
+        return distinct, place[same]
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, values_per_bucket: int = 1 << 17, hot: int = 4096) -> DataFrame:
@@ -339,11 +354,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             for row in batch.to_pylist():
                 s = _Shard(row, length, buckets)
                 s.settle(row["states"], row["finer"])
-                found, _ = s.strings()
-                ids = np.array([_LAST if i is None else i for i in s.ids], np.int64)
-                keys = sorted(found)
-                sizes = [np.fromiter(map(len, found[k]), np.uint32, len(found[k])).tobytes() for k in keys]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([s.shard] * len(keys), pa.int64()), pa.array([b"".join(found[k]) for k in keys], pa.binary()), pa.array(sizes, pa.binary()), pa.array([ids[list(found[k].values())].tobytes() for k in keys], pa.binary())], ["bucket", "shard", "strings", "sizes", "first_ids"])
+                yield _by_buckets(s)
 
     def merged(table: pa.Table) -> pa.Table:
         own = []
@@ -371,28 +382,32 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return covered.withColumnRenamed("id", id_col)
 
 
+def _by_buckets(s: _Shard) -> pa.RecordBatch:
+    """A shard's distinct strings, each with its least document: a row for each bucket."""
+    distinct, _ = s.strings()
+    ids = np.array([_LAST if i is None else i for i in s.ids], np.int64)
+    first, size = s.first[distinct], s.n[distinct] + s.length - 1
+    firsts = ids[np.searchsorted(s.ends, first, "right")]
+    parts = _by_bucket(s.bucket[distinct])
+    strings = [b"".join([s.raw[a:b] for a, b in zip(first[p].tolist(), (first[p] + size[p]).tolist(), strict=True)]) for _, p in parts]
+    columns = [pa.array([b for b, _ in parts], pa.int64()), pa.array([s.shard] * len(parts), pa.int64()), pa.array(strings, pa.binary())]
+    columns += [pa.array([x[p].tobytes() for _, p in parts], pa.binary()) for x in (size.astype(np.uint32), firsts)]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "shard", "strings", "sizes", "first_ids"])
+
+
 def _covered(s: _Shard, least: list | None) -> pa.RecordBatch:
-    found, uses = s.strings()
+    distinct, place = s.strings()
     edge = np.zeros(len(s.data) + 1, np.int64)
-    if uses:
-        windows, at = {}, 0
-        flat = []
-        for x in least:
-            values = np.repeat(np.frombuffer(x["least"], np.int64), np.frombuffer(x["runs"], np.uint32))
-            n = np.array([len(t) - s.length + 1 for t in found[x["bucket"]]], np.int64)
-            windows[x["bucket"]] = (np.cumsum(n) - n + at).tolist()
-            flat.append(values)
-            at += len(values)
-        flat = np.concatenate(flat)
-        begin = np.array([windows[b][k] for k, b, _ in uses], np.int64)
-        runs = np.array([r for _, _, r in uses], np.int64)
-        n, first = s.n[runs], s.first[runs]
+    if len(distinct):
+        flat = np.concatenate([np.repeat(np.frombuffer(x["least"], np.int64), np.frombuffer(x["runs"], np.uint32)) for x in sorted(least, key=lambda x: x["bucket"])])
+        begin = (np.cumsum(s.n[distinct]) - s.n[distinct])[place]
+        n, first = s.n, s.first
         nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         ids = np.array([_LAST if i is None else i for i in s.ids], np.int64)
         own = ids[np.searchsorted(s.ends, first, "right")]
         hit = (np.repeat(first, n) + nth)[flat[np.repeat(begin, n) + nth] < np.repeat(own, n)]
-        np.add.at(edge, hit, 1)
-        np.add.at(edge, hit + s.length, -1)
+        edge[hit] += 1  # a window is in one run
+        edge[hit + s.length] -= 1
     gone = np.cumsum(edge[:-1]) > 0
     out: dict[str, list] = {"id": s.ids, "n_bytes": s.lens, "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
     for a, b in zip((s.ends - s.lens).tolist(), s.ends.tolist(), strict=True):

@@ -1,11 +1,12 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 
 from sondage.llm import queries
-from sondage.llm.repeats import least_documents, merge_bwts, remove_repeats, shard_bwt, window_strings
+from sondage.llm.repeats import _BLOCK, gram_hashes, least_documents, merge_bwts, remove_repeats, shard_bwt, window_strings
 
 from .conftest import TEXTS
 
@@ -77,6 +78,18 @@ def test_every_window_is_in_one_string():
     assert got == [int(e - len(t)) + k for t, e in zip(texts, ends, strict=True) for k in range(len(t) - 49)] and n.max() <= 31
 
 
+def test_hashes_are_taken_block_by_block():
+    rng = random.Random(4)
+    data = np.frombuffer(rng.randbytes(1 << 20), np.uint8)
+    tracemalloc.start()
+    got = gram_hashes(data, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * len(data)  # eight bytes a place for the result
+    for a in (0, 1, _BLOCK - 30, _BLOCK, 3 * _BLOCK - 49, len(data) - 50):
+        assert got[a] == gram_hashes(data[a : a + 50], 50)[0]
+
+
 def test_against_brute_force(spark, docs, no_docs):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(2, 8)))
