@@ -1,6 +1,6 @@
 """Secrets in texts: three fixed patterns, and tokens that a battery of randomness tests finds. DataFrame functions only.
 
-Tokens of letters, digits and ``+/_=-`` are read in the alphabet that they seem to be encoded in (hex, base32, base64). Three tests ask how far the token is from uniform random symbols: chi-squared over the alphabet, runs about its middle, and serial correlation of neighbours. Fisher's method joins the three. Natural tokens are those without digits, and names made of the corpus's own words: from every stretch of ``_STRETCH`` characters of prose, neighbouring words are joined behind a number or date, once at the least length of each length class. How often natural tokens of a class look as random gives an empirical p-value for the tokens with digits, and the Benjamini-Hochberg rule picks, per length class, those that stand out at false-discovery rate ``rate``. All counts run over all documents. One secret stands out of N tokens of its class where the corpus has N / ``rate`` stretches.
+Tokens of letters, digits and ``+/_=-`` are read in the alphabet that they seem to be encoded in (hex, base32, base64). Three tests ask how far the token is from uniform random symbols: chi-squared over the alphabet, runs about its middle, and serial correlation of neighbours. Fisher's method joins the three. Natural tokens are those without digits, and names made of the corpus's own words: all prose of all documents is cut into names one after the other, each neighbouring words behind a number or date; the length classes take turns, each with names of its least length. How often natural tokens of a class look as random gives an empirical p-value for the tokens with digits, and the Benjamini-Hochberg rule picks, per length class, those that stand out at false-discovery rate ``rate``. All counts run over all documents. One secret stands out of N tokens of its class where the corpus has N / ``rate`` names of that class: one in about 250 characters of prose.
 """
 
 from __future__ import annotations
@@ -20,11 +20,10 @@ PATTERNS = (
 )
 KINDS = ("assign", "access", "hex", "random")
 _TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
-#: Alphabets in the order in which they are tried: name, pattern, symbols, places to take off for lower case.
 _HEX, _BASE32 = "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 _BINS, _BIN = 200, 0.1
-_STRETCH, _PIECE = 2000, 400
+_STRETCH = 1000
 #: The longest length class has all tokens of at least its least length: the longer a name, the less random it looks.
 _FIRST_CLASS, _LAST_CLASS = 13, 19
 _LEAST = {k: max(20, math.ceil(1.25**k)) for k in range(_FIRST_CLASS, _LAST_CLASS + 1)}
@@ -64,32 +63,47 @@ def _ln_p(p: Column) -> Column:
     return F.ln(F.greatest(p, F.lit(1e-12)))
 
 
+def _codes(alphabet: str, alike: dict[str, str]) -> list[int]:
+    """For each ASCII code the place of its symbol in ``alphabet``, doubled and counted from the middle: never 0, below it in the lower half."""
+    return [2 * alphabet.index(c) + 1 - len(alphabet) if (c := alike.get(chr(k), chr(k))) in alphabet else 0 for k in range(128)]
+
+
+_TABLES = {
+    "hex": (len(_HEX), _codes(_HEX, {c: c.upper() for c in "abcdef"})),
+    "base32": (len(_BASE32), _codes(_BASE32, {})),
+    "base64": (len(_BASE64), _codes(_BASE64, {"-": "+", "_": "/"})),
+}
+
+
 def randomness(token: Column) -> Column:
     """Fisher's p-value that ``token`` is uniform random in the alphabet it seems to be encoded in."""
-    bare = F.regexp_replace(token, "=+$", "")
+    bare = F.rtrim(token, F.lit("="))
     hexed, base32 = bare.rlike("^([0-9a-f]+|[0-9A-F]+)$"), bare.rlike("^[A-Z2-7]+$")
-    alphabet = F.when(hexed, _HEX).when(base32, _BASE32).otherwise(_BASE64)
-    symbols = F.when(hexed, F.upper(bare)).otherwise(F.translate(bare, "-_", "+/"))
+    kinds = {name: F.struct(F.lit(size).alias("a"), F.array(*map(F.lit, codes)).alias("codes")) for name, (size, codes) in _TABLES.items()}
     # '=' inside a token belongs to no alphabet: such symbols are left out
-    coded = _let(alphabet, lambda abc: F.struct(F.length(abc).alias("a"), F.filter(F.transform(F.split(symbols, ""), lambda c: F.instr(abc, c)), lambda k: k > 0).alias("codes")))
+    symbols = F.split(F.replace(bare, F.lit("=")), "")
+    coded = _let(F.when(hexed, kinds["hex"]).when(base32, kinds["base32"]).otherwise(kinds["base64"]), lambda x: F.struct(x["a"].alias("a"), F.filter(F.transform(symbols, lambda c: F.get(x["codes"], F.ascii(c))), lambda u: u != 0).alias("codes")))
     return _let(coded, lambda x: _battery(x["codes"], x["a"]))
 
 
 def _battery(codes: Column, symbols: Column) -> Column:
-    a, n = symbols.cast("double"), F.greatest(F.size(codes), F.lit(2)).cast("double")
-    squares = F.aggregate(F.array_distinct(codes), F.lit(0.0), lambda acc, k: acc + F.pow(F.size(F.filter(codes, lambda c: c == k)).cast("double"), F.lit(2.0)))
+    """Fisher's p-value of three tests. ``codes`` are odd numbers about the middle of an alphabet of ``symbols``."""
+    size = F.size(codes)
+    a, n = symbols.cast("double"), F.greatest(size, F.lit(2)).cast("double")
+    squares = F.aggregate(F.array_distinct(codes), F.lit(0), lambda acc, k: acc + _let(size - F.size(F.array_remove(codes, k)), lambda c: c * c))
     chi = a / n * squares - n
     z_chi = (chi - (a - 1)) / F.sqrt(2 * (a - 1) * (n - 1) / n)
-    steps = F.sequence(F.lit(2), F.greatest(F.size(codes), F.lit(2)))
-    high = lambda k: F.get(codes, k - 1) > a / 2
-    turns = F.size(F.filter(steps, lambda k: high(k) != high(k - 1))).cast("double")
-    z_runs = (turns - (n - 1) / 2) / F.sqrt((n - 1) / 4)
-    mean = (a + 1) / 2
-    products = F.aggregate(steps, F.lit(0.0), lambda acc, k: acc + (F.get(codes, k - 1) - mean) * (F.get(codes, k - 2) - mean))
-    z_serial = products / ((a * a - 1) / 12) / F.sqrt(n - 1)
-    ln_ps = _let(z_chi, lambda z: _ln_p(_normal_tail(z))) + _let(F.abs(z_runs), lambda z: _ln_p(2 * _normal_tail(z))) + _let(F.abs(z_serial), lambda z: _ln_p(2 * _normal_tail(z)))
+    pairs = F.greatest(size - 1, F.lit(0))
+    products = F.zip_with(F.slice(codes, F.lit(1), pairs), F.slice(codes, F.lit(2), pairs), lambda u, v: u * v)
+
+    def joined(p: Column) -> Column:
+        turns = F.size(F.filter(p, lambda x: x < 0)).cast("double")  # neighbours in different halves
+        z_runs = (turns - (n - 1) / 2) / F.sqrt((n - 1) / 4)
+        z_serial = F.aggregate(p, F.lit(0), lambda acc, x: acc + x) / 4 / ((a * a - 1) / 12) / F.sqrt(n - 1)
+        return _let(z_chi, lambda z: _ln_p(_normal_tail(z))) + _let(F.abs(z_runs), lambda z: _ln_p(2 * _normal_tail(z))) + _let(F.abs(z_serial), lambda z: _ln_p(2 * _normal_tail(z)))
+
     # Fisher: upper tail of chi-squared with six degrees of freedom
-    return F.when(n >= 8, _let(-ln_ps, lambda y: F.exp(-y) * (1 + y + y * y / 2))).otherwise(F.lit(0.0))
+    return F.when(n >= 8, _let(-_let(products, joined), lambda y: F.exp(-y) * (1 + y + y * y / 2))).otherwise(F.lit(0.0))
 
 
 def _class_of(length: Column) -> Column:
@@ -101,22 +115,56 @@ def _bin_of(token: Column) -> Column:
     return F.least(F.lit(_BINS), F.floor(-F.log10(F.greatest(randomness(token), F.lit(1e-30))) / _BIN)).cast("int")
 
 
+def _prose(text: Column) -> Column:
+    """The words of ``text``, joined by spaces. Only whole words of under 20 characters are used, so that no part of a secret counts as natural."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\S{20,}", " "), "[^A-Za-z0-9]+", " "))
+
+
+def _cuts(length: Column, behind: Column, turn: Column) -> Column:
+    """array<struct<class, at, n>>: names of ``n`` characters from place ``at`` on that cover ``length`` characters of words, each behind a number of ``behind`` characters. The classes that fit take turns, beginning at one given by ``turn``; the last name ends where the words do."""
+    sums = [sum(list(_LEAST.values())[:k]) for k in range(len(_LEAST) + 1)]
+    classes = F.array(*(F.struct(F.lit(k).alias("class"), F.lit(n).alias("n"), F.lit(j).alias("j"), F.lit(sums[j]).alias("sum")) for j, (k, n) in enumerate(_LEAST.items())))
+    place = lambda x: x["sum"] - x["j"] * behind
+
+    def of_round(fits: Column, whole: Column, begin: Column) -> Column:
+        rounds = F.sequence(F.lit(0), F.floor((length - 1) / whole).cast("int"))
+        every = F.flatten(F.transform(rounds, lambda r: F.transform(fits, lambda x: F.struct(x["class"].alias("class"), (r * whole + F.pmod(place(x) - begin, whole)).alias("at"), (x["n"] - behind).alias("n")))))
+        return F.transform(F.filter(every, lambda x: x["at"] < length), lambda x: F.struct(x["class"].alias("class"), F.least(x["at"], length - x["n"]).alias("at"), x["n"].alias("n")))
+
+    def of_classes(fits: Column) -> Column:
+        last, first = F.element_at(fits, -1), F.get(fits, F.pmod(turn, F.size(fits)).cast("int"))
+        plan = F.struct((place(last) + last["n"] - behind).alias("whole"), place(first).alias("begin"))
+        return F.when(F.size(fits) > 0, _let(plan, lambda x: of_round(fits, x["whole"], x["begin"])))
+
+    return F.coalesce(_let(F.filter(classes, lambda x: x["n"] - behind <= length), of_classes), F.array().cast("array<struct<class:int,at:int,n:int>>"))
+
+
 def _names(stretch: Column) -> Column:
-    """array<struct<class, bin>>: a name of each length class from words of ``stretch``. Only whole words of under 20 characters are used, so that no part of a secret counts as natural."""
+    """array<struct<class, bin>>: names that all words of ``stretch`` are cut into."""
     key = F.xxhash64(stretch)
-    digits = lambda at, n: F.lpad(F.pmod(F.shiftrightunsigned(key, at), F.lit(10**n)).cast("string"), n, "0")
-    glue = F.element_at(F.array(*map(F.lit, ("-", "_", "/", ""))), (F.pmod(key, F.lit(4)) + 1).cast("int"))
-    number = F.when(F.pmod(F.shiftrightunsigned(key, 2), F.lit(4)) == 0, F.concat(digits(8, 4), glue, digits(24, 2), glue, digits(40, 2))).otherwise(F.substring(digits(8, 4), F.lit(1), (F.pmod(F.shiftrightunsigned(key, 4), F.lit(4)) + 1).cast("int")))
-    room = F.greatest(F.length(stretch) - _PIECE, F.lit(1))
-    piece = F.substring(stretch, (F.pmod(F.shiftrightunsigned(key, 6), room) + 1).cast("int"), F.lit(_PIECE))
-    words = F.trim(F.regexp_replace(F.regexp_replace(piece, r"^\S+|\S+$|\S{20,}", " "), "[^A-Za-z0-9]+", " "))
-    words = F.when(F.pmod(F.shiftrightunsigned(key, 7), F.lit(2)) == 0, F.initcap(words)).otherwise(words)
+    bits = lambda at, n: F.pmod(F.shiftrightunsigned(key, at), F.lit(n)).cast("int")
+    styled = F.struct(
+        F.element_at(F.array(*map(F.lit, ("-", "_", "/", ""))), bits(0, 4) + 1).alias("glue"),
+        (bits(2, 4) == 0).alias("date"),
+        (bits(4, 4) + 1).alias("digits"),
+        F.when(bits(7, 2) == 0, F.initcap(stretch)).otherwise(stretch).alias("words"),
+        F.shiftrightunsigned(key, 8).alias("turn"),
+    )
+
+    def of_style(x: Column) -> Column:
+        glue = x["glue"]
+        behind = F.when(x["date"], 8 + 2 * F.length(glue)).otherwise(x["digits"]) + F.length(glue)
+        plan = F.struct(F.replace(x["words"], F.lit(" "), glue).alias("words"), behind.alias("behind"))
+
+        def name(words: Column, cut: Column) -> Column:
+            number = F.xxhash64(words, cut["at"])
+            digits = lambda at, n: F.lpad(F.pmod(F.shiftrightunsigned(number, at), F.lit(10**n)).cast("string"), n, "0")
+            front = F.when(x["date"], F.concat(digits(8, 4), glue, digits(24, 2), glue, digits(40, 2))).otherwise(F.substring(digits(8, 4), F.lit(1), x["digits"]))
+            return F.concat(front, glue, F.substring(words, cut["at"] + 1, cut["n"]))
 
-    def of_classes(name: Column) -> Column:
-        fits = F.filter(F.array(*(F.struct(F.lit(k).alias("class"), F.lit(n).alias("n")) for k, n in _LEAST.items())), lambda x: x["n"] <= F.length(name))
-        return F.transform(fits, lambda x: F.struct(x["class"].alias("class"), _bin_of(F.substring(name, F.lit(1), x["n"])).alias("bin")))
+        return _let(plan, lambda y: F.transform(_cuts(F.length(y["words"]), y["behind"], x["turn"]), lambda cut: F.struct(cut["class"].alias("class"), _bin_of(name(y["words"], cut)).alias("bin"))))
 
-    return _let(F.concat(number, glue, F.regexp_replace(words, F.lit(" "), glue)), of_classes)
+    return _let(styled, of_style)
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -132,7 +180,8 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
         natural = ~t["body"].rlike("[0-9]")
         return F.struct(t["start"].alias("start"), t["end"].alias("end"), _class_of(F.length(t["body"])).alias("class"), _bin_of(t["body"]).alias("bin"), natural.alias("natural"))
 
-    stretches = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_STRETCH}}}"), F.lit(0))
+    # an end too short for a name stays with the stretch before it
+    stretches = F.regexp_extract_all(_prose(text), F.lit(f".{{1,{_STRETCH}}}(?:.{{1,20}}$)?"), F.lit(0))
     return found.withColumn("tokens", F.transform(plain, tested)).withColumn("names", F.flatten(F.transform(stretches, _names)))
 
 

@@ -2,8 +2,10 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from sondage.llm import queries
-from sondage.llm.secret_scan import find_secrets, redact_secrets
+from sondage.llm.secret_scan import _LEAST, _cuts, find_secrets, redact_secrets, scan
 
 from .conftest import TEXTS
 
@@ -86,3 +88,23 @@ def test_one_secret_in_ordinary_prose(spark):
     assert got[-1].n_random == 0
     clean = {r.doc_id: r.text for r in redact_secrets(df).filter("doc_id < 0").collect()}
     assert all(clean[i] == "the key of the service is [SECRET] and must be kept" for i in secrets)
+
+
+def test_names_use_all_prose(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9)))
+    texts = {i: " ".join(word() for _ in range(n)) for i, n in enumerate((4, 40, 400, 2000))}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for i, names in scan(df).select("doc_id", "names.class").collect():
+        # a name has at least a digit before its words
+        assert sum(_LEAST[k] - 1 for k in names) >= len(texts[i].replace(" ", ""))
+        assert len(names) < 100 or all(abs(names.count(k) * len(_LEAST) / len(names) - 1) < 0.2 for k in _LEAST)
+
+
+def test_cuts_cover_every_place(spark):
+    df = spark.range(0, 1021, 7).select(F.col("id").cast("int").alias("length"), F.explode(F.array(*map(F.lit, (1, 5, 11)))).alias("behind"), F.explode(F.array(*map(F.lit, (0, 3, 12)))).alias("turn"))
+    for length, behind, _, cuts in df.select("*", _cuts(F.col("length"), F.col("behind"), F.col("turn"))).collect():
+        assert all(c.n == _LEAST[c["class"]] - behind and 0 <= c.at <= length - c.n for c in cuts)
+        if length >= 20 - behind:
+            assert {k for c in cuts for k in range(c.at, c.at + c.n)} == set(range(length))
+            assert sum(c.n for c in cuts) < length + 70  # each place once but for the last name's
