@@ -1,11 +1,13 @@
 """Secrets in texts: three fixed patterns, and tokens that a battery of randomness tests finds. DataFrame functions only.
 
-Tokens of letters, digits and ``+/_=-`` are read in the alphabet that they seem to be encoded in (hex, base32, base64). Three tests ask how far the token is from uniform random symbols: chi-squared over the alphabet, runs about its middle, and serial correlation of neighbours. Fisher's method joins the three. Natural tokens are those without digits, and names made of the corpus's own words: all prose of all documents is cut into names one after the other, each neighbouring words behind a number or date; the length classes take turns, each with names of its least length. How often natural tokens of a class look as random gives an empirical p-value for the tokens with digits, and the Benjamini-Hochberg rule picks, per length class, those that stand out at false-discovery rate ``rate``. All counts run over all documents. One secret stands out of N tokens of its class where the corpus has N / ``rate`` names of that class: one in about 250 characters of prose.
+Tokens of letters, digits and ``+/_=-`` are read in the alphabet that they seem to be encoded in (hex, base32, base64). Three tests ask how far the token is from uniform random symbols: chi-squared over the alphabet, runs about its middle, and serial correlation of neighbours. Fisher's method joins the three. Natural tokens are those without digits, and names made of the corpus's own words: all prose of all documents is cut into names one after the other, each neighbouring words behind a number or date; the length classes take turns, each with names of its least length. How often natural tokens of a class look as random gives an empirical p-value for the tokens with digits, and the Benjamini-Hochberg rule picks, per length class, those that stand out at false-discovery rate ``rate``. All counts run over all documents. Names are many: their bins come from counts of bits (``_name_bins``). One secret stands out of N tokens of its class where the corpus has N / ``rate`` names of that class: one in about 250 characters of prose.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,35 +77,108 @@ _TABLES = {
 }
 
 
+def _by_alphabet(token: Column, of: dict[str, Column]) -> Column:
+    """``of`` the alphabet that ``token`` seems to be encoded in."""
+    return F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), of["hex"]).when(token.rlike("^[A-Z2-7]+$"), of["base32"]).otherwise(of["base64"])
+
+
 def randomness(token: Column) -> Column:
     """Fisher's p-value that ``token`` is uniform random in the alphabet it seems to be encoded in."""
     bare = F.rtrim(token, F.lit("="))
-    hexed, base32 = bare.rlike("^([0-9a-f]+|[0-9A-F]+)$"), bare.rlike("^[A-Z2-7]+$")
     kinds = {name: F.struct(F.lit(size).alias("a"), F.array(*map(F.lit, codes)).alias("codes")) for name, (size, codes) in _TABLES.items()}
     # '=' inside a token belongs to no alphabet: such symbols are left out
     symbols = F.split(F.replace(bare, F.lit("=")), "")
-    coded = _let(F.when(hexed, kinds["hex"]).when(base32, kinds["base32"]).otherwise(kinds["base64"]), lambda x: F.struct(x["a"].alias("a"), F.filter(F.transform(symbols, lambda c: F.get(x["codes"], F.ascii(c))), lambda u: u != 0).alias("codes")))
+    coded = _let(_by_alphabet(bare, kinds), lambda x: F.struct(x["a"].alias("a"), F.filter(F.transform(symbols, lambda c: F.get(x["codes"], F.ascii(c))), lambda u: u != 0).alias("codes")))
     return _let(coded, lambda x: _battery(x["codes"], x["a"]))
 
 
 def _battery(codes: Column, symbols: Column) -> Column:
     """Fisher's p-value of three tests. ``codes`` are odd numbers about the middle of an alphabet of ``symbols``."""
     size = F.size(codes)
-    a, n = symbols.cast("double"), F.greatest(size, F.lit(2)).cast("double")
     squares = F.aggregate(F.array_distinct(codes), F.lit(0), lambda acc, k: acc + _let(size - F.size(F.array_remove(codes, k)), lambda c: c * c))
-    chi = a / n * squares - n
-    z_chi = (chi - (a - 1)) / F.sqrt(2 * (a - 1) * (n - 1) / n)
     pairs = F.greatest(size - 1, F.lit(0))
     products = F.zip_with(F.slice(codes, F.lit(1), pairs), F.slice(codes, F.lit(2), pairs), lambda u, v: u * v)
+    sums = lambda p: F.struct(size.alias("n"), squares.alias("squares"), F.size(F.filter(p, lambda x: x < 0)).alias("turns"), F.aggregate(p, F.lit(0), lambda acc, x: acc + x).alias("serial"))
+    return _let(_let(products, sums), lambda x: _fisher(x["n"], symbols, x["squares"], x["turns"], x["serial"]))
 
-    def joined(p: Column) -> Column:
-        turns = F.size(F.filter(p, lambda x: x < 0)).cast("double")  # neighbours in different halves
-        z_runs = (turns - (n - 1) / 2) / F.sqrt((n - 1) / 4)
-        z_serial = F.aggregate(p, F.lit(0), lambda acc, x: acc + x) / 4 / ((a * a - 1) / 12) / F.sqrt(n - 1)
-        return _let(z_chi, lambda z: _ln_p(_normal_tail(z))) + _let(F.abs(z_runs), lambda z: _ln_p(2 * _normal_tail(z))) + _let(F.abs(z_serial), lambda z: _ln_p(2 * _normal_tail(z)))
 
+def _fisher(size: Column, symbols: Column, squares: Column, turns: Column, serial: Column) -> Column:
+    """Fisher's p-value of chi-squared, runs and serial correlation of ``size`` symbols: the sum of their counts' ``squares``, the ``turns`` between halves of the alphabet, the sum of neighbours' products."""
+    a, n = symbols.cast("double"), F.greatest(size, F.lit(2)).cast("double")
+    chi = a / n * squares - n
+    z_chi = (chi - (a - 1)) / F.sqrt(2 * (a - 1) * (n - 1) / n)
+    z_runs = (turns.cast("double") - (n - 1) / 2) / F.sqrt((n - 1) / 4)
+    z_serial = serial / 4 / ((a * a - 1) / 12) / F.sqrt(n - 1)
+    logs = _let(z_chi, lambda z: _ln_p(_normal_tail(z))) + _let(F.abs(z_runs), lambda z: _ln_p(2 * _normal_tail(z))) + _let(F.abs(z_serial), lambda z: _ln_p(2 * _normal_tail(z)))
     # Fisher: upper tail of chi-squared with six degrees of freedom
-    return F.when(n >= 8, _let(-_let(products, joined), lambda y: F.exp(-y) * (1 + y + y * y / 2))).otherwise(F.lit(0.0))
+    return F.when(n >= 8, _let(-logs, lambda y: F.exp(-y) * (1 + y + y * y / 2))).otherwise(F.lit(0.0))
+
+
+#: Symbols of six bits each, the top bit says in which half of the alphabet; a seventh is set where there is a symbol.
+_BITS = 6
+
+
+def _spelled(name: Column) -> Column:
+    """``name`` with its symbols replaced by characters that have their places in the alphabet as last six bits, scaled to 64 places, and the bit above these set."""
+    coded = {}
+    for kind, (size, codes) in _TABLES.items():
+        known = {chr(k): chr((1 << _BITS) + (u + size - 1) // 2 * (64 // size)) for k, u in enumerate(codes) if u}
+        coded[kind] = F.translate(name, "".join(known), "".join(known.values()))
+    return _by_alphabet(name, coded)
+
+
+def _step(df: DataFrame, *more: Column) -> DataFrame:
+    """``df`` with columns ``more``, behind a generator of one row: Spark's code for a step is then a method of its own, small enough to be compiled by the JVM (8,000 bytes)."""
+    df = df.select("*", *more)
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
+def _name_bins(names: DataFrame) -> DataFrame:
+    """class, bin of names (class, text), as ``_bin_of`` gives them, by columns of bits: names are many, have 72 symbols at most and no '='.
+
+    Bit b of the first 64 symbols is column ``p<b>``, that of the others ``q<b>``: symbol 8 j + k has bit 8 (7 - k) + j of p, symbol 64 + k has bit 8 (7 - k) of q. Symbols that are alike and neighbours that differ are then found for all places at once.
+    """
+    bits = range(_BITS + 1)
+    sizes = {kind: F.lit(size) for kind, (size, _) in _TABLES.items()}
+    spelled = names.select("class", _by_alphabet(F.col("text"), sizes).alias("a"), F.rpad(_spelled(F.col("text")), 72, "\0").alias("spelled"))
+    words = _step(spelled, *(F.coalesce(F.conv(F.hex(F.substring("spelled", 8 * j + 1, 8)), 16, 10).cast("long"), F.lit(0)).alias(f"w{j}") for j in range(9))).drop("spelled")
+    bit = lambda j, b: F.shiftright(f"w{j}", b).bitwiseAND(F.lit(0x0101010101010101))
+    first = [functools.reduce(Column.bitwiseOR, (F.shiftleft(bit(j, b), j) for j in range(8))).alias(f"p{b}") for b in bits]
+    planes = _step(words, *first, *(bit(8, b).alias(f"q{b}") for b in bits)).drop(*(f"w{j}" for j in range(9)))
+    plane = [(F.col(f"p{b}"), F.col(f"q{b}")) for b in bits]
+    both = lambda u, v: tuple(x.bitwiseAND(y) for x, y in zip(u, v))
+    less = lambda u, v: tuple(x.bitwiseAND(F.bitwise_not(y)) for x, y in zip(u, v))
+    count = lambda u: F.bit_count(u[0]) + F.bit_count(u[1])
+    total = lambda cells: functools.reduce(operator.add, cells)
+    here, upper = plane[_BITS], plane[_BITS - 1]
+
+    def squares(held: tuple[Column, Column], b: int) -> Column:
+        """The sum of the squared counts of the symbols in ``held``, which are alike from bit ``b`` on."""
+        if not b:
+            return count(held) * count(held)
+        return squares(both(held, plane[b - 1]), b - 1) + squares(less(held, plane[b - 1]), b - 1)
+
+    counted = _step(planes, squares(both(here, upper), _BITS - 1).alias("squares_upper"))
+    counted = _step(counted, squares(less(here, upper), _BITS - 1).alias("squares_lower"))
+    # the bit of each symbol's right neighbour, at the symbol's place
+    ahead = lambda p, q: (F.shiftleft(p, 8).bitwiseOR(F.shiftrightunsigned(p, 57)).bitwiseOR(F.shiftrightunsigned(q, 49)), F.shiftleft(q, 8))
+    counted = _step(counted, *(x.alias(f"{name}{b}") for b in bits for name, x in zip("xy", ahead(*plane[b]))))
+    right = [(F.col(f"x{b}"), F.col(f"y{b}")) for b in bits]
+    counted = _step(counted, total([F.lit(1 << i + j) * count(both(plane[i], right[j])) for i in range(_BITS) for j in range(_BITS)]).alias("products"))
+    counted = counted.select(
+        "class",
+        "a",
+        count(here).alias("n"),
+        (F.col("squares_upper") + F.col("squares_lower")).alias("squares"),
+        (count(less(right[_BITS], both(upper, right[_BITS - 1]))) - count(less(less(right[_BITS], upper), right[_BITS - 1]))).alias("turns"),
+        "products",
+        total([F.lit(1 << b) * (count(both(right[_BITS], plane[b])) + count(right[b])) for b in range(_BITS)]).alias("sums"),
+    )
+    # places are scaled to 64: twice a place, less the middle, is what _codes has, times the scale
+    scale = 64 / F.col("a")
+    middle = scale - 64
+    serial = (4 * F.col("products") + 2 * middle * F.col("sums") + middle * middle * F.greatest(F.col("n") - 1, F.lit(0))) / scale / scale
+    return counted.select("class", _bin(_fisher(F.col("n"), F.col("a"), F.col("squares"), F.col("turns"), serial)).alias("bin"))
 
 
 def _class_of(length: Column) -> Column:
@@ -111,13 +186,24 @@ def _class_of(length: Column) -> Column:
     return F.least(F.floor(F.log(1.25, length.cast("double"))).cast("int"), F.lit(_LAST_CLASS))
 
 
+def _bin(p: Column) -> Column:
+    return F.least(F.lit(_BINS), F.floor(-F.log10(F.greatest(p, F.lit(1e-30))) / _BIN)).cast("int")
+
+
 def _bin_of(token: Column) -> Column:
-    return F.least(F.lit(_BINS), F.floor(-F.log10(F.greatest(randomness(token), F.lit(1e-30))) / _BIN)).cast("int")
+    return _bin(randomness(token))
 
 
 def _prose(text: Column) -> Column:
     """The words of ``text``, joined by spaces. Only whole words of under 20 characters are used, so that no part of a secret counts as natural."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\S{20,}", " "), "[^A-Za-z0-9]+", " "))
+    # each long word with the blank before it, so that no pattern is tried inside words
+    short = F.regexp_replace(F.concat(F.lit(" "), text), r"\s\S{20,}", " ")
+    return F.trim(F.regexp_replace(short, r"\P{Alnum}+", " "))
+
+
+def _stretches(text: Column) -> Column:
+    """The prose of ``text`` in pieces; an end too short for a name stays with the piece before it."""
+    return F.regexp_extract_all(_prose(text), F.lit(f".{{1,{_STRETCH}}}(?:.{{1,20}}$)?"), F.lit(0))
 
 
 def _cuts(length: Column, behind: Column, turn: Column) -> Column:
@@ -140,7 +226,7 @@ def _cuts(length: Column, behind: Column, turn: Column) -> Column:
 
 
 def _names(stretch: Column) -> Column:
-    """array<struct<class, bin>>: names that all words of ``stretch`` are cut into."""
+    """array<struct<class, text>>: names that all words of ``stretch`` are cut into."""
     key = F.xxhash64(stretch)
     bits = lambda at, n: F.pmod(F.shiftrightunsigned(key, at), F.lit(n)).cast("int")
     styled = F.struct(
@@ -157,18 +243,17 @@ def _names(stretch: Column) -> Column:
         plan = F.struct(F.replace(x["words"], F.lit(" "), glue).alias("words"), behind.alias("behind"))
 
         def name(words: Column, cut: Column) -> Column:
-            number = F.xxhash64(words, cut["at"])
-            digits = lambda at, n: F.lpad(F.pmod(F.shiftrightunsigned(number, at), F.lit(10**n)).cast("string"), n, "0")
-            front = F.when(x["date"], F.concat(digits(8, 4), glue, digits(24, 2), glue, digits(40, 2))).otherwise(F.substring(digits(8, 4), F.lit(1), x["digits"]))
-            return F.concat(front, glue, F.substring(words, cut["at"] + 1, cut["n"]))
+            digits = lambda number, at, n: F.lpad(F.pmod(F.shiftrightunsigned(number, at), F.lit(10**n)).cast("string"), n, "0")
+            front = lambda number: F.when(x["date"], F.concat(digits(number, 8, 4), glue, digits(number, 24, 2), glue, digits(number, 40, 2))).otherwise(F.substring(digits(number, 8, 4), F.lit(1), x["digits"]))
+            return F.concat(_let(F.xxhash64(words, cut["at"]), front), glue, F.substring(words, cut["at"] + 1, cut["n"]))
 
-        return _let(plan, lambda y: F.transform(_cuts(F.length(y["words"]), y["behind"], x["turn"]), lambda cut: F.struct(cut["class"].alias("class"), _bin_of(name(y["words"], cut)).alias("bin"))))
+        return _let(plan, lambda y: F.transform(_cuts(F.length(y["words"]), y["behind"], x["turn"]), lambda cut: F.struct(cut["class"].alias("class"), name(y["words"], cut).alias("text"))))
 
     return _let(styled, of_style)
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with base (array of spans), tokens (array of start, end, class, bin, natural) and names (array of class, bin): bins count tenths of -log10 of the p-value, so that 0 looks most random."""
+    """``docs`` with base (array of spans), tokens (array of start, end, class, bin, natural) and names (array of class, text): bins count tenths of -log10 of the p-value, so that 0 looks most random."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = docs.withColumn("base", F.array_sort(F.concat(*(_spans(text, *p) for p in PATTERNS))))
     found = found.withColumn("tokens", _spans(text, "random", _TOKEN, 0, 20))
@@ -180,16 +265,19 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
         natural = ~t["body"].rlike("[0-9]")
         return F.struct(t["start"].alias("start"), t["end"].alias("end"), _class_of(F.length(t["body"])).alias("class"), _bin_of(t["body"]).alias("bin"), natural.alias("natural"))
 
-    # an end too short for a name stays with the stretch before it
-    stretches = F.regexp_extract_all(_prose(text), F.lit(f".{{1,{_STRETCH}}}(?:.{{1,20}}$)?"), F.lit(0))
-    return found.withColumn("tokens", F.transform(plain, tested)).withColumn("names", F.flatten(F.transform(stretches, _names)))
+    return found.withColumn("tokens", F.transform(plain, tested)).withColumn("names", F.flatten(F.transform(_stretches(text), _names)))
+
+
+def all_names(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """class, text: a row for each of the names that ``scan`` gives."""
+    stretches = docs.select(F.explode(_stretches(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("stretch"))
+    return stretches.select(F.explode(_names(F.col("stretch"))).alias("x")).select("x.class", "x.text")
 
 
-def random_bins(scanned: DataFrame, rate: float = 0.05) -> DataFrame:
-    """class, bin: tokens with digits of this length class are random up to this bin, by the Benjamini-Hochberg rule on empirical p-values."""
-    named = F.transform("names", lambda x: F.struct(x["class"].alias("class"), x["bin"].alias("bin"), F.lit(True).alias("natural")))
-    both = F.concat(F.transform("tokens", lambda x: F.struct(x["class"].alias("class"), x["bin"].alias("bin"), x["natural"].alias("natural"))), named)
-    counts = scanned.select(F.explode(both).alias("t")).groupBy(F.col("t.class").alias("class"), F.col("t.bin").alias("bin")).agg(F.count_if("t.natural").alias("natural"), F.count_if(~F.col("t.natural")).alias("n"))
+def random_bins(tokens: DataFrame, names: DataFrame, rate: float = 0.05) -> DataFrame:
+    """class, bin: tokens (column tokens) with digits of this length class are random up to this bin, by the Benjamini-Hochberg rule on empirical p-values; names (class, text) are natural ones."""
+    tested = tokens.select(F.explode("tokens").alias("t")).select("t.class", "t.bin", "t.natural")
+    counts = tested.unionByName(_name_bins(names).withColumn("natural", F.lit(True))).groupBy("class", "bin").agg(F.count_if("natural").alias("natural"), F.count_if(~F.col("natural")).alias("n"))
     upto = Window.partitionBy("class").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("class")
     sums = counts.select("class", "bin", F.sum("natural").over(upto).alias("natural"), F.sum("n").over(upto).alias("n"), F.sum("natural").over(whole).alias("all_natural"), F.sum("n").over(whole).alias("all"))
@@ -197,9 +285,9 @@ def random_bins(scanned: DataFrame, rate: float = 0.05) -> DataFrame:
     return sums.filter((F.col("n") > 0) & (p * F.col("all") <= rate * F.col("n"))).groupBy("class").agg(F.max("bin").alias("bin"))
 
 
-def _limits(scanned: DataFrame, rate: float) -> Column:
+def _limits(tokens: DataFrame, names: DataFrame, rate: float) -> Column:
     """The bins of ``random_bins`` as a map literal: one entry per length class at most."""
-    rows = random_bins(scanned, rate).collect()
+    rows = random_bins(tokens, names, rate).collect()
     return F.create_map(*(F.lit(x) for r in rows for x in (r["class"], r["bin"]))) if rows else F.lit(None).cast("map<int,int>")
 
 
@@ -220,8 +308,9 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Spans are kind:start:end in code points, end exclusive, of whole matches, by start and then kind. Tokens that overlap a base span are not tested. Null and empty texts have no spans. Repeated rows are scanned each; an empty table gives no rows. Other columns are not read.
     """
-    found = materialize(scan(docs.select(F.col(id_col), F.col(text_col)), text_col).drop(text_col), "secret-spans")
-    spans = found.withColumn("all", _all_spans(_limits(found, rate)))
+    own = docs.select(F.col(id_col), F.col(text_col))
+    found = materialize(scan(own, text_col).drop(text_col, "names"), "secret-spans")
+    spans = found.withColumn("all", _all_spans(_limits(found, all_names(own, text_col), rate)))
     n = lambda kind: F.size(F.filter("all", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("all", lambda s: s["kind"] != "random")
     return spans.select(id_col, n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"), n("random").alias("n_random"))
@@ -230,7 +319,7 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def redact_secrets(docs: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]", rate: float = 0.05) -> DataFrame:
     """``docs`` with each secret of ``text_col`` replaced by ``mark``; overlapping spans become one mark. Null texts stay null; other rows and columns are unchanged, whatever their names."""
     only = docs.select(F.col(text_col).alias("t"))
-    limits = _limits(materialize(scan(only, "t").select("tokens", "names"), "secret-tokens"), rate)
+    limits = _limits(materialize(scan(only, "t").select("tokens"), "secret-tokens"), all_names(only, "t"), rate)
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("t"))
     found = scan(whole, "t").withColumn("all", _all_spans(limits))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from sondage.llm import queries
-from sondage.llm.secret_scan import _LEAST, _cuts, find_secrets, redact_secrets, scan
+from sondage.llm.secret_scan import _LEAST, _bin_of, _cuts, _name_bins, _prose, find_secrets, redact_secrets, scan
 
 from .conftest import TEXTS
 
@@ -108,3 +108,20 @@ def test_cuts_cover_every_place(spark):
         if length >= 20 - behind:
             assert {k for c in cuts for k in range(c.at, c.at + c.n)} == set(range(length))
             assert sum(c.n for c in cuts) < length + 70  # each place once but for the last name's
+
+
+def test_names_are_tested_by_bits_as_tokens_are(spark):
+    """Counts of bits give each name, of any alphabet and length up to 72, the bin that the battery gives a token."""
+    rng = random.Random(3)
+    alphabets = ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_/+", "etaoin-", "Z", "az")
+    names = ["".join(rng.choice(a) for _ in range(n)) for a in alphabets for n in range(1, 73)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(names)], "class int, text string")
+    own = {r["class"]: r.bin for r in df.select("class", _bin_of(F.col("text")).alias("bin")).collect()}
+    assert {r["class"]: r.bin for r in _name_bins(df).collect()} == own and len(set(own.values())) > 50
+
+
+def test_prose_leaves_long_words_out(spark):
+    texts = ["", "a b", "x" * 19 + " " + "y" * 20 + "\n" + "z" * 25 + "\tend", "(" + "q" * 19 + " é,w-2 ", "q" * 20, "\x0b" + "r" * 21 + " \x85s"]
+    want = [re.sub("[^A-Za-z0-9]+", " ", re.sub(r"[^ \t\n\x0b\f\r]{20,}", " ", t)).strip() for t in texts]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r.p for r in df.select("i", _prose(F.col("t")).alias("p")).orderBy("i").collect()] == want
