@@ -1,5 +1,6 @@
 """Numeric facts and what answers may say, with examples of our own; whole documents against a scanner."""
 
+import random
 from decimal import Decimal
 
 import pytest
@@ -200,3 +201,22 @@ def test_numbers_of_21_to_29_digits_have_a_value(spark):
 def test_a_confidence_of_zero_is_zero(spark):
     rows = spark.createDataFrame([(1, None, 0.0), (2, None, None), (3, '{"confidence": 0.5}', 0.0)], "id int, metadata_json string, element_confidence double").withColumn("source_kind", F.lit(""))
     assert [r["confidence"] for r in scope.hydrate(rows).orderBy("id").collect()] == [0.0, 1.0, 0.5]
+
+
+def _shuffled(spark, df) -> float:
+    """Bytes that a run of ``df`` writes to shuffles."""
+    sc = spark.sparkContext
+    stages = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    every = lambda: {x.stageId(): x.shuffleWriteBytes() for x in (stages().apply(i) for i in range(stages().size()))}
+    before = set(every())
+    df.write.format("noop").mode("overwrite").save()
+    return sum(n for k, n in every().items() if k not in before)
+
+
+def test_terms_of_chunks_are_shuffled_twice_at_most(spark):
+    """Once by id, and once to the sets of the same home; sets that are alone in theirs stay."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(3000)]
+    rows = [(i, " ".join(rng.sample(words, 150))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    assert _shuffled(spark, scope.near_duplicate_chunks(df)) < 5 * sum(len(t) for _, t in rows)
